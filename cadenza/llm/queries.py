@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from cadenza.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from cadenza.llm.suffix_dedup import op2_suffix_dedup
 
 
 def queries() -> dict:
-    return {"op2_suffix_dedup": op2_suffix_dedup}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_substring_dedup": OP1_SQL}
