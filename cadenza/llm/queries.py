@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from cadenza.llm.minhash_dedup import op8_minhash_dedup
 from cadenza.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from cadenza.llm.suffix_dedup import op2_suffix_dedup
 
 
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup}
+    return {"op1_substring_dedup": op1_substring_dedup, "op2_suffix_dedup": op2_suffix_dedup, "op8_minhash_dedup": op8_minhash_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
