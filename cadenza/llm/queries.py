@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from cadenza.llm.decontaminate import OP5_SQL, op5_decontamination
 from cadenza.llm.gif_media import op3_gif_media
+from cadenza.llm.html_wrappers import op4_html_extraction
 from cadenza.llm.language_id import op7_language_id
 from cadenza.llm.minhash_dedup import op8_minhash_dedup
 from cadenza.llm.quality import op10_quality_classifier
 from cadenza.llm.sentencepiece_codec import op6_sentencepiece
 from cadenza.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from cadenza.llm.suffix_dedup import op2_suffix_dedup
+from cadenza.llm.warc_revisits import OP9_SQL, op9_warc_revisits
 
 
 def queries() -> dict:
@@ -17,13 +19,15 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op3_gif_media": op3_gif_media,
+        "op4_html_extraction": op4_html_extraction,
         "op5_decontamination": op5_decontamination,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_language_id": op7_language_id,
         "op8_minhash_dedup": op8_minhash_dedup,
+        "op9_warc_revisits": op9_warc_revisits,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_warc_revisits": OP9_SQL}
