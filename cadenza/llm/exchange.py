@@ -71,9 +71,10 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size_of(df) // (64 << 20))
 
 
-def keyed(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows with a key that is never null; rows that repeat key and text share it."""
-    return documents.select(F.col(key).alias("_doc"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).cast("string").alias("text"))
+def keyed(documents: DataFrame, text: str = "text", key: str = "doc_id", whole: bool = False) -> DataFrame:
+    """Rows with a key that is never null; rows that repeat key and text share it. whole: ``_doc`` holds all columns but the text."""
+    doc = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != text)) if whole else F.col(key)
+    return documents.select(doc.alias("_doc"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).cast("string").alias("text"))
 
 
 class Chunk:

@@ -19,7 +19,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import exchange as X
@@ -30,8 +30,8 @@ BLOCK = 256
 _rng = np.random.Generator(np.random.PCG64(8))
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-SKETCHES = "_id long, n_shingles long, node long, registers binary"
-ARROW_SKETCHES = pa.schema([("_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("registers", pa.binary())])
+SKETCHES = "_id long, _th long, n_shingles long, node long, registers binary"
+ARROW_SKETCHES = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("registers", pa.binary())])
 PAIRS = "a long, b long"
 ARROW_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -107,9 +107,9 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
                     for i, k in enumerate(some.tolist()):
                         blobs[k] = rows[i].tobytes()
                         nodes[k] = int.from_bytes(hashlib.blake2b(values[begin[k] : begin[k + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(n), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], schema=ARROW_SKETCHES)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_th"), pa.array(n), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], schema=ARROW_SKETCHES)
 
-    return X.keyed(documents).select("_id", "text").mapInArrow(run, SKETCHES)
+    return X.keyed(documents).select("_id", "_th", "text").mapInArrow(run, SKETCHES)
 
 
 def banded(nodes: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: ``_id, n_shingles, component_id, kept``.
+    """One row per document: ``_id, _th, n_shingles, component_id, kept``.
 
     Null texts and texts without words have an empty set and stay alone; equal
     sets are one node, however many documents hold them. ``component_id`` is the
@@ -258,7 +258,16 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     label = joined.join(named, "component").select("node", "component_id")
     label = nodes.select("node", "_id").join(label, "node", "left").select("node", F.coalesce("component_id", "_id").alias("component_id"))
     out = sketched.drop("registers").join(label, "node", "left").withColumn("component_id", F.coalesce("component_id", "_id"))
-    return out.select("_id", "n_shingles", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+    return out.select("_id", "_th", "n_shingles", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"))
+
+
+def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that stay, with all their columns: the least doc_id of each component, once."""
+    kept = near_duplicates(documents, size, percent).where("kept").select("_id", "_th").distinct()
+    rows = X.keyed(documents, whole=True).join(kept, ["_id", "_th"])
+    first = Window.partitionBy("_id", "_th").orderBy("_id")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return rows.select(*(F.col("text").cast(documents.schema["text"].dataType).alias("text") if c == "text" else F.col("_doc").getField(c).alias(c) for c in documents.columns))
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

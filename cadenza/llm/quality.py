@@ -158,18 +158,18 @@ def sample(documents: DataFrame, wanted: DataFrame, limit: int) -> np.ndarray:
     return np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, WIDTH).astype(np.float64)
 
 
-def scored(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep's columns of documents, ``score`` and ``predicted``. A null text is scored as an empty one."""
+def scored(documents: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """keep's columns of documents, then score and prediction under these names. A null text is scored as an empty one."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 s = sent.value.scores(features(part.column("text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*keep, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[*keep, *names])
 
     schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, score double, predicted int")
+    return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, {names[0]} double, {names[1]} int")
 
 
 def learned(documents: DataFrame, labels: DataFrame) -> Model:

@@ -201,7 +201,7 @@ def _spots(answers: X.Answers):
         yield {"_id": int(answers.ids[k]), "_th": int(answers.hashes[k]), "spots": X.joined(own, own + 1), "more": b""}
 
 
-def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | None = None, batches: int = BATCHES) -> DataFrame:
+def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | None = None, batches: int = BATCHES, whole: bool = False) -> DataFrame:
     """Documents with ``_doc, _id, _th, text`` and ``found``: blobs of ranges of starts of repeated strings.
 
     Null and empty texts, and texts under ``min_bytes`` bytes, have none. Rows
@@ -209,7 +209,7 @@ def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | N
     """
     prefix = prefix or min(PREFIX, max(1, min_bytes // 3))
     bits = X.bucket_bits(documents)
-    texts = X.keyed(documents)
+    texts = X.keyed(documents, whole=whole)
     out = X.sent(texts, lambda c: _read(c, bits, min_bytes, prefix))
     out = X.answered(out, lambda rows: _decide(rows, batches))
     known = X.written(X.collected(out, lambda a: _conclude(a, min_bytes)), "suffixes")
@@ -254,6 +254,39 @@ def cut_texts(documents: DataFrame, min_bytes: int = 200) -> DataFrame:
     return out.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
 
 
+def without_repeats(documents: DataFrame, min_bytes: int = 200) -> DataFrame:
+    """The same rows and columns, with repeats cut from the texts to whole characters and ``n_chars``, if there, counted anew."""
+
+    def run(batches):
+        for batch in batches:
+            for part in X.slices(batch):
+                column, texts = part.column("text"), []
+                data, offsets = text_bytes(column)
+                inner = (data & 0xC0) == 0x80  # bytes within a character
+                for k, blobs in enumerate(part.column("found").to_pylist()):
+                    a, b = offsets[k], offsets[k + 1]
+                    own, within = data[a:b], inner[a:b]
+                    s, e = removal(blobs, b - a, min_bytes)
+                    if not len(s):
+                        texts.append(None if not column[k].is_valid else own.tobytes())
+                        continue
+                    gone = covered(s, e, b - a)
+                    starts = np.flatnonzero(~within)
+                    whole = np.logical_and.reduceat(gone, starts)
+                    gone = np.repeat(whole, np.diff(np.append(starts, b - a)))
+                    texts.append(own[~gone].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("_doc"), pa.array(texts, pa.binary()).cast(pa.string())], names=["_doc", "text"])
+
+    out = repeated_windows(documents, min_bytes, whole=True)
+    out = out.mapInArrow(run, f"_doc {out.schema['_doc'].dataType.simpleString()}, text string")
+    columns = [F.col("text") if c == "text" else F.col("_doc").getField(c).alias(c) for c in documents.columns]
+    out = out.select(*columns)
+    if "n_chars" in documents.columns:
+        kind = documents.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out
+
+
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     cut = cut_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
