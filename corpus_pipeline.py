@@ -1,15 +1,58 @@
-"""A corpus from raw documents: quality, near copies, repeats, benchmark leaks, token ids."""
+"""A corpus from raw documents: quality, near copies, repeats, benchmark leaks, token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep
+the columns of ``documents``. Rows with a null or empty text pass as such wherever they are not rejected.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadenza.llm import decontaminate, minhash_dedup, quality, sentencepiece_codec, suffix_dedup
+from cadenza.llm.exchange import written
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model, docs.columns, ("_score", "_predicted")).where("_predicted = 1").drop("_score", "_predicted")
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return minhash_dedup.one_of_each(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the stretches of 200 bytes or more that also start anywhere else."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold under 0.8 of every benchmark item's shingles."""
+    found = decontaminate.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = written(found.select(F.col("_doc").alias("_leak")).distinct(), "leaks")
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids, with merge-dropout."""
+    return sentencepiece_codec.encoded(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece_encoding),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+    return STAGES[-1][1](spark, docs, sf_dir)
