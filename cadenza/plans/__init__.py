@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import turns
+from cadenza.plans import data, examples, gaps, metrics, turns, waves
 
-MODULES = (turns,)
+MODULES = (turns, gaps, examples, waves, metrics, data)
 
 
 def queries() -> dict:
