@@ -3,12 +3,12 @@
 Each distinct shingle set gets ``BANDS * ROWS`` registers. A register is the least of
 the set's values under its own hash, as a truncated step on the exponential scale
 with base ``BASE``: sketches merge by the larger register, and equal registers are
-locality-sensitive. Bands of equal registers give buckets. In a bucket every
-set is compared with the least one (a star, never all pairs); afterwards
-only sets of one bucket that are still in different components are compared, block
-by block. Both sketches together estimate similarity by maximum likelihood; pairs
-that may reach the threshold are verified on their full shingle sets from the
-texts, and links make components.
+locality-sensitive. Bands of equal registers give buckets, and buckets that share a set
+give groups (each set meets its bucket's least one: a star, never all pairs). Within a
+group, bounded in size or cut into blocks, sets of different components are
+compared: sketches estimate similarity jointly by maximum likelihood, and what may reach the threshold is
+verified on the full shingle sets from the texts. Only links that join two
+components leave the task, fewer than its sets.
 
 A pair at the threshold shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 """
@@ -26,7 +26,7 @@ from cadenza.llm import exchange as X
 from cadenza.llm.kernels import Rolling, mix, slices, text_bytes, word_hashes, words
 
 BANDS, ROWS, BASE = 32, 4, 1.01
-BLOCK = 256
+BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
 _rng = np.random.Generator(np.random.PCG64(8))
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -73,25 +73,20 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity of pairs of sketches whose set sizes are known."""
-    more, less = (a > b).sum(1), (a < b).sum(1)
-    same = a.shape[1] - more - less
+    """Maximum-likelihood Jaccard similarity of pairs of sketches whose set sizes are known.
+
+    With u, v the shares of the sizes, a register is larger in one sketch with probability u - vJ, in the
+    other with v - uJ, and equal with J (to first order in BASE - 1); the likelihood of the counts has its maximum at
+    the lesser root of a quadratic equation.
+    """
+    more, less = (a > b).sum(-1), (a < b).sum(-1)
+    m = a.shape[-1]
+    same = m - more - less
     u = n_a / (n_a + n_b)
     v = 1 - u
-
-    def p(x):
-        return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
-
-    def likelihood(j):
-        up, down = p(u - v * j), p(v - u * j)
-        return more * np.log(np.maximum(up, 1e-12)) + less * np.log(np.maximum(down, 1e-12)) + same * np.log(np.maximum(1 - up - down, 1e-12))
-
-    lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
-    for _ in range(24):  # the likelihood is concave in j
-        x, y = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        rises = likelihood(x) < likelihood(y)
-        lo, hi = np.where(rises, x, lo), np.where(rises, hi, y)
-    return (lo + hi) / 2
+    p, q = u * v * m, same * (u * u + v * v) + more * v * v + less * u * u
+    root = (q - np.sqrt(np.maximum(q * q - 4 * p * p * same / m, 0))) / (2 * p)
+    return np.minimum(root, np.minimum(u / v, v / u))
 
 
 def sketches(documents: DataFrame, size: int) -> DataFrame:
@@ -119,93 +114,87 @@ def banded(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(keys).alias("bucket"), "node")
 
 
-def _may_reach(table: dict[str, np.ndarray], floor: float, threshold: float) -> np.ndarray:
-    ok = np.minimum(table["n_a"], table["n_b"]) >= threshold * np.maximum(table["n_a"], table["n_b"])
-    if ok.any():
-        ok[ok] = similarity(table["r_a"][ok], table["r_b"][ok], table["n_a"][ok], table["n_b"][ok]) >= floor
-    return ok
+class Forest:
+    """Union-find over the members of one task."""
 
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-
-
-def plausible(pairs: DataFrame, nodes: DataFrame, floor: float, threshold: float) -> DataFrame:
-    """The pairs whose sketches may reach the threshold."""
-
-    def run(batches):
-        for batch in batches:
-            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
-                c = {x: _rows(part.column(x)) if x[0] == "r" else part.column(x).to_numpy() for x in ("n_a", "n_b", "r_a", "r_b")}
-                ok = pa.array(_may_reach(c, floor, threshold))
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(ok), part.column("b").filter(ok)], schema=ARROW_PAIRS)
+    def join(self, x: int, others: np.ndarray):
+        for y in others.tolist():
+            a, b = self.label[x], self.label[y]
+            if a != b:
+                self.label[self.label == max(a, b)] = min(a, b)
+                self.links.append((x, y))
 
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, PAIRS)
 
+def linked(values: np.ndarray, begin: np.ndarray, regs: np.ndarray, side: np.ndarray | None, percent: int, floor: float) -> list[tuple[int, int]]:
+    """Links that span the components of a group of distinct sets; side, if given, allows pairs of unlike sides only.
 
-def across(members: DataFrame, floor: float, threshold: float) -> DataFrame:
-    """Plausible pairs of one bucket in different components: members has bucket, node, component, n_shingles, registers.
-
-    A large bucket is cut into blocks of about ``BLOCK`` sets, and each task sees two of its blocks.
+    A member is compared with all members of other components at once: by sketches first, then, for those that may
+    reach the threshold, by exact intersections. When only one component's members have not been compared,
+    every pair of different components has.
+    """
+    n = np.diff(begin)
+    size = len(n)
+    forest = Forest(size)
+    _, token = np.unique(values, return_inverse=True)
+    member = np.repeat(np.arange(size), n)
+    order = np.argsort(token, kind="stable")
+    posting = member[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(token))])
+    todo = np.ones(size, bool)
+    while True:
+        labels, count = np.unique(forest.label[todo], return_counts=True)
+        # the two ends of a pair of sides lie in different components until they link
+        if len(labels) < 2:
+            return forest.links
+        rest = np.flatnonzero(todo & (forest.label != labels[count.argmax()]))
+        x = int(rest[0])
+        todo[x] = False
+        ok = forest.label != forest.label[x]
+        if side is not None:
+            ok &= side != side[x]
+        ok &= 100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])
+        may = np.flatnonzero(ok)
+        if not len(may):
+            continue
+        may = may[similarity(regs[x], regs[may], np.float64(n[x]), n[may].astype(np.float64)) >= floor]
+        if not len(may):
+            continue
+        own = token[begin[x] : begin[x + 1]]
+        lengths = first[own + 1] - first[own]
+        places = np.repeat(first[own] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        both = np.bincount(posting[places], minlength=size)[may]
+        forest.join(x, may[100 * both >= percent * (n[x] + n[may] - both)])
+
+
+def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of each group of nodes, on whole shingle sets.
+
+    groups has node and component (the group). A group above BLOCK_SETS sets or BLOCK_SHINGLES shingles is cut into
+    blocks, and each task sees two of them.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = members.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")))
-    other = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j"))))
-    rows = rows.withColumn("task", other).select("bucket", "task.i", "task.j", "block", "node", "component", "n_shingles", "registers")
+    threshold = percent / 100
+    floor = threshold - 6 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
+    members = groups.join(nodes, "node")
+    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
+    rows = texts.join(members.select("_id", "_th", "node", "component", "block", "blocks"), ["_id", "_th"])
+    other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j")))
+    rows = rows.select("component", F.explode(other).alias("t"), "block", "node", "text").select("component", "t.i", "t.j", "block", "node", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        i = table.column("i")[0].as_py()
-        t = {x: table.column(x).to_numpy() for x in ("block", "node", "component", "n_shingles", "j")}
-        regs = _rows(table.column("registers").combine_chunks())
-        one = np.flatnonzero(t["block"] == i)
-        two = np.flatnonzero(t["block"] == t["j"][0])
-        out_a, out_b = [], []
-        for k in one.tolist():
-            against = two[(t["component"][two] != t["component"][k]) & (t["node"][two] > t["node"][k] if i == t["j"][0] else True)]
-            if len(against):
-                n = np.full(len(against), t["n_shingles"][k])
-                ok = _may_reach({"n_a": n, "n_b": t["n_shingles"][against], "r_a": np.broadcast_to(regs[k], (len(against), BANDS * ROWS)), "r_b": regs[against]}, floor, threshold)
-                hit = t["node"][against[ok]]
-                out_a.append(np.minimum(hit, t["node"][k]))
-                out_b.append(np.maximum(hit, t["node"][k]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (out_a, out_b)], schema=ARROW_PAIRS)
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(run, PAIRS).distinct()
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union, from whole texts; texts is partitioned by _id."""
+        node, once = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows bring equal sets
+        table = table.take(pa.array(once))
+        values, begin = shingle_sets(table.column("text").combine_chunks(), size)
+        side = table.column("block").to_numpy() if table.column("i")[0] != table.column("j")[0] else None
+        found = linked(values, begin, registers(values, begin), side, percent, floor) if len(node) > 1 else []
+        a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
+        return pa.Table.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=ARROW_PAIRS)
 
-    def run(batches):
-        kept, own = None, None
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("text_a"), batch.column("text_b")
-            ok = np.zeros(len(a), bool)
-            for k in range(len(a)):
-                if kept != a[k]:
-                    kept, own = a[k], shingle_sets(ta.slice(k, 1), size)[0]
-                other = shingle_sets(tb.slice(k, 1), size)[0]
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                ok[k] = 100 * both >= percent * (len(own) + len(other) - both)
-            ok = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], schema=ARROW_PAIRS)
-
-    who = nodes.select("node", "_id", "n_shingles")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(who, "node")
-
-    def one(batches):  # of several rows of one doc_id, those whose text has the wanted set
-        for batch in batches:
-            values = [shingle_sets(batch.column("text").slice(k, 1), size)[0].tobytes() for k in range(batch.num_rows)]
-            node = batch.column("node").to_pylist()
-            ok = [int.from_bytes(hashlib.blake2b(v, digest_size=8).digest(), "little", signed=True) == n for v, n in zip(values, node, strict=True)]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["node", "text"])
-
-    found = texts.join(wanted, "_id").select("node", "text").mapInArrow(one, "node long, text string").dropDuplicates(["node"])
-    left = pairs.join(found.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = left.join(found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, PAIRS)
+    return rows.groupBy("component", "i", "j").applyInArrow(run, PAIRS)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,25 +224,17 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     least doc_id in reach; a null doc_id counts as the least. Rows that repeat are
     kept or not together. Extra columns are ignored.
     """
-    threshold = percent / 100
-    floor = threshold - 5.7 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
     sketched = X.written(sketches(documents, size), "sketches")
-    nodes = X.written(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("_id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "nodes")
-    texts = X.keyed(documents).select("_id", "text")
+    least = F.min(F.struct("_id", "_th")).alias("least")
+    nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    nodes = X.written(nodes.select("node", "least._id", "least._th", "n_shingles", "registers"), "nodes")
+    texts = X.keyed(documents).select("_id", "_th", "text")
     bands = banded(nodes)
     heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
     star = bands.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = X.written(verified(X.written(plausible(star, nodes, floor, threshold), "pairs"), nodes, texts, size, percent), "links")
+    groups = X.written(components(star), "groups")
+    links = confirmed(groups, nodes.drop("registers"), texts, size, percent)
     joined = X.written(components(links), "components")
-    label = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    # Buckets that still hold several components: all pairs across them, but for those with the head, which were compared.
-    members = bands.join(label, "node")
-    open_ = members.groupBy("bucket").agg(F.min("node").alias("head"), F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y AND n > 2").select("bucket", "head")
-    rest = members.join(open_, "bucket").where("node <> head").drop("head").join(nodes.select("node", "n_shingles", "registers"), "node")
-    more = X.written(across(rest, floor, threshold), "pairs")
-    if not more.isEmpty():
-        more = verified(more, nodes, texts, size, percent)
-        joined = X.written(components(links.union(more)), "components")
     named = joined.join(nodes.select("node", "_id"), "node").groupBy("component").agg(F.min("_id").alias("component_id"))
     label = joined.join(named, "component").select("node", "component_id")
     label = nodes.select("node", "_id").join(label, "node", "left").select("node", F.coalesce("component_id", "_id").alias("component_id"))
