@@ -57,18 +57,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def size_of(df: DataFrame) -> int:
-    """The optimiser's estimate of a table's bytes on disk."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def size_of(df: DataFrame) -> int | None:
+    """Bytes of the tables that a DataFrame reads, as Spark knows them; None if it does not, as for data made in memory."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return total if total < 1 << 60 else None
 
 
 def bucket_bits(df: DataFrame) -> int:
     """Buckets in proportion to the input: 64 to 65536, a power of two."""
-    return int(np.clip(np.ceil(np.log2(max(1, size_of(df) / BYTES_A_BUCKET))), 6, 16))
+    size = size_of(df)
+    return 10 if size is None else int(np.clip(np.ceil(np.log2(max(1, size / BYTES_A_BUCKET))), 6, 16))
 
 
 def partitions(df: DataFrame) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size_of(df) // (64 << 20))
+    """Shuffle partitions as set, more where each would get over 64 MB of the input."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), (size_of(df) or 0) // (64 << 20))
 
 
 def keyed(documents: DataFrame, text: str = "text", key: str = "doc_id", whole: bool = False) -> DataFrame:

@@ -80,7 +80,7 @@ class Codec:
         at, where = at[ok], where[ok]
         if rate > 0:
             place = (start[at].astype(np.uint64) << np.uint64(40)) + (middle[at].astype(np.uint64) << np.uint64(20)) + end[at].astype(np.uint64)
-            ok = mix(key[at] ^ mix(place + np.uint64(1))) >= np.uint64(int(rate * 2.0**64))
+            ok = mix(key[at] ^ mix(place + np.uint64(1))) >= np.uint64(min(int(rate * 2.0**64), (1 << 64) - 1))
             at, where = at[ok], where[ok]
         rank[at], made[at] = self.rank[where], self.merged[where]
         return rank, made
