@@ -129,7 +129,10 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 0) -> float:
     tail_u = 1 - np.searchsorted(u, cuts) / len(u)
     margin = np.sqrt(np.log(20) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
     best = np.argmin((tail_u + margin) / np.maximum(tail_p, 1e-9))
-    return float(np.clip(tail_u[best] / tail_p[best], 0.02, 0.98))
+    share = min(1.0, tail_u[best] / tail_p[best])
+    # imperfect scores of small samples only raise the ratio, so the lower bound is the better guess
+    error = np.sqrt(share * (1 - share) * (1 / len(p) + 1 / len(u)))
+    return float(np.clip(share - 1.25 * error, 0.02, 0.98))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1200, seed: int = 0) -> Model:
