@@ -74,6 +74,22 @@ def framed(x: Column, length: int, hop: int) -> Column:
     return F.when(F.size(x) >= length, F.transform(F.sequence(F.lit(0).cast("long"), n), lambda k: F.slice(x, (k * hop + 1).cast("int"), length))).otherwise(F.array().cast("array<array<float>>"))
 
 
+def percentile(values: Column, p: float) -> Column:
+    """Linear percentile of an array, within its row."""
+    ordered, place = F.array_sort(values), (F.size(values) - 1) * F.lit(p)
+    low = F.floor(place).cast("int")
+    a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(values)))
+    return a + (b - a) * (place - low)
+
+
+def vad_end(x: Column, length: int, hop: int, ratio: float = 0.1, least: float = 1e-3) -> Column:
+    """End sample of the last frame louder than a share of the 95th percentile of loudness: 0 if none is, all samples of a clip shorter than a frame."""
+    loud = F.transform(framed(x, length, hop), rms)
+    bound = F.greatest(F.lit(least), ratio * percentile(loud, 0.95))
+    last = F.array_max(F.transform(loud, lambda v, k: F.when(v > bound, k * hop + length)))
+    return F.when(F.size(x) < length, F.size(x)).otherwise(F.coalesce(last, F.lit(0)))
+
+
 def trailing_silence(x: Column, length: int, frame_seconds: float, floor_db: float = FLOOR_DB) -> Column:
     """Seconds of quiet whole frames at the end; frames are counted from the start."""
     loud = F.transform(framed(x, length, length), lambda f: dbfs(f) > floor_db)

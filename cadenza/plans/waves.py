@@ -26,10 +26,7 @@ def wave_rms_dbfs(spark, sf_dir):
 
 def wave_vad_end(spark, sf_dir):
     """End sample of the last frame louder than a tenth of the 95th percentile of frame loudness."""
-    x = F.col("x")
-    frames = waves(spark, sf_dir).select("id", F.size(x).alias("n"), F.posexplode(W.framed(x, FRAME, HOP)).alias("k", "f")).withColumn("rms", W.rms(F.col("f")))
-    bound = frames.groupBy("id").agg(F.greatest(F.lit(1e-3), 0.1 * F.expr("percentile(rms, 0.95)")).alias("bound"))
-    return frames.join(bound, "id").groupBy("id").agg(F.coalesce(F.max(F.when(F.col("rms") > F.col("bound"), F.col("k") * HOP + FRAME)), F.lit(0)).cast("long").alias("end_sample"))
+    return waves(spark, sf_dir).select("id", W.vad_end(F.col("x"), FRAME, HOP).cast("long").alias("end_sample"))
 
 
 def wave_slice_pad(spark, sf_dir):
