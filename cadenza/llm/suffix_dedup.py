@@ -31,7 +31,7 @@ from cadenza.llm.kernels import Rolling, byte_values, covered, mix, pack, runs,
 
 PREFIX = 96
 BATCHES = 8
-LEADING, CONTEXT = 1, 5  # kinds of items; the answer's kind is larger by 2
+LEADING, CONTEXT, LEVEL = 1, 5, 9  # kinds of items; the answer's kind is larger by 2
 FIRST, MANY = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
 
 
@@ -223,6 +223,51 @@ def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | N
     return by_key.join(found, ["_id", "_th"], "left").select("_doc", "_id", "_th", "text", "found")
 
 
+def extended(index: DataFrame | None, documents: DataFrame, min_bytes: int = 200, prefix: int | None = None, bits: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Enter a new batch into a kept index: the index with the batch, and the batch's suffixes that older batches hold too.
+
+    The index has a row for each bucket and level (in the exchange's columns; write it where it should live) and is
+    None at first; bits must stay the same for its life. The matches are ranges of starts of strings whose sampled suffix
+    is shared: candidates, by document. Each batch is read once, and a level is rewritten when it merges.
+    """
+    prefix = prefix or min(PREFIX, max(1, min_bytes // 3))
+
+    def read(chunk):
+        for row in _read(chunk, bits, min_bytes, prefix):
+            if row["kind"] != CONTEXT:
+                yield row
+
+    def enter(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        family = Family()
+        for r in sorted((r for r in rows if r["kind"] == LEVEL), key=lambda r: r["n"]):
+            family.levels += [None] * (r["n"] + 1 - len(family.levels))
+            family.levels[r["n"]] = unpack(r["a"], np.uint64), unpack(r["b"], np.int64)
+        new = [r for r in rows if r["kind"] == LEADING]
+        out = [r for r in rows if r["kind"] == X.HEADER]
+        if new:
+            items = X.Items(new)
+            shared = family.add(items.prints, items.column("c", np.uint32).astype(np.int64))
+            out += items.answers(np.isin(items.prints, shared), np.ones(len(items.prints), np.uint32))
+        bucket = rows[0]["bucket"]
+        out += [{"bucket": bucket, "chunk": -1, "kind": LEVEL, "n": k, "a": pack(x[0]), "b": pack(x[1]), "c": b"", "d": b""} for k, x in enumerate(family.levels) if x is not None]
+        return pa.Table.from_pylist(out, schema=X.ARROW_ROW)
+
+    def matches(answers):
+        hit = answers.values(LEADING, int(answers.entry.max()) + 1)[answers.entry] > 0
+        blob = answers.head["d"]
+        width = unpack(blob[len(blob) // 2 :], np.uint32).astype(np.int64) + 1
+        told = np.flatnonzero(hit)
+        for k, s, e in answers.by_document(answers.places[told]):
+            lo = answers.places[told[s:e]] - answers.starts[k]
+            yield {"_id": int(answers.ids[k]), "_th": int(answers.hashes[k]), "spots": X.joined(lo, lo + width[told[s:e]]), "more": b""}
+
+    batch = X.sent(X.keyed(documents), read)
+    both = batch if index is None else batch.unionByName(index)
+    done = X.written(both.groupBy("bucket").applyInArrow(enter, X.ROW), "index")
+    return done.where(F.col("kind") == LEVEL), X.collected(done.where(F.col("kind") != LEVEL), matches)
+
+
 def removal(found, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs of bytes that repeated strings cover."""
     starts, ends = X.ranges(found)

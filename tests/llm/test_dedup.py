@@ -127,6 +127,19 @@ def test_empty_tables(spark, nothing):
     assert suffix_dedup.without_repeats(nothing).count() == 0
 
 
+def test_kept_index(spark):
+    """Batches enter one after another; only what older batches hold is told, and levels merge."""
+    passage = " ".join(f"p{k}" for k in range(80))
+    index, told = None, []
+    for n in range(4):
+        rows = [(10 * n + k, f"{n} {k} " + " ".join(f"u{n}x{k}x{j}" for j in range(60)) + (" " + passage if k == 0 and n != 1 else "")) for k in range(3)]
+        index, found = suffix_dedup.extended(index, spark.createDataFrame(rows, "doc_id long, text string"))
+        told.append(sorted(r._id for r in found.collect()))
+        levels = {(r.bucket, r.n) for r in index.select("bucket", "n").collect()}
+        assert len(levels) == index.count()
+    assert told == [[], [], [20], [30]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 12), max_size=30), min_size=1, max_size=9))
 def test_family_counts(batches):

@@ -130,6 +130,13 @@ def test_codec_dropout(codec, odd):
     assert sum(map(len, whole)) > sum(map(len, one)) > sum(map(len, codec.encode(texts, [0] * len(texts), {}, 1, 0.0)))
 
 
+def test_long_units_have_the_same_agenda(codec, odd, monkeypatch):
+    texts = [t or "" for _, t in odd] + ["antidisestablishmentarianism" * 30, "z" * 5000]
+    want = [codec.encode(texts, [0] * len(texts), {}, 3, rate) for rate in (0.0, 0.3)]
+    monkeypatch.setattr(S, "LONG", 3)
+    assert [codec.encode(texts, [0] * len(texts), {}, 3, rate) for rate in (0.0, 0.3)] == want
+
+
 def test_codec_table(spark, documents, nothing):
     out = S.encoded(documents).cache()
     assert out.count() == documents.count() and out.where("NOT lossless").count() == 0
