@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cadenza.functions import scores
 from cadenza.operators import sampling as S
+from cadenza.operators import turns as O
+from cadenza.plans import turns as T
 from cadenza.sources import adapters as A
 
 # Language codes of source configurations.
@@ -99,9 +102,6 @@ def positional_zip(spark, sf_dir):
 
 def turn_replay(spark, sf_dir):
     """Decisions of a policy over the gaps of each recording."""
-    from cadenza.functions import scores
-    from cadenza.operators import turns as O
-
     g = O.gaps(A.event_words(A.table(spark, sf_dir, "events"))).select("rec", "pos", (F.col("gap") / 3.6e9).alias("hours"))
     return g.select("rec", "pos", scores.decide(scores.heuristic(F.col("hours") / 10), F.col("hours"), 0.5, 2.0, 24.0).alias("status"))
 
@@ -120,9 +120,6 @@ def split_sql(table: str, key: str, by: str) -> str:
     return f"""k AS (SELECT *, row_number() OVER ({p}ORDER BY sha256({key} || ':42'), {key}) - 1 AS k, count(*) OVER ({p}) AS n FROM {table}),
 s AS (SELECT *, CASE WHEN k < n // 2 THEN 'train' WHEN k < n // 2 + n // 4 THEN 'validation' ELSE 'test' END AS split FROM k)"""
 
-
-from cadenza.plans import turns as T  # noqa: E402
-
 SQL = {
     "archive_join": "SELECT l_orderkey, l_linenumber, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 10",
     "missing_members": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10) GROUP BY l_returnflag",
