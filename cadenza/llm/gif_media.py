@@ -30,10 +30,10 @@ def lzw_encode(data: bytes, depth: int = 8) -> bytes:
     fixed = _widths(depth)
     table: dict[int, int] = {}
     get, put, free = table.get, codes.append, done + 1
-    prefix = -1
-    for sample in data:
+    prefix = data[0] if data else -1
+    for sample in data[1:]:
         key = prefix << 8 | sample
-        code = get(key) if prefix >= 0 else sample
+        code = get(key)
         if code is not None:
             prefix = code
             continue
@@ -51,11 +51,12 @@ def lzw_encode(data: bytes, depth: int = 8) -> bytes:
         put(prefix)
     put(done)
     widths += fixed[: len(codes) - len(widths)]
-    bits = (np.array(codes)[:, None] >> np.arange(12)) & 1
-    return np.packbits(bits[np.arange(12) < np.array(widths)[:, None]].astype(np.uint8), bitorder="little").tobytes()
+    bits = np.unpackbits(np.array(codes, "<u2").view(np.uint8).reshape(-1, 2), axis=1, count=12, bitorder="little")
+    return np.packbits(bits[_BITS[np.array(widths)]], bitorder="little").tobytes()
 
 
 _schedules: dict[int, tuple[list[int], np.ndarray, np.ndarray, list[bytes]]] = {}
+_BITS = np.arange(12) < np.arange(13)[:, None]  # the bits of a code by its width
 _FULL = np.full(4096, 12), np.arange(4097) * 12
 
 
@@ -76,19 +77,20 @@ def _schedule(depth: int) -> tuple[list[int], np.ndarray, np.ndarray, list[bytes
 def lzw_decode(stream: bytes, depth: int, wanted: int) -> np.ndarray:
     """At most ``wanted`` samples; a broken stream ends early."""
     clear, done = 1 << depth, (1 << depth) + 1
-    bits = np.unpackbits(np.frombuffer(stream, np.uint8), bitorder="little")
+    total = 8 * len(stream)
+    data = np.frombuffer(stream + b"\0\0", np.uint8).astype(np.int64)
     # codes are cut stretch by stretch: their widths are known until the next clear code
     _, widths, begin, base = _schedule(depth)
     out: list[bytes] = []
     at, size = 0, 0
     while size < wanted:
-        count = int(np.searchsorted(begin, len(bits) - at, "right")) - 1
+        count = int(np.searchsorted(begin, total - at, "right")) - 1
         if count <= 0:
             break
         n = min(count, len(widths))
-        places = begin[:n, None] + (at + np.arange(12))
-        codes = (bits[np.minimum(places, len(bits) - 1)] * (1 << np.arange(12)))
-        codes = np.where(np.arange(12) < widths[:n, None], codes, 0).sum(1)
+        places = begin[:n] + at
+        low = places >> 3
+        codes = (data[low] | data[low + 1] << 8 | data[low + 2] << 16) >> (places & 7) & ((1 << widths[:n]) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == done))
         end = int(stops[0]) if len(stops) else n
         table, last, free = list(base), b"", len(base)

@@ -8,7 +8,7 @@ rate 0 the result is the model's own.
 
 No piece crosses from a letter to the mark of a space, so a text falls into units of spaces
 and the letters after them. The agendas of all distinct new units of a batch run together in numpy, one
-candidate of each unit a step, and results are kept per worker up to ``KEPT`` units. A
+candidate of each unit a step, and results are kept per worker up to ``KEPT`` units, the latest longest. A
 literal U+2581 is sent as bytes, where the model would take it for a space.
 """
 
@@ -16,18 +16,29 @@ from __future__ import annotations
 
 import hashlib
 import re
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.kernels import mix, slices
+from cadenza.llm.kernels import Rolling, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS, KEPT = 0.1, 0, 4, 300_000
+RATE, SEED, VARIANTS, KEPT = 0.1, 0, 4, 1_000_000
+TOGETHER, LONG = 16_384, 256
 MARK = "▁"
-_LAST = np.int64(1 << 62)
+_LAST, _GONE, _ALL = np.int64(1 << 62), -(1 << 40), (1 << 64) - 1
+
+
+def _mix(h: int) -> int:
+    """kernels.mix for one number."""
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & _ALL
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & _ALL
+    return h ^ h >> 32
 
 
 class Codec:
@@ -58,6 +69,7 @@ class Codec:
         rank = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in usable.values()}, reverse=True))}
         pairs = sorted((usable[p[:k]] * n + usable[p[k:]], rank[sp.get_score(i)], i) for p, i in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable)
         self.pair, self.rank, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.merges = {int(p): (int(r), int(m)) for p, r, m in zip(self.pair, self.rank, self.merged, strict=True)}
         self.hash_bits = 22  # a filter before the search of pairs
         self.seen = np.zeros(1 << self.hash_bits, bool)
         self.seen[self._slot(self.pair)] = True
@@ -86,58 +98,77 @@ class Codec:
         return rank, made
 
     def encode_units(self, units: list[str], seed: int, rate: float) -> list[bytes]:
-        """Ids of each unit, as int32 bytes."""
+        """Ids of each unit, as int32 bytes: units of like length together, very long ones by an agenda of their own."""
+        out: list[bytes] = [b""] * len(units)
+        length = np.array([len(u) for u in units])
+        order = np.argsort(length, kind="stable")
+        short = order[length[order] <= LONG]
+        for k in range(0, len(short), TOGETHER):
+            some = short[k : k + TOGETHER].tolist()
+            for i, blob in zip(some, self._together([units[i] for i in some], seed, rate), strict=True):
+                out[i] = blob
+        for i in order[length[order] > LONG].tolist():
+            out[i] = self._alone(units[i], seed, rate)
+        return out
+
+    def _symbols(self, units: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of single characters (or, for a character without one, -2 less its code), lengths and hash keys of units."""
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         length = np.array([len(u) for u in units], np.int64)
-        first = np.cumsum(length) - length
         known = code < len(self.table)
         piece = np.where(known, self.table[np.where(known, code, 0)], -1)
         for k in np.flatnonzero(~known).tolist():
             piece[k] = self.letters.get(int(code[k]), -1)
-        piece = np.where(piece >= 0, piece, -2 - code)  # no piece: the character itself
-        keys = mix(np.array([int.from_bytes(hashlib.blake2b(u.encode("utf-8", "surrogatepass"), digest_size=8, key=b"%d" % seed).digest(), "little") for u in units], np.uint64)) if rate > 0 else np.zeros(len(units), np.uint64)
+        end = np.cumsum(length)
+        key = mix(mix(Rolling(mix(code.astype(np.uint64) + np.uint64(1))).at(end - length, end)) + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        return np.where(piece >= 0, piece, -2 - code), length, key
+
+    def _together(self, units: list[str], seed: int, rate: float) -> list[bytes]:
+        """Every step takes the best candidate of each unit. Symbols keep their places and are linked to their neighbours."""
+        piece, length, keys = self._symbols(units, seed)
+        n = len(piece)
+        first = np.cumsum(length) - length
         unit = np.repeat(np.arange(len(units)), length)
-        start = np.arange(len(code)) - first[unit]
+        place = np.arange(n)
+        start = place - first[unit]
         end = start + 1
-        done_piece, done_unit, done_start = [], [], []
-        rank = made = None
-        while len(piece):
-            if rank is None:
-                near = np.flatnonzero(unit[1:] == unit[:-1])
-                rank, made = np.full(len(piece), _LAST), np.full(len(piece), -1, np.int64)
-                rank[near], made[near] = self.candidates(piece[near], piece[near + 1], keys[unit[near]], start[near], end[near], end[near + 1], rate)
-            begin = np.flatnonzero(np.diff(unit, prepend=-1))
-            size = np.diff(np.append(begin, len(unit)))
-            order = np.where(rank < _LAST, (rank << 32) + np.arange(len(rank)), _LAST)
-            best = np.minimum.reduceat(order, begin)
-            live = best < _LAST
-            if not live.all():
-                over = np.repeat(~live, size)
-                done_piece.append(piece[over])
-                done_unit.append(unit[over])
-                done_start.append(start[over])
-                best = best[live]
-                if not len(best):
-                    break
-            at = best & np.int64(0xFFFFFFFF)
-            piece[at], end[at] = made[at], end[at + 1]
-            keep = np.ones(len(piece), bool)
-            keep[at + 1] = False
-            if not live.all():
-                keep &= ~over
-            moved = np.cumsum(keep) - 1
-            at = moved[at]
-            piece, unit, start, end, rank, made = (x[keep] for x in (piece, unit, start, end, rank, made))
-            # the pairs to the left and at the merged piece are new
-            new = np.concatenate([at, at[at > 0] - 1])
-            rank[new], made[new] = _LAST, -1
-            new = new[new < len(piece) - 1]
-            new = new[unit[new] == unit[new + 1]]
-            rank[new], made[new] = self.candidates(piece[new], piece[new + 1], keys[unit[new]], start[new], end[new], end[new + 1], rate)
-        piece, unit, start = (np.concatenate(x) for x in (done_piece, done_unit, done_start))
-        order = np.lexsort((start, unit))
-        piece, unit = piece[order], unit[order]
-        if (piece < 0).any():
+        after, before = place + 1, place - 1
+        after[first + length - 1] = -1
+        before[first] = -1
+        best = np.full(n, _LAST)
+        made = np.full(n, -1, np.int64)
+
+        def renew(at):
+            right = after[at]
+            rank, result = self.candidates(piece[at], piece[right], keys[unit[at]], start[at], end[at], end[right], rate)
+            best[at] = np.where(rank < _LAST, (rank << 32) + at, _LAST)
+            made[at] = result
+
+        renew(np.flatnonzero(after >= 0))
+        live = first
+        while len(live):
+            top = np.minimum.reduceat(best, live)  # units that are done have no candidates left
+            top = top[top < _LAST]
+            if not len(top):
+                break
+            at = top & np.int64(0xFFFFFFFF)
+            live = first[unit[at]]
+            right = after[at]
+            piece[at], end[at] = made[at], end[right]
+            piece[right], best[right] = _GONE, _LAST
+            after[at] = after[right]
+            follows = after[at] >= 0
+            before[after[at[follows]]] = at[follows]
+            best[at] = _LAST
+            ahead = before[at]
+            renew(np.concatenate([at[follows], ahead[ahead >= 0]]))
+        kept = piece != _GONE
+        return self._ids(piece[kept], unit[kept], len(units))
+
+    def _ids(self, piece: np.ndarray, unit: np.ndarray, n: int) -> list[bytes]:
+        """int32 bytes by unit; characters without a piece become byte pieces."""
+        odd = np.flatnonzero(piece < 0)
+        if len(odd):
             out, owner = [], []
             for p, u in zip(piece.tolist(), unit.tolist(), strict=True):
                 own = [p] if p >= 0 else [self.bytes[b] for b in chr(-2 - p).encode("utf-8", "surrogatepass")]
@@ -145,23 +176,60 @@ class Codec:
                 owner += [u] * len(own)
             piece, unit = np.array(out), np.array(owner)
         blob = piece.astype(np.int32).tobytes()
-        cuts = (np.searchsorted(unit, np.arange(len(units) + 1)) * 4).tolist()
+        cuts = (np.searchsorted(unit, np.arange(n + 1)) * 4).tolist()
         return [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _alone(self, text: str, seed: int, rate: float) -> bytes:
+        """A heap as the agenda, for a unit of many symbols."""
+        piece, _, keys = self._symbols([text], seed)
+        piece, key, n = piece.tolist(), int(keys[0]), len(piece)
+        end, after, before = list(range(1, n + 1)), [*range(1, n), -1], list(range(-1, n - 1))
+        bound = min(int(rate * 2.0**64), (1 << 64) - 1)
+
+        def candidate(at):
+            right = after[at]
+            if right < 0 or piece[at] < 0 or piece[right] < 0:
+                return
+            found = self.merges.get(piece[at] * self.size + piece[right])
+            if found and (rate <= 0 or _mix(key ^ _mix((at << 40) + (end[at] << 20) + end[right] + 1 & _ALL)) >= bound):
+                heappush(agenda, (found[0], at, end[at], end[right], found[1]))
+
+        agenda: list[tuple] = []
+        for k in range(n - 1):
+            candidate(k)
+        while agenda:
+            _, at, middle, stop, made = heappop(agenda)
+            right = after[at]
+            if piece[at] == _GONE or right < 0 or end[at] != middle or end[right] != stop:
+                continue  # one of the two has merged since
+            piece[at], end[at], piece[right] = made, stop, _GONE
+            after[at] = after[right]
+            if after[at] >= 0:
+                before[after[at]] = at
+                candidate(at)
+            if before[at] >= 0:
+                candidate(before[at])
+        kept = np.array([p for p in piece if p != _GONE], np.int64)
+        return self._ids(kept, np.zeros(len(kept), np.int64), 1)[0]
+
     def units(self, text: str) -> list[str]:
         return self.unit.findall(" " + text) if text else []
 
-    def encode(self, texts: list[str], variants: list[int], kept: dict[int, dict[str, bytes]], seed: int = SEED, rate: float = RATE) -> list[bytes]:
+    def encode(self, texts: list[str], variants: list[int], kept: dict[int, list[dict[str, bytes]]], seed: int = SEED, rate: float = RATE) -> list[bytes]:
+        """Ids of texts. kept holds, for each variant, the units met lately and those met before them."""
         cut = [self.units(t) for t in texts]
         for v in sorted(set(variants)):
-            own = kept.setdefault(v, {})
-            new = sorted({u for units, w in zip(cut, variants, strict=True) if w == v for u in units}.difference(own))
-            if len(own) + len(new) > KEPT // VARIANTS:
-                own.clear()
-                new = sorted({u for units, w in zip(cut, variants, strict=True) if w == v for u in units})
+            own = kept.setdefault(v, [{}, {}])
+            if len(own[0]) > KEPT // (2 * VARIANTS):
+                own[:] = [{}, own[0]]
+            lately, older = own
+            new = {u for units, w in zip(cut, variants, strict=True) if w == v for u in units}.difference(lately)
+            again = new.intersection(older)
+            lately.update((u, older[u]) for u in again)
+            new = list(new - again)
             if new:
-                own.update(zip(new, self.encode_units(new, seed * 1_000_003 + v, rate), strict=True))
-        return [b"".join([kept[v][u] for u in units]) for units, v in zip(cut, variants, strict=True)]
+                lately.update(zip(new, self.encode_units(new, seed * 1_000_003 + v, rate), strict=True))
+        return [b"".join([kept[v][0][u] for u in units]) for units, v in zip(cut, variants, strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 bytes; the space that encoding puts first goes."""
