@@ -78,6 +78,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(h @ self.weights[2] + self.weights[3], -30, 30)))
 
 
+def _moments(*samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the rows of all samples, without a copy of them."""
+    parts = [x[k : k + 4096] for x in samples for k in range(0, len(x), 4096)]
+    n = sum(map(len, parts))
+    mean = sum(x.sum(0, dtype=np.float64) for x in parts) / n
+    return mean, np.sqrt(sum(((x - mean) ** 2).sum(0) for x in parts) / n)
+
+
 def _gradient(model: Model, x: np.ndarray, slope: np.ndarray) -> list[np.ndarray]:
     hid = model.hidden(x)
     h = np.concatenate([x, hid], 1)
@@ -88,15 +96,14 @@ def _gradient(model: Model, x: np.ndarray, slope: np.ndarray) -> list[np.ndarray
 def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, seed: int, width: int = 16) -> Model:
     """prior None: an ordinary classifier of positives against unlabelled rows."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([pos, unl])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
-    k = p.shape[1]
+    mean, scale = _moments(pos, unl)
+    scale += 1e-3
+    k = pos.shape[1]
     model = Model(mean, scale, [rng.normal(0, k**-0.5, (k, width)), np.zeros(width), np.zeros(k + width), np.array(0.0)])
     first, second = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights]
     size = 512
     for step in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), size)], u[rng.integers(0, len(u), size)]
+        xp, xu = (np.clip((x[rng.integers(0, len(x), size)] - mean) / scale, -8, 8) for x in (pos, unl))
         sp, su = (1 / (1 + np.exp(-np.clip(np.concatenate([x, model.hidden(x)], 1) @ model.weights[2] + model.weights[3], -30, 30))) for x in (xp, xu))
         if prior is None:
             slope_p, slope_u = (sp - 1) / size, su / size
@@ -123,7 +130,7 @@ def class_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 0) -> float:
     if not (len(a) and len(b) and len(held_p) and len(held_u)):
         return 0.5
     model = _train(a, b, None, 400, seed)
-    p, u = np.sort(model.scores(held_p)), np.sort(model.scores(held_u))
+    p, u = (np.sort(np.concatenate([model.scores(x[k : k + 4096]) for k in range(0, len(x), 4096)])) for x in (held_p, held_u))
     cuts = np.quantile(p, np.linspace(0, 0.9, 91))
     tail_p = 1 - np.searchsorted(p, cuts) / len(p)
     tail_u = 1 - np.searchsorted(u, cuts) / len(u)
@@ -157,8 +164,9 @@ def sample(documents: DataFrame, wanted: DataFrame, limit: int) -> np.ndarray:
                 x = features(part.column("text")).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x binary").toPandas().sort_values(["doc_id", "x"])
-    return np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, WIDTH).astype(np.float64)
+    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x binary").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("x", "ascending")]).column("x").combine_chunks()
+    return text_bytes(got)[0].view(np.float32).reshape(-1, WIDTH)
 
 
 def scored(documents: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
