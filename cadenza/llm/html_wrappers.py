@@ -1,15 +1,17 @@
-"""Main text of web pages by union-free regular expressions inferred per host.
+"""Main text of web pages by the slots of their templates, and union-free regular expressions inferred per host.
 
-A page's block elements are a token stream; neighbours of one kind fold into a
+A page's text blocks lie in slots, the paths of the elements that hold them. A slot's role comes from where it lies
+(navigation, forms, adverts, comments and their like; article or main), whether its text is the same
+on pages of the host that differ elsewhere, and how much text it and its neighbours hold.
+
+``wrappers`` infers a host's wrapper: a page's block elements are a token stream; neighbours of one kind fold into a
 repeated group. Same-host streams are aligned one after another (``align``): what both have is
 required, what one lacks becomes optional, what repeats in either becomes
-repeated, and text becomes a slot. The result is the host's wrapper, a regular
+repeated, and text becomes a slot. The result is a regular
 expression without unions. Pages fold into few distinct streams in each task before
 the shuffle, and partial wrappers align like pages do, so a host with very many pages is folded in parts.
-
-Each slot of a wrapper gets a role from where it lies (navigation, forms, adverts, comments
-and their like; article or main), whether its text is the same on all pages, and how
-much text it holds. A page's text is its blocks in content slots of its host's wrapper.
+The wrapper does not decide a page's text, and op4_html_extraction does not infer it: every page of a host
+matches it, so that its marks leave no slot out.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from cadenza.llm.kernels import slices
 
 PARTS = 16
+LEAST = 3  # pages that differ elsewhere, for a text that stays the same to be the template's
 DEEP = 100  # elements nested deeper share a slot with the one that holds them
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -39,6 +42,7 @@ WORDS_APART = set("ad ads adsense advert adverts advertisement advertising banne
 ROLES_APART = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CENTRE = {"article", "main"}
 SPLIT = re.compile(r"[^a-z0-9]+")
+NUMBERED = re.compile(r"(?<=[._-])[^/._-]*[0-9][^/._-]*")  # a part of a class word that is a number or an id
 
 
 class Block:
@@ -194,7 +198,7 @@ def host(url: str = "url"):
 
 
 STREAMS = "host string, stream string, n long"
-SLOTS = "host string, path string, apart boolean, centre boolean, low long, high long, pages long, chars long"
+SLOTS = "host string, path string, page long, low long, high long, pages long, chars long"
 
 
 def streams(pages: DataFrame) -> DataFrame:
@@ -235,99 +239,118 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return part.groupBy("host").applyInArrow(run, STREAMS).withColumnRenamed("stream", "wrapper")
 
 
+def kind_of(path: str) -> str:
+    """A path without the numbers and ids in its class words: div.post-123 and div.post-7 are one kind."""
+    return NUMBERED.sub("0", path)
+
+
+def parent_of(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
+def candidates(blocks: list[Block]) -> list[Block]:
+    """Blocks that may be content of a page without article or main."""
+    return [b for b in blocks if not b.apart and not b.centre]
+
+
 def slots(pages: DataFrame) -> DataFrame:
-    """What each slot of each host holds over all pages."""
+    """What each slot of each host holds over all pages: slots by path, and by kind of path where that differs.
+
+    copies counts pages whose blocks differ, as far as LEAST: pages that are copies of each other count as one.
+    """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "html"):
                 total: dict[tuple, list[int]] = {}
+                least: dict[tuple, list[int]] = {}
                 for name, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    own: dict[tuple, list[str]] = {}
-                    for b in read(source or "")[1]:
-                        own.setdefault((name, b.path, b.apart, b.centre), []).append(b.text)
-                    for key, texts in own.items():
+                    blocks = read(source or "")[1]
+                    page = hash_of("\n".join(f"{b.path} {b.text}" for b in blocks))
+                    own: dict[str, list[str]] = {}
+                    for b in candidates(blocks):
+                        for path in {b.path, kind_of(b.path)}:
+                            own.setdefault(path, []).append(b.text)
+                    for path, texts in own.items():
                         text = "\n".join(texts)
                         h = hash_of(text)
-                        t = total.setdefault(key, [h, h, 0, 0])
+                        t = total.setdefault((name, path), [h, h, 0, 0])
                         t[0], t[1], t[2], t[3] = min(t[0], h), max(t[1], h), t[2] + 1, t[3] + len(text)
-                columns = [*zip(*total, strict=True)] if total else [(), (), (), ()]
-                values = [*zip(*total.values(), strict=True)] if total else [(), (), (), ()]
-                types = (pa.string(), pa.string(), pa.bool_(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), *(pa.array(v, pa.int64()) for v in values)], names=["host", "path", "apart", "centre", "low", "high", "pages", "chars"])
+                        few = least.setdefault((name, path), [])
+                        if page not in few and len(few) < LEAST:
+                            few.append(page)
+                rows = [(*key, page, low, high, n if k == 0 else 0, chars if k == 0 else 0) for key, (low, high, n, chars) in total.items() for k, page in enumerate(least[key])]
+                columns = [*zip(*rows, strict=True)] if rows else [()] * 7
+                types = [pa.string()] * 2 + [pa.int64()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "page", "low", "high", "pages", "chars"])
 
     rows = pages.select(host().alias("host"), "html").mapInArrow(run, SLOTS)
-    return rows.groupBy("host", "path", "apart", "centre").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
+    folded = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars")]
+    return rows.groupBy("host", "path", "page").agg(*folded).groupBy("host", "path").agg(*folded, F.sum("pages").alias("copies"))
 
 
 def hash_of(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def wrapper_paths(node: list, path: str = "") -> set[str]:
-    """Paths of the slots of a wrapper."""
-    found = set()
-    for child in node[2]:
-        if child[0] == "#":
-            found.add(path)
-        else:
-            found |= wrapper_paths(child, f"{path}/{child[0]}")
-    return found
-
-
 def content(pages: DataFrame) -> DataFrame:
-    """(host, content): the content slots of each host's wrapper, as JSON lists of [path, apart, centre].
+    """(host, template, mass): what pages without article or main share in a host.
 
-    A slot that lies apart is not content. In a host with slots in an article or main element, these
-    are. Elsewhere a slot whose text never changes over three pages or more is the
-    template's, and of the rest those are content that share the parent element holding most text.
+    template has the slots whose text stays the same over LEAST pages or more that differ elsewhere.
+    mass has, for kinds of elements on more than one page, the mean characters that other slots below it hold
+    on a page. What one page only has is not sent to the others.
     """
+    rows = slots(pages).where("pages > 1").withColumn("constant", (F.col("low") == F.col("high")) & (F.col("copies") >= LEAST))
+    template = rows.where("constant").groupBy("host").agg(F.collect_list("path").alias("template"))
+    varied = rows.where(~F.col("constant") & (F.regexp_replace("path", NUMBERED.pattern, "0") == F.col("path")))
+    parents = varied.groupBy("host", F.regexp_replace("path", "/[^/]*$", "").alias("parent")).agg((F.sum("chars") / F.max("pages")).alias("chars"))
+    mass = parents.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("parent", "chars"))).alias("mass"))
+    return template.join(mass, "host", "full")
+
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        known = wrapper_paths(json.loads(left.column("wrapper")[0].as_py())) if left.num_rows else set()
-        rows = [r for r in right.to_pylist() if r["path"] in known and not r["apart"]]
-        centre = [r for r in rows if r["centre"]]
-        rest = [r for r in rows if not r["centre"] and not (r["pages"] > 2 and r["low"] == r["high"])]
-        mass: dict[str, int] = {}
-        for r in rest:
-            parent = r["path"].rpartition("/")[0]
-            mass[parent] = mass.get(parent, 0) + r["chars"]
-        best = max(mass, key=lambda p: (mass[p], p)) if mass else None
-        rest = [r for r in rest if r["path"].rpartition("/")[0] == best or r["path"].startswith(f"{best}/")]
-        told = json.dumps([[[r["path"], r["apart"], r["centre"]] for r in x] for x in (centre, rest)])
-        return pa.table({"host": [key[0].as_py()], "content": [told]})
+def main_text(blocks: list[Block], template: set[str], mass: dict[str, float]) -> list[str]:
+    """A page's blocks in article or main; else those below the element that holds most text, template left out.
 
-    return wrappers(pages).groupBy("host").cogroup(slots(pages).groupBy("host")).applyInArrow(run, "host string, content string")
+    Each page has its own such element: what its slots hold here, and on the mean of the host's pages.
+    """
+    centre = [b.text for b in blocks if b.centre and not b.apart]
+    if centre:
+        return centre
+    rest = [b for b in candidates(blocks) if b.path not in template and kind_of(b.path) not in template]
+    own: dict[str, float] = {}
+    for b in rest:
+        parent = parent_of(b.path)
+        own[parent] = own.get(parent, mass.get(kind_of(parent), 0.0)) + len(b.text)
+    best = max(own, key=lambda p: (own[p], p)) if own else ""
+    return [b.text for b in rest if b.path.startswith(f"{best}/")]
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars. Null or empty html, and pages without content, have an empty text.
 
-    A page that has text in its host's article slots gives that; another its other content slots.
+    A page that has text in article or main gives that; another its other content slots.
     Equal rows give equal rows; other columns are ignored.
     """
-    rows = pages.select("page_id", "url", "html", host().alias("host")).join(content(pages), "host", "left")
+    shared = content(pages).select("host", F.to_json(F.struct("template", "mass")).alias("shared"))
+    rows = pages.select("page_id", "url", "html", host().alias("host")).join(shared, "host", "left")
 
     def run(batches):
-        kept: dict[str, list[set]] = {}
+        kept: dict[str, tuple[set, dict]] = {}
         for batch in batches:
             for part in slices(batch, "html"):
                 texts = []
-                for source, told in zip(part.column("html").to_pylist(), part.column("content").to_pylist(), strict=True):
-                    told = told or "[[],[]]"
+                for source, told in zip(part.column("html").to_pylist(), part.column("shared").to_pylist(), strict=True):
+                    told = told or "{}"
                     if told not in kept:
                         if len(kept) > 1000:
                             kept.clear()
-                        kept[told] = [{tuple(x) for x in group} for group in json.loads(told)]
-                    blocks = read(source or "")[1]
-                    own = []
-                    for group in kept[told]:
-                        own = own or [b.text for b in blocks if (b.path, b.apart, b.centre) in group]
-                    texts.append("\n".join(own))
+                        x = json.loads(told)
+                        kept[told] = set(x.get("template") or ()), x.get("mass") or {}
+                    texts.append("\n".join(main_text(read(source or "")[1], *kept[told])))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "content").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "shared").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

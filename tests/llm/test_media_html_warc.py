@@ -139,3 +139,23 @@ def test_revisits_across_hours(spark):
     files += [(wrec("revisit", f"v{h}", "http://a.example/", f"2024-01-01T{h:02}:05:00Z", [("ETag", '"1"')]),) for h in (1, 2, 5, 6)]
     got = {r.record_id: (r.verdict, r.source_id) for r in W.resolved(W.records(spark.createDataFrame(files, "content binary"))).collect()}
     assert got == {"v1": ("missing", None), "v2": ("resolved", "r1"), "v5": ("resolved", "r1"), "v6": ("changed", "r5")}
+
+
+def texts_of(spark, sources):
+    rows = [(k, "http://h.example/x", s) for k, s in enumerate(sources)]
+    return {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_two_templates_of_a_host(spark):
+    """The smaller template's pages keep their text, and so do pages with a class of their own."""
+    long = [f"<body><div class=a><p>Long text number {k} that goes on and on and on</p></div><div class=b><p>All rights</p></div></body>" for k in range(6)]
+    short = [f"<body><div class='c post-{k}'><p>Short {k}</p><p>End {k}</p></div><div class=b><p>All rights</p></div></body>" for k in range(3)]
+    got = texts_of(spark, long + short)
+    assert [got[k] for k in range(6)] == [f"Long text number {k} that goes on and on and on" for k in range(6)]
+    assert [got[6 + k] for k in range(3)] == [f"Short {k}\nEnd {k}" for k in range(3)]
+
+
+def test_numbered_classes_are_one_kind(spark):
+    """A template text below a class that is another on each page is still the template's."""
+    pages = [f"<body><div class='post-{k}'><h2>A heading that is much longer than the text is</h2><p>Text {k}</p></div></body>" for k in range(4)]
+    assert texts_of(spark, pages) == {k: f"Text {k}" for k in range(4)}
