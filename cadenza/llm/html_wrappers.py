@@ -286,7 +286,7 @@ def slots(pages: DataFrame) -> DataFrame:
 
     rows = pages.select(host().alias("host"), "html").mapInArrow(run, SLOTS)
     folded = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars")]
-    return rows.groupBy("host", "path", "page").agg(*folded).groupBy("host", "path").agg(*folded, F.sum("pages").alias("copies"))
+    return rows.groupBy("host", "path", "page").agg(*folded).groupBy("host", "path").agg(*folded, F.count("*").alias("copies"))
 
 
 def hash_of(text: str) -> int:

@@ -159,3 +159,8 @@ def test_numbered_classes_are_one_kind(spark):
     """A template text below a class that is another on each page is still the template's."""
     pages = [f"<body><div class='post-{k}'><h2>A heading that is much longer than the text is</h2><p>Text {k}</p></div></body>" for k in range(4)]
     assert texts_of(spark, pages) == {k: f"Text {k}" for k in range(4)}
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    one = "<body><div class=a><p>The same text</p></div></body>"
+    assert set(texts_of(spark, [one] * 5).values()) == {"The same text"}
