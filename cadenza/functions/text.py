@@ -36,6 +36,16 @@ def parse_timestamped(text: Column) -> Column:
     return F.filter(rows, lambda r: r["word"] != "")
 
 
+def escaped(word: Column) -> Column:
+    r"""A word in which nothing reads as a stamp: a backslash more after each < that only backslashes part from a |."""
+    return F.regexp_replace(word, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(word: Column) -> Column:
+    """What ``escaped`` was given."""
+    return F.regexp_replace(word, r"<\\(\\*)\|", r"<$1|")
+
+
 def normalized(items: Column, names: tuple[str, ...] = ("word", "text", "token")) -> Column:
     """Clean words from structs of strings: first alias present, castable times, no blanks, end >= start, by time.
 

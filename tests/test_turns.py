@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cadenza.config import TurnConfig
 from cadenza.operators import rows as R
 from cadenza.operators import turns as O
+from cadenza.plans import turns
 
 WORDS = "rec long, pos long, word string, start long, end long"
 
@@ -85,3 +86,13 @@ def test_config_checks():
     for bad in ({"mode": "x"}, {"eot_trailing": 2.0}, {"mode": "segment", "turn_gap": 0.1}):
         with pytest.raises(ValueError):
             TurnConfig(**bad)
+
+
+def test_whisper_parse_of_literal_stamps(spark, tmp_path):
+    """Texts with markup, code and literal stamps come back whole."""
+    texts = ["a <b>bold</b> if x < y", "<|0.5|> <|1|>x<|2|> <\\|3|> <\\\\| \\ <| |> $1", "plain words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in turns.QUERIES["whisper_parse"](spark, str(tmp_path)).orderBy("rec", "i").collect():
+        got.setdefault(r.rec, []).append(r.word)
+    assert got == {k: t.split() for k, t in enumerate(texts)}
