@@ -6,7 +6,7 @@ but the packing of batches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import transcript
@@ -14,6 +14,7 @@ from cadenza.functions.text import transcript
 OFFSETS = (0.0, 0.2, 0.6, 1.2)
 EPS = 1e-6
 IGNORE = -100
+RANGES = 256
 
 
 def unit(key: Column) -> Column:
@@ -76,6 +77,27 @@ def cu_seqlens(lengths: Column) -> Column:
     return F.aggregate(lengths, zero, lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n.cast("long"))))
 
 
+def offsets(rows: DataFrame, by: str, key: str, n: str, ranges: int = RANGES) -> DataFrame:
+    """(by, i, start): ``cu_seqlens`` of each group in order of a numeric key, as rows, so that a group of any size is summed in parts.
+
+    Sums come in two steps, within ranges of the key and over the totals of these. The ranges' bounds
+    are quantiles, taken once; any bounds give the same result.
+    """
+    cuts = rows.agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)])).first()[0]
+    bounds = F.array(*(F.lit(c) for c in sorted(set(cuts or [])))).cast(f"array<{rows.schema[key].dataType.simpleString()}>")
+    rows = rows.select(F.col(by).alias("by"), F.col(key).alias("key"), F.col(n).cast("long").alias("n"))
+    rows = rows.withColumn("part", F.size(F.filter(bounds, lambda c: c <= F.col("key"))))
+    totals = rows.groupBy("by", "part").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    before = Window.partitionBy("by").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("by").alias("b"), F.col("part").alias("p"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("rows_before"), F.sum("total").over(before).alias("sum_before"))
+    inside = Window.partitionBy("by", "part").orderBy("key", "n").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("k", F.row_number().over(Window.partitionBy("by", "part").orderBy("key", "n"))).withColumn("own", F.sum("n").over(inside))
+    joined = ranked.join(totals, F.col("by").eqNullSafe(F.col("b")) & (F.col("part") == F.col("p")))
+    ends = joined.select("by", (F.col("rows_before") + F.col("k")).alias("i"), F.coalesce(F.col("sum_before") + F.col("own"), "own", "sum_before").alias("start"))
+    zero = rows.select("by").distinct().select("by", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("start"))
+    return ends.unionByName(zero).withColumnRenamed("by", by)
+
+
 def packed(examples: DataFrame, batch: Column, order: Column) -> DataFrame:
     """Per batch: input_ids and labels end to end, cu_seqlens, max_len; null and empty examples are left out."""
     rows = examples.where("input_ids IS NOT NULL AND size(input_ids) > 0").groupBy(batch.alias("batch")).agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "input_ids", "labels"))).alias("e"))

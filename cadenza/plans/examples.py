@@ -65,13 +65,12 @@ def query_time_grid(spark, sf_dir):
 
 def lengths(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents")
-    tokens = docs.select("lang", "doc_id", F.size(F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")).alias("n"))
-    return tokens.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "n"))), lambda x: x["n"]).alias("n"))
+    return docs.select("lang", "doc_id", F.size(F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")).alias("n"))
 
 
 def cu_seqlens(spark, sf_dir):
-    out = lengths(spark, sf_dir).select("lang", F.posexplode(E.cu_seqlens(F.col("n"))).alias("i", "start"))
-    return out.select("lang", F.col("i").cast("long").alias("i"), "start")
+    out = E.offsets(lengths(spark, sf_dir), "lang", "doc_id", "n")
+    return out.select("lang", "i", "start")
 
 
 def conversations(spark, sf_dir):

@@ -30,3 +30,24 @@ def test_stable_unit(spark):
     got = spark.createDataFrame([("row-1",), ("é",)], "k string").select("k", E.unit(F.col("k")).alias("u")).collect()
     for r in got:
         assert r.u == int.from_bytes(hashlib.sha256(r.k.encode()).digest()[:8], "big") / 2**64
+
+
+def test_offsets(spark):
+    """Groups summed in parts give what one array gives; a very large group has no row of its size."""
+    data = [("a" if k % 3 else None, k * k, k % 7) for k in range(200)]
+    got = {}
+    for r in E.offsets(spark.createDataFrame(data, "g string, k long, n int").repartition(3), "g", "k", "n", 8).orderBy("g", "i").collect():
+        got.setdefault(r.g, []).append((r.i, r.start))
+    for g in ("a", None):
+        sums = [0]
+        for x, _, n in data:
+            if x == g:
+                sums.append(sums[-1] + n)
+        assert got[g] == list(enumerate(sums))
+
+
+def test_cu_seqlens_holds_no_group_in_a_row(spark):
+    from cadenza.plans import examples as P
+
+    plan = P.cu_seqlens(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
