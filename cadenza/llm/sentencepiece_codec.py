@@ -1,14 +1,15 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless decoding.
 
 Merges are taken from an agenda, best score first and leftmost among equals. A
-candidate is skipped when a hash of the seed, the document's variant, the unit and the candidate's
-place falls below the dropout rate, so that the same text gets other segmentations
-under other seeds and in documents of other variants, and repeats exactly. With
+candidate is skipped when a hash of the seed, the document's key, the unit's place in the document and the candidate's
+place in the unit falls below the dropout rate, so that each occurrence of a word is cut on its own,
+the same text gets other segmentations under other seeds and in other documents, and repeats exactly. With
 rate 0 the result is the model's own.
 
 No piece crosses from a letter to the mark of a space, so a text falls into units of spaces
-and the letters after them. The agendas of all distinct new units of a batch run together in numpy, one
-candidate of each unit a step, and results are kept per worker up to ``KEPT`` units, the latest longest. A
+and the letters after them. A unit's result depends on which of its possible candidates are skipped and on nothing else:
+these are drawn for each occurrence, and results are kept per worker by unit and skipped candidates, up to ``KEPT``, the
+latest longest. The agendas of what is not kept run together in numpy, one candidate of each unit a step. A
 literal U+2581 is sent as bytes, where the model would take it for a space.
 """
 
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.kernels import Rolling, mix, slices
+from cadenza.llm.kernels import mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS, KEPT = 0.1, 0, 4, 1_000_000
+RATE, SEED, KEPT = 0.1, 0, 1_000_000
 TOGETHER, LONG = 16_384, 256
+DRAWN, BITS, SHORT = 65_536, 62, 24  # occurrences drawn at once; candidates and characters of a unit that is kept
 MARK = "▁"
 _LAST, _GONE, _ALL = np.int64(1 << 62), -(1 << 40), (1 << 64) - 1
 
@@ -59,6 +61,7 @@ class Codec:
         self.text = np.array([b"" if special[i] else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)], object)
         for value, i in self.bytes.items():
             self.text[i] = bytes([value])
+        self.usable = usable
         self.letters = {ord(p): i for p, i in usable.items() if len(p) == 1}
         self.table = np.full(0x3000, -1, np.int64)
         for c, i in self.letters.items():
@@ -97,35 +100,33 @@ class Codec:
         rank[at], made[at] = self.rank[where], self.merged[where]
         return rank, made
 
-    def encode_units(self, units: list[str], seed: int, rate: float) -> list[bytes]:
-        """Ids of each unit, as int32 bytes: units of like length together, very long ones by an agenda of their own."""
+    def encode_units(self, units: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
+        """Ids of each unit under its hash key, as int32 bytes: units of like length together, very long ones by an agenda of their own."""
         out: list[bytes] = [b""] * len(units)
         length = np.array([len(u) for u in units])
         order = np.argsort(length, kind="stable")
         short = order[length[order] <= LONG]
         for k in range(0, len(short), TOGETHER):
             some = short[k : k + TOGETHER].tolist()
-            for i, blob in zip(some, self._together([units[i] for i in some], seed, rate), strict=True):
+            for i, blob in zip(some, self._together([units[i] for i in some], keys[some], rate), strict=True):
                 out[i] = blob
         for i in order[length[order] > LONG].tolist():
-            out[i] = self._alone(units[i], seed, rate)
+            out[i] = self._alone(units[i], int(keys[i]), rate)
         return out
 
-    def _symbols(self, units: list[str], seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces of single characters (or, for a character without one, -2 less its code), lengths and hash keys of units."""
+    def _symbols(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of single characters (or, for a character without one, -2 less its code) and lengths of units."""
         code = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         length = np.array([len(u) for u in units], np.int64)
         known = code < len(self.table)
         piece = np.where(known, self.table[np.where(known, code, 0)], -1)
         for k in np.flatnonzero(~known).tolist():
             piece[k] = self.letters.get(int(code[k]), -1)
-        end = np.cumsum(length)
-        key = mix(mix(Rolling(mix(code.astype(np.uint64) + np.uint64(1))).at(end - length, end)) + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        return np.where(piece >= 0, piece, -2 - code), length, key
+        return np.where(piece >= 0, piece, -2 - code), length
 
-    def _together(self, units: list[str], seed: int, rate: float) -> list[bytes]:
+    def _together(self, units: list[str], keys: np.ndarray, rate: float) -> list[bytes]:
         """Every step takes the best candidate of each unit. Symbols keep their places and are linked to their neighbours."""
-        piece, length, keys = self._symbols(units, seed)
+        piece, length = self._symbols(units)
         n = len(piece)
         first = np.cumsum(length) - length
         unit = np.repeat(np.arange(len(units)), length)
@@ -179,10 +180,10 @@ class Codec:
         cuts = (np.searchsorted(unit, np.arange(n + 1)) * 4).tolist()
         return [blob[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def _alone(self, text: str, seed: int, rate: float) -> bytes:
+    def _alone(self, text: str, key: int, rate: float) -> bytes:
         """A heap as the agenda, for a unit of many symbols."""
-        piece, _, keys = self._symbols([text], seed)
-        piece, key, n = piece.tolist(), int(keys[0]), len(piece)
+        piece, _ = self._symbols([text])
+        piece, n = piece.tolist(), len(piece)
         end, after, before = list(range(1, n + 1)), [*range(1, n), -1], list(range(-1, n - 1))
         bound = min(int(rate * 2.0**64), (1 << 64) - 1)
 
@@ -215,21 +216,71 @@ class Codec:
     def units(self, text: str) -> list[str]:
         return self.unit.findall(" " + text) if text else []
 
-    def encode(self, texts: list[str], variants: list[int], kept: dict[int, list[dict[str, bytes]]], seed: int = SEED, rate: float = RATE) -> list[bytes]:
-        """Ids of texts. kept holds, for each variant, the units met lately and those met before them."""
+    def possible(self, unit: str) -> np.ndarray | None:
+        """Hashes of the places of all candidates that a unit can have; None where they are not listed."""
+        n = len(unit)
+        if n > SHORT or MARK in unit:
+            return None
+        text = unit.replace(" ", MARK)
+        piece = {(a, b): i for a in range(n) for b in range(a + 1, n + 1) if (i := self.usable.get(text[a:b])) is not None}
+        found = [(a << 40) + (m << 20) + b for (a, m), left in piece.items() for b in range(m + 1, n + 1) if (right := piece.get((m, b))) is not None and left * self.size + right in self.merges]
+        return mix(np.array(found, np.uint64) + np.uint64(1)) if len(found) <= BITS else None
+
+    def skipped(self, units: list[str], keys: np.ndarray, known: dict[str, np.ndarray | None], rate: float) -> list[int]:
+        """Which of its possible candidates each occurrence skips, as bits; -1 where they are not listed."""
+        if rate <= 0:
+            return [0] * len(units)
+        if len(known) > KEPT // 8:
+            known.clear()
+        number: dict[str, int] = {}
+        which = np.array([number.setdefault(u, len(number)) for u in units], np.int64)
+        lists = []
+        for u in number:
+            if u not in known:
+                known[u] = self.possible(u)
+            lists.append(known[u])
+        size = np.array([0 if x is None else len(x) for x in lists], np.int64)
+        first = np.cumsum(size) - size
+        places = np.concatenate([x for x in lists if x is not None] or [np.zeros(0, np.uint64)])
+        bits = np.where(np.array([x is None for x in lists])[which], -1, 0)
+        bound = np.uint64(min(int(rate * 2.0**64), (1 << 64) - 1))
+        for k in range(0, len(units), DRAWN):
+            w = which[k : k + DRAWN]
+            n = size[w]
+            owner = np.repeat(np.arange(len(w)), n)
+            j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.flatnonzero(mix(keys[k : k + DRAWN][owner] ^ places[first[w][owner] + j]) < bound)
+            np.bitwise_or.at(bits, owner[hit] + k, np.left_shift(np.int64(1), j[hit]))
+        return bits.tolist()
+
+    def encode(self, texts: list[str], docs: list[int], kept: dict, seed: int = SEED, rate: float = RATE) -> list[bytes]:
+        """Ids of texts; docs has a number for each document. kept holds the results met lately and those met before them."""
         cut = [self.units(t) for t in texts]
-        for v in sorted(set(variants)):
-            own = kept.setdefault(v, [{}, {}])
-            if len(own[0]) > KEPT // (2 * VARIANTS):
-                own[:] = [{}, own[0]]
-            lately, older = own
-            new = {u for units, w in zip(cut, variants, strict=True) if w == v for u in units}.difference(lately)
-            again = new.intersection(older)
-            lately.update((u, older[u]) for u in again)
-            new = list(new - again)
-            if new:
-                lately.update(zip(new, self.encode_units(new, seed * 1_000_003 + v, rate), strict=True))
-        return [b"".join([kept[v][0][u] for u in units]) for units, v in zip(cut, variants, strict=True)]
+        count = np.array([len(units) for units in cut], np.int64)
+        units = [u for own in cut for u in own]
+        place = np.arange(len(units)) - np.repeat(np.cumsum(count) - count, count)
+        doc = np.repeat(np.array(docs, np.int64).view(np.uint64), count)
+        keys = mix(mix(doc ^ mix(place.astype(np.uint64) + np.uint64(1))) + np.uint64(seed * 0x9E3779B97F4A7C15 & _ALL))
+        names = [*zip(units, self.skipped(units, keys, kept.setdefault("possible", {}), rate), strict=True)]
+        own = kept.setdefault("results", [{}, {}])
+        if len(own[0]) > KEPT // 4:
+            own[:] = [{}, own[0]]
+        lately, older = own
+        found: list = []
+        todo: list[int] = []
+        again: dict[tuple, int] = {}
+        for k, name in enumerate(names):
+            blob = lately.get(name) if name[1] >= 0 else None
+            if blob is None and name[1] >= 0 and (blob := older.get(name)) is not None:
+                lately[name] = blob
+            if blob is None and (name[1] < 0 or again.setdefault(name, k) == k):
+                todo.append(k)
+            found.append(blob)
+        made = dict(zip(todo, self.encode_units([units[k] for k in todo], keys[todo], rate), strict=True)) if todo else {}
+        lately.update((name, made[k]) for name, k in again.items())
+        found = [made[k if name[1] < 0 else again[name]] if blob is None else blob for k, (name, blob) in enumerate(zip(names, found, strict=True))]
+        ends = np.cumsum(count).tolist()
+        return [b"".join(found[e - n : e]) for e, n in zip(ends, count.tolist(), strict=True)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 bytes; the space that encoding puts first goes."""
@@ -248,10 +299,10 @@ def codec(sent) -> Codec:
     return _codecs[name]
 
 
-def encoded(documents: DataFrame, key: str = "doc_id", model: str = MODEL, seed: int = SEED, rate: float = RATE, variants: int = VARIANTS) -> DataFrame:
+def encoded(documents: DataFrame, key: str = "doc_id", model: str = MODEL, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """key, n_tokens, ids, lossless (the ids decode to the text's bytes).
 
-    A null text has null ids; an empty one has none. A document's variant is a hash of its key.
+    A null text has null ids; an empty one has none. Draws depend on a hash of the key.
     """
     with open(model, "rb") as f:  # on the driver; the file is small and goes out by broadcast
         sent = documents.sparkSession.sparkContext.broadcast(f.read())
@@ -261,7 +312,7 @@ def encoded(documents: DataFrame, key: str = "doc_id", model: str = MODEL, seed:
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                blobs = own.encode([t or "" for t in texts], part.column("_variant").to_pylist(), kept, seed, rate)
+                blobs = own.encode([t or "" for t in texts], part.column("_doc").to_pylist(), kept, seed, rate)
                 sizes = np.array([len(b) // 4 for b in blobs])
                 ids = np.frombuffer(b"".join(blobs), np.int32)
                 ends = np.cumsum(sizes)
@@ -270,7 +321,7 @@ def encoded(documents: DataFrame, key: str = "doc_id", model: str = MODEL, seed:
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(sizes, pa.int64()), lists, pa.array(same, pa.bool_())], names=[key, "n_tokens", "ids", "lossless"])
 
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(key, F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(key), F.lit(variants)).alias("_variant"))
+    rows = documents.select(key, F.col("text").cast("string").alias("text"), F.xxhash64(key).alias("_doc"))
     return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids array<int>, lossless boolean")
 
 

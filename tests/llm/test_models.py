@@ -143,3 +143,18 @@ def test_codec_table(spark, documents, nothing):
     back = S.decoded(out).join(documents.select("doc_id", F.col("text").alias("t")).distinct(), "doc_id")
     assert back.where("NOT text <=> t").count() == 0
     assert out.where("doc_id = 0 AND ids IS NULL").count() == 1 and S.encoded(nothing).count() == 0
+
+
+def test_dropout_is_drawn_for_each_occurrence(codec):
+    """A word's segmentations grow with its occurrences, within a document and over documents, and keeping results changes none."""
+    texts = ["internationalization " * 40, "misunderstanding ▁x \n" * 20]
+    out = [np.frombuffer(b, np.int32).tolist() for b in codec.encode(["internationalization"] * 400, list(range(400)), {}, 1, 0.2)]
+    assert len({tuple(x) for x in out}) > 8
+    kept = {}
+    first, second = codec.encode(texts * 2, [5, 5, 6, 6], kept, 1, 0.2)[::2]
+    assert first != second
+    assert len({codec.decode(np.frombuffer(b, np.int32)) for b in (first, second)}) == 1
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(S, "SHORT", 0)  # nothing is kept
+        plain = codec.encode(texts * 2, [5, 5, 6, 6], {}, 1, 0.2)
+    assert codec.encode(texts * 2, [5, 5, 6, 6], kept, 1, 0.2) == plain
