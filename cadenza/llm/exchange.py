@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.kernels import pack, slices, text_bytes, unpack
 
-ROW = "bucket long, chunk long, kind int, n long, a binary, b binary, c binary, d binary"
-ARROW_ROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), *((x, pa.binary()) for x in "abcd")])
+ROW = "bucket long, chunk long, kind int, n long, a binary, b binary, c binary, d binary, e binary"
+ARROW_ROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), *((x, pa.binary()) for x in "abcde")])
 FOUND = "_id long, _th long, spots binary, more binary"
 ARROW_FOUND = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("spots", pa.binary()), ("more", pa.binary())])
 HEADER, ITEMS, ANSWER = 0, 1, 2
@@ -33,9 +33,11 @@ BYTES_A_BUCKET = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share; a folder of our own only where none is set, as in tests."""
+    """The folder that all machines share; the warehouse only where none is set and all runs on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_cadenza"
     return folder.rstrip("/")
 
@@ -65,9 +67,9 @@ def size_of(df: DataFrame) -> int | None:
 
 
 def bucket_bits(df: DataFrame) -> int:
-    """Buckets in proportion to the input: 64 to 65536, a power of two."""
+    """Buckets in proportion to the input, a power of two: 512 at least, so that a few do not make a partition, and as many as it takes."""
     size = size_of(df)
-    return 10 if size is None else int(np.clip(np.ceil(np.log2(max(1, size / BYTES_A_BUCKET))), 6, 16))
+    return 10 if size is None else int(max(9, np.ceil(np.log2(max(1, size / BYTES_A_BUCKET)))))
 
 
 def partitions(df: DataFrame) -> int:
@@ -81,6 +83,22 @@ def keyed(documents: DataFrame, text: str = "text", key: str = "doc_id", whole:
     return documents.select(doc.alias("_doc"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).cast("string").alias("text"))
 
 
+def unkeyed(rows: DataFrame, documents: DataFrame) -> DataFrame:
+    """The columns of documents from rows keyed whole."""
+    return rows.select(*(F.col("text").cast(documents.schema["text"].dataType).alias("text") if c == "text" else F.col("_doc").getField(c).alias(c) for c in documents.columns))
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names of which no column has one yet, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Chunk:
     """One slice of documents being read."""
 
@@ -93,17 +111,16 @@ class Chunk:
     def header(self, starts: np.ndarray, places: np.ndarray, entry: np.ndarray) -> dict:
         """What is needed to turn answers into places: places sorted, entry: the item of each."""
         head = np.concatenate([self.ids, self.hashes, starts]).astype(np.int64)
-        return {"bucket": (1 << 40) + self.number, "chunk": self.number, "kind": HEADER, "n": len(self.ids), "a": head.tobytes(), "b": pack(np.diff(places, prepend=0).astype(np.uint32)), "c": pack(steps(entry)), "d": b""}
+        return {"bucket": (1 << 40) + self.number, "chunk": self.number, "kind": HEADER, "n": len(self.ids), "a": head.tobytes(), "b": pack(np.diff(places, prepend=0).astype(np.uint32)), "c": pack(steps(entry)), "d": b"", "e": b""}
 
-    def items(self, fingerprints: np.ndarray, bits: int, columns: Callable[[np.ndarray], tuple[bytes, bytes]], kind: int = ITEMS, keep=np.uint64) -> Iterator[dict]:
+    def items(self, fingerprints: np.ndarray, bits: int, columns: Callable[[np.ndarray], dict[str, bytes]], kind: int = ITEMS, keep=np.uint64) -> Iterator[dict]:
         """Rows of distinct fingerprints, by bucket; columns(chosen) gives what else is told of them."""
         where = fingerprints >> np.uint64(64 - bits)
         order = np.argsort(where, kind="stable")
         edges = np.flatnonzero(np.diff(where[order], prepend=np.uint64(1 << 63)))
         for s, e in zip(edges, [*edges[1:], len(order)], strict=True):
             chosen = order[s:e]
-            c, d = columns(chosen)
-            yield {"bucket": int(where[chosen[0]]), "chunk": self.number, "kind": kind, "n": len(chosen), "a": pack(fingerprints[chosen].astype(keep)), "b": pack(np.diff(chosen, prepend=0).astype(np.uint32)), "c": c, "d": d}
+            yield {"bucket": int(where[chosen[0]]), "chunk": self.number, "kind": kind, "n": len(chosen), "a": pack(fingerprints[chosen].astype(keep)), "b": pack(np.diff(chosen, prepend=0).astype(np.uint32)), "c": b"", "d": b"", "e": b""} | columns(chosen)
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -153,13 +170,18 @@ class Items:
             own = np.flatnonzero(chosen[s:e])
             if len(own):
                 entry = np.cumsum(unpack(r["b"], np.uint32), dtype=np.int64)[own]
-                yield {"bucket": r["bucket"], "chunk": r["chunk"], "kind": r["kind"] + ANSWER, "n": len(own), "a": pack(np.diff(entry, prepend=0).astype(np.uint32)), "b": pack(value[s:e][own].astype(np.uint32)), "c": b"", "d": b""}
-
-
-def groups(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that brings equal fingerprints together and where each group starts."""
-    order = np.argsort(prints, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(prints[order]) != 0])) if len(prints) else np.zeros(0, np.int64)
+                yield {"bucket": r["bucket"], "chunk": r["chunk"], "kind": r["kind"] + ANSWER, "n": len(own), "a": pack(np.diff(entry, prepend=0).astype(np.uint32)), "b": pack(value[s:e][own].astype(np.uint32)), "c": b"", "d": b"", "e": b""}
+
+
+def groups(prints: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal fingerprints together and where each group starts; more: their other 64 bits, if they have them."""
+    order = np.argsort(prints, kind="stable") if more is None else np.lexsort((more, prints))
+    if not len(prints):
+        return order, np.zeros(0, np.int64)
+    new = prints[order][1:] != prints[order][:-1]
+    if more is not None:
+        new |= more[order][1:] != more[order][:-1]
+    first = np.flatnonzero(np.concatenate([[True], new]))
     return order, first
 
 

@@ -6,31 +6,19 @@ MB at a time, so a task's memory does not depend on the size of its partition.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
-_M = np.uint64(0x9E3779B97F4A7C15 | 1)
-_M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
-_rng = np.random.Generator(np.random.PCG64(20240917))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash multiplier and of its inverse, kept between slices."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        for name, m in (("up", _M), ("down", _M_INV)):
-            p = np.full(size, m, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _powers[name] = p
-    return _powers["up"][:n], _powers["down"][:n]
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # masks of the first bytes of eight
+PIECE = 1 << 16
+LANES = 8  # words of more than 8 * LANES bytes are hashed by blake2b
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,22 +31,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Rolling:
-    """Hashes of any stretches of one sequence of 64-bit values, in O(1) each."""
-
-    def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+def fuse(a: np.ndarray, b: np.ndarray, side: int = 0) -> np.ndarray:
+    """One value of two in order. Shifts between the products leave no algebra in which unlike runs could cancel; side 1 is another such function."""
+    h = a * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[side])
+    h ^= h >> np.uint64(32)
+    h += b
+    h *= np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[side])
+    h ^= h >> np.uint64(29)
+    return h
 
-    def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
 
-    def windows(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        return (self.sums[size:] - self.sums[:n]) * self.down[:n]
+def sequences(values: np.ndarray, *sizes: int, step: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """128 bits, as two arrays, for each run of values that start ``step`` after each other, for each number of values in a run.
+
+    Runs of 2, 4, 8 values are made of two halves each, and a run of any size of those, in about 2 * log2(size)
+    passes. A size that is a power of two has 64 bits only.
+    """
+    level, width, out = values, 1, []
+    made: list = [None] * len(sizes)  # what each size has of its own so far: two arrays, and how many values they stand for
+    while True:
+        for k, size in enumerate(sizes):
+            n = len(values) - (size - 1) * step
+            if size & width and n > 0:
+                one, two, done = made[k] or (None, None, 0)
+                part = level[done * step : done * step + n]
+                made[k] = (part, part, width) if one is None else (fuse(one, part), fuse(one, part, 1), done + width)
+        if width * 2 > max(sizes) or len(level) <= width * step:
+            break
+        level, width = fuse(level[: -width * step], level[width * step :]), width * 2
+    for one in made:
+        out.append((mix(one[0]), mix(one[1] ^ np.uint64(0x8000000000000001))) if one else (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    return out
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on, as one number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
+
+
+def byte_windows(data: np.ndarray, *sizes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """128 bits for each window of bytes, for each size; a piece that the processor's cache holds at a time."""
+    step = 8 if all(size % 8 == 0 for size in sizes) else 1  # eights that lie next to each other, or single bytes
+    parts: list[list] = [[] for _ in sizes]
+    for begin in range(0, max(1, len(data)), PIECE):
+        piece = data[begin : begin + PIECE + max(sizes) - 1]
+        values = mix(lanes(piece)[: max(0, len(piece) - 7)].astype(np.uint64)) if step == 8 else mix(piece.astype(np.uint64) + np.uint64(1))
+        for own, (one, two) in zip(parts, sequences(values, *(size // step for size in sizes), step=step), strict=True):
+            own.append((one[:PIECE], two[:PIECE]))
+    return [(np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])) for own in parts]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
@@ -105,13 +125,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64 bits for each word, eight bytes a step; a long word's are a part of its blake2b."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    return mix(Rolling(_BYTE[_LOWER[data] if lower else data]).at(starts, ends))
-
-
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE[data]
+    source = _LOWER[data] if lower else data
+    lane, length = lanes(source), ends - starts
+    h = mix(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live = np.flatnonzero(length <= 8 * LANES)
+    for k in range(LANES):
+        left = length[live] - 8 * k
+        h[live] = mix(h[live] ^ (lane[starts[live] + 8 * k] & _KEEP[np.minimum(left, 8)]))
+        live = live[left > 8]
+        if not len(live):
+            break
+    for k in np.flatnonzero(length > 8 * LANES).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(source[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

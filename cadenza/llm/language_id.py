@@ -1,14 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counting is one pass that leaves (language, bucket, count) rows to Spark's own
-aggregation; the matrix of log-probabilities has at most ``MAX_LANGUAGES * 2**BITS`` numbers and is
-broadcast. Scoring gathers and sums its rows per document in numpy.
+aggregation; the matrix of log-probabilities is broadcast. It has ``2**BITS`` buckets for each language up to ``MANY``
+languages, and half as many whenever these double (256 at least), so that its size stays the same. Scoring gathers and sums its rows per document in numpy.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,13 +14,17 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.kernels import mix, slices
 
-BITS, SIZES, MAX_LANGUAGES = 15, (1, 2, 3), 256
-LETTER = re.compile(r"[^\W\d_]")
+BITS, SIZES, MANY = 15, (1, 2, 3), 256
 _BLANK = np.ones(0x250, bool)
 _BLANK[[c for c in range(0x250) if chr(c).isalpha()]] = False
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def width(languages: int) -> int:
+    """Bits of a bucket's number."""
+    return max(8, BITS - max(0, (languages - 1) // MANY).bit_length())
+
+
+def grams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of lower-case code points, row by row; what is no letter counts as a blank."""
     lower = [(t or "").lower() for t in texts]
     code = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -37,13 +39,13 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         h = h[: len(code) - n + 1] * np.uint64(0x100000001B3) + code[n - 1 :] + np.uint64(n)
         if n in SIZES:
             ok = at[: len(h)] + n <= doc_end[: len(h)]
-            found.append((mix(h[ok].copy()) >> np.uint64(64 - BITS)).astype(np.int64))
+            found.append((mix(h[ok].copy()) >> np.uint64(64 - bits)).astype(np.int64))
             where.append(at[: len(h)][ok])
     # n-grams of one size follow the text's order, so each size has its own bounds
     return found, [np.searchsorted(w, begin) for w in where]
 
 
-def counted(rows: DataFrame) -> DataFrame:
+def counted(rows: DataFrame, bits: int = BITS) -> DataFrame:
     """(lang, bucket, count) of rows (text, lang)."""
 
     def run(batches):
@@ -51,11 +53,11 @@ def counted(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 langs = part.column("lang").to_pylist()
-                found, bounds = grams(part.column("text").to_pylist())
+                found, bounds = grams(part.column("text").to_pylist(), bits)
                 names = sorted(set(langs))
-                code = np.array([names.index(x) for x in langs])
+                code = np.searchsorted(names, langs)
                 for f, b in zip(found, bounds, strict=True):
-                    tally = np.bincount(f + (np.repeat(code, np.diff(b)) << BITS), minlength=len(names) << BITS).reshape(len(names), -1)
+                    tally = np.bincount(f + (np.repeat(code, np.diff(b)) << bits), minlength=len(names) << bits).reshape(len(names), -1)
                     for x, t in zip(names, tally, strict=True):
                         total[x] = total[x] + t if x in total else t
         for x, t in sorted(total.items()):
@@ -68,13 +70,11 @@ def counted(rows: DataFrame) -> DataFrame:
 def fit(rows: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix (bucket, language) of log-probabilities, from every row with a language and a text."""
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    names = [r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names.sort()
-    matrix = np.full((1 << BITS, len(names)), smoothing)
-    for lang, bucket, n in counted(rows).toLocalIterator():
-        matrix[bucket, names.index(lang)] += n
+    names = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    bits, number = width(len(names)), {x: k for k, x in enumerate(names)}
+    matrix = np.full((1 << bits, len(names)), smoothing)
+    for lang, bucket, n in counted(rows, bits).toLocalIterator():
+        matrix[bucket, number[lang]] += n
     return names, np.log(matrix / matrix.sum(0)) if names else matrix
 
 
@@ -94,12 +94,12 @@ def predict(documents: DataFrame, model: tuple[list[str], np.ndarray], keep: lis
                 texts = part.column("text").to_pylist()
                 total = np.zeros((len(texts), m.shape[1]))
                 if names:
-                    for f, b in zip(*grams(texts), strict=True):
+                    for f, b in zip(*grams(texts, m.shape[0].bit_length() - 1), strict=True):
                         some = np.flatnonzero(np.diff(b))
                         if len(some):
                             for k in range(len(names)):
                                 total[some, k] += np.add.reduceat(m[f, k], b[some])
-                letters = np.array([bool(t and LETTER.search(t)) for t in texts]) & bool(names)
+                letters = np.array([any(map(str.isalpha, t or "")) for t in texts]) & bool(names)
                 pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
                 if letters.any():
                     best = total.argmax(1)

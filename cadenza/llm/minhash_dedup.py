@@ -5,12 +5,19 @@ the set's values under its own hash, as a truncated step on the exponential scal
 with base ``BASE``: sketches merge by the larger register, and equal registers are
 locality-sensitive. Bands of equal registers give buckets, and buckets that share a set
 give groups (each set meets its bucket's least one: a star, never all pairs). Within a
-group, bounded in size or cut into blocks, sets of different components are
+group, sets of different components are
 compared: sketches estimate similarity jointly by maximum likelihood, and what may reach the threshold is
 verified on the full shingle sets from the texts. Only links that join two
 components leave the task, fewer than its sets.
 
-A pair at the threshold shares no band with probability (1 - 0.8**4)**32 < 1e-7.
+A group beyond one block is compared in two steps. First each block's sets among themselves and with the group's
+pivots, a few of its sets that every block gets: near copies of one text become one component there. What is
+left is pairs of unlike components, and of such a pair one lies outside the group's largest component: those sets, in
+blocks, meet all blocks. A group of near copies costs what its size is; only a group of many
+unlike components costs more.
+
+A pair at the threshold shares no band with probability (1 - 0.8**6)**38 < 1e-5; a chance pair of similarity 0.3 shares one with 0.03.
+Sets are named by 128 bits of their shingles' hashes. Shingles within a pair of sets are compared by 64 bits.
 """
 
 from __future__ import annotations
@@ -23,17 +30,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import exchange as X
-from cadenza.llm.kernels import Rolling, mix, slices, text_bytes, word_hashes, words
+from cadenza.llm.kernels import sequences, slices, text_bytes, word_hashes, words
 
-BANDS, ROWS, BASE = 32, 4, 1.01
-BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
+BANDS, ROWS, BASE = 38, 6, 1.01
+BLOCK_SETS, BLOCK_SHINGLES, PIVOTS = 256, 2_000_000, 16
 _rng = np.random.Generator(np.random.PCG64(8))
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
-SKETCHES = "_id long, _th long, n_shingles long, node long, registers binary"
-ARROW_SKETCHES = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("registers", pa.binary())])
-PAIRS = "a long, b long"
-ARROW_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+SKETCHES = "_id long, _th long, n_shingles long, node binary, registers binary"
+ARROW_SKETCHES = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("registers", pa.binary())])
+PAIRS = "a binary, b binary"
+ARROW_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,15 +50,14 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """
     data, offsets = text_bytes(column)
     starts, ends, first = words(data, offsets)
-    roll = Rolling(word_hashes(data, starts, ends, lower=True))
+    hashes = word_hashes(data, starts, ends, lower=True)
+    runs = [x for x, _ in sequences(hashes, *range(1, size + 1))]
     sets = []
     for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if e - s <= size:
-            own = np.array([s] if e > s else [], np.int64)
-            sets.append(mix(roll.at(own, own + (e - s))))
+            sets.append(runs[e - s - 1][s : s + (e > s)])
         else:
-            at = np.arange(s, e - size + 1)
-            own = np.sort(mix(roll.at(at, at + size)))
+            own = np.sort(runs[size - 1][s : e - size + 1])
             sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
     begin = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), begin
@@ -101,8 +107,8 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
                     rows = registers(values, np.append(begin[some], begin[-1]))
                     for i, k in enumerate(some.tolist()):
                         blobs[k] = rows[i].tobytes()
-                        nodes[k] = int.from_bytes(hashlib.blake2b(values[begin[k] : begin[k + 1]].tobytes(), digest_size=8).digest(), "little", signed=True)
-                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_th"), pa.array(n), pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], schema=ARROW_SKETCHES)
+                        nodes[k] = hashlib.blake2b(values[begin[k] : begin[k + 1]].tobytes(), digest_size=16).digest()
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_th"), pa.array(n), pa.array(nodes, pa.binary()), pa.array(blobs, pa.binary())], schema=ARROW_SKETCHES)
 
     return X.keyed(documents).select("_id", "_th", "text").mapInArrow(run, SKETCHES)
 
@@ -115,10 +121,10 @@ def banded(nodes: DataFrame) -> DataFrame:
 
 
 class Forest:
-    """Union-find over the members of one task."""
+    """Union-find over the members of one task, some of them joined before."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label
         self.links: list[tuple[int, int]] = []
 
     def join(self, x: int, others: np.ndarray):
@@ -129,33 +135,32 @@ class Forest:
                 self.links.append((x, y))
 
 
-def linked(values: np.ndarray, begin: np.ndarray, regs: np.ndarray, side: np.ndarray | None, percent: int, floor: float) -> list[tuple[int, int]]:
-    """Links that span the components of a group of distinct sets; side, if given, allows pairs of unlike sides only.
+def linked(values: np.ndarray, begin: np.ndarray, regs: np.ndarray, label: np.ndarray, first_side: np.ndarray, percent: int, floor: float) -> list[tuple[int, int]]:
+    """Links that span the components of a task's distinct sets; label names the components they have already, and pairs need a member of first_side.
 
     A member is compared with all members of other components at once: by sketches first, then, for those that may
-    reach the threshold, by exact intersections. When only one component's members have not been compared,
+    reach the threshold, by exact intersections. When only one component's members of first_side have not been compared,
     every pair of different components has.
     """
     n = np.diff(begin)
     size = len(n)
-    forest = Forest(size)
+    forest = Forest(np.unique(label, return_inverse=True)[1])
     _, token = np.unique(values, return_inverse=True)
     member = np.repeat(np.arange(size), n)
     order = np.argsort(token, kind="stable")
     posting = member[order]
     first = np.concatenate([[0], np.cumsum(np.bincount(token))])
-    todo = np.ones(size, bool)
+    todo = first_side.copy()
+    whole = bool(first_side.all())
     while True:
         labels, count = np.unique(forest.label[todo], return_counts=True)
-        # the two ends of a pair of sides lie in different components until they link
-        if len(labels) < 2:
+        if not len(labels) or (whole and len(labels) < 2):
             return forest.links
-        rest = np.flatnonzero(todo & (forest.label != labels[count.argmax()]))
+        # the largest component comes last; its members need no turn where all others have had theirs
+        rest = np.flatnonzero(todo & (forest.label != labels[count.argmax()])) if len(labels) > 1 else np.flatnonzero(todo)
         x = int(rest[0])
         todo[x] = False
         ok = forest.label != forest.label[x]
-        if side is not None:
-            ok &= side != side[x]
         ok &= 100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])
         may = np.flatnonzero(ok)
         if not len(may):
@@ -170,44 +175,74 @@ def linked(values: np.ndarray, begin: np.ndarray, regs: np.ndarray, side: np.nda
         forest.join(x, may[100 * both >= percent * (n[x] + n[may] - both)])
 
 
-def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the components of each group of nodes, on whole shingle sets.
-
-    groups has node and component (the group). A group above BLOCK_SETS sets or BLOCK_SHINGLES shingles is cut into
-    blocks, and each task sees two of them.
-    """
+def compared(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) in each task (component, i, j); rows have node, text, label (the component so far) and left (may lead a pair)."""
     threshold = percent / 100
     floor = threshold - 6 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
-    members = groups.join(nodes, "node")
-    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    members = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")))
-    rows = texts.join(members.select("_id", "_th", "node", "component", "block", "blocks"), ["_id", "_th"])
-    other = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(F.least(i, "block").alias("i"), F.greatest(i, "block").alias("j")))
-    rows = rows.select("component", F.explode(other).alias("t"), "block", "node", "text").select("component", "t.i", "t.j", "block", "node", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        node, once = np.unique(table.column("node").to_numpy(), return_index=True)  # repeated rows bring equal sets
-        table = table.take(pa.array(once))
-        values, begin = shingle_sets(table.column("text").combine_chunks(), size)
-        side = table.column("block").to_numpy() if table.column("i")[0] != table.column("j")[0] else None
-        found = linked(values, begin, registers(values, begin), side, percent, floor) if len(node) > 1 else []
-        a, b = (np.array([x[k] for x in found], np.int64) for k in (0, 1))
-        return pa.Table.from_arrays([pa.array(node[a]), pa.array(node[b])], schema=ARROW_PAIRS)
+        node = np.array(table.column("node").to_pylist(), object)
+        left = table.column("left").to_numpy()
+        order = np.lexsort((~left, np.unique(node, return_inverse=True)[1]))  # repeated rows bring equal sets: one stays, of the left if there is
+        once = order[np.concatenate([[True], node[order][1:] != node[order][:-1]])]
+        found = []
+        if len(once) > 1:
+            table = table.take(pa.array(once))
+            values, begin = shingle_sets(table.column("text").combine_chunks(), size)
+            label = np.array(table.column("label").to_pylist(), object)
+            found = linked(values, begin, registers(values, begin), label, left[once], percent, floor)
+        names = node[once]
+        return pa.Table.from_arrays([pa.array([names[x[k]] for x in found], pa.binary()) for k in (0, 1)], schema=ARROW_PAIRS)
+
+    return rows.select("component", "i", "j", "node", "text", "label", "left").groupBy("component", "i", "j").applyInArrow(run, PAIRS)
+
 
-    return rows.groupBy("component", "i", "j").applyInArrow(run, PAIRS)
+def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components of each group of nodes, on whole shingle sets. groups has node and component (the group)."""
+    members = groups.join(nodes.select("node", "_id", "_th", "n_shingles"), "node")
+    sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
+    members = X.written(members.join(sizes, "component").withColumn("block", block), "members")
+    texts = texts.select("_id", "_th", "text")
+    # a group's pivots are the least nodes of its first blocks, a bounded list for each
+    pivots = members.where((F.col("blocks") > 1) & (F.col("block") < PIVOTS)).groupBy("component", "block").agg(F.min("node").alias("node"))
+    pivots = pivots.groupBy("component").agg(F.collect_list("node").alias("pivots"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    to = members.join(pivots, "component", "left").withColumn("to", F.when(F.array_contains("pivots", F.col("node")), every).otherwise(F.array("block")))
+    within = texts.join(to.select("_id", "_th", "component", "node", F.explode("to").alias("i")), ["_id", "_th"])
+    alone = within.select("component", "i", F.lit(0).cast("long").alias("j"), "node", "text", F.col("node").alias("label"), F.lit(True).alias("left"))
+    links = X.written(compared(alone, size, percent), "links")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    # what the blocks did not join: sets outside the largest component of their group against all of it
+    label = components(links)
+    large = large.join(label.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    most = large.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    large = X.written(large.join(most, "component").withColumn("outside", F.col("label") != F.col("most")), "outside")
+    shares = large.where("outside").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    large = large.join(shares, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")))
+    parts = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    one = F.transform(parts, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
+    two = F.when(F.col("outside"), F.transform(every, lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("left")))).otherwise(F.filter(one, lambda x: x["left"]))
+    rows = large.select("_id", "_th", "component", "node", "label", F.explode(F.concat(one, two)).alias("t"))
+    rows = texts.join(rows, ["_id", "_th"]).select("component", "t.i", "t.j", "node", "text", "label", "t.left")
+    return links.unionByName(compared(rows, size, percent))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for linked nodes, the component named by its least node: alternating large and small stars.
 
-    Every round is a join with each node's least neighbour, so a node with very many links is split like any skewed join.
+    Every round joins with each node's least neighbour. Those are written first, so that both sides of the join are
+    shuffles of their own and a node with very many links is split like any skewed join.
     """
     edges = X.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     while True:
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = X.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = X.written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        down = X.written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         after = X.written(small.where("u <> v").distinct(), "links")
         a, b = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, after))
@@ -233,7 +268,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
     star = bands.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     groups = X.written(components(star), "groups")
-    links = confirmed(groups, nodes.drop("registers"), texts, size, percent)
+    links = confirmed(groups, nodes, texts, size, percent)
     joined = X.written(components(links), "components")
     named = joined.join(nodes.select("node", "_id"), "node").groupBy("component").agg(F.min("_id").alias("component_id"))
     label = joined.join(named, "component").select("node", "component_id")
@@ -248,7 +283,7 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     rows = X.keyed(documents, whole=True).join(kept, ["_id", "_th"])
     first = Window.partitionBy("_id", "_th").orderBy("_id")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return rows.select(*(F.col("text").cast(documents.schema["text"].dataType).alias("text") if c == "text" else F.col("_doc").getField(c).alias(c) for c in documents.columns))
+    return X.unkeyed(rows, documents)
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -93,33 +93,41 @@ def _gradient(model: Model, x: np.ndarray, slope: np.ndarray) -> list[np.ndarray
     return [x.T @ back, back.sum(0), h.T @ slope, np.array(slope.sum())]
 
 
+def step(model: Model, pos: np.ndarray, unl: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """The negative part of the risk over two samples, and the gradient of what a step of training lowers.
+
+    Logistic loss: as negative -log(1 - s), slope s; as positive -log s, slope s - 1. The negative part must not fall
+    below zero: where it has, it is stepped back. prior None: positives against unlabelled rows, as an ordinary classifier.
+    """
+    sp, su = (1 / (1 + np.exp(-np.clip(np.concatenate([x, model.hidden(x)], 1) @ model.weights[2] + model.weights[3], -30, 30))) for x in (pos, unl))
+    n, m = len(pos), len(unl)
+    risk = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + (prior or 0) * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
+    if prior is None:
+        slopes = (sp - 1) / n, su / m
+    elif risk >= 0:
+        slopes = prior * ((sp - 1) - sp) / n, su / m
+    else:
+        slopes = prior * sp / n, -su / m
+    return float(risk), [a + b for a, b in zip(_gradient(model, pos, slopes[0]), _gradient(model, unl, slopes[1]), strict=True)]
+
+
 def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, seed: int, width: int = 16) -> Model:
-    """prior None: an ordinary classifier of positives against unlabelled rows."""
+    """Adam over random batches of both samples, at a falling rate, with a small decay of weights."""
     rng = np.random.default_rng(seed)
     mean, scale = _moments(pos, unl)
     scale += 1e-3
     k = pos.shape[1]
     model = Model(mean, scale, [rng.normal(0, k**-0.5, (k, width)), np.zeros(width), np.zeros(k + width), np.array(0.0)])
     first, second = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights]
-    size = 512
-    for step in range(1, steps + 1):
-        xp, xu = (np.clip((x[rng.integers(0, len(x), size)] - mean) / scale, -8, 8) for x in (pos, unl))
-        sp, su = (1 / (1 + np.exp(-np.clip(np.concatenate([x, model.hidden(x)], 1) @ model.weights[2] + model.weights[3], -30, 30))) for x in (xp, xu))
-        if prior is None:
-            slope_p, slope_u = (sp - 1) / size, su / size
-        else:
-            # logistic loss: as negative -log(1 - s), slope s; as positive -log s, slope s - 1
-            risk = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-            if risk >= 0:
-                slope_p, slope_u = prior * ((sp - 1) - sp) / size, su / size
-            else:  # the negative part must not fall below zero: step it back
-                slope_p, slope_u = prior * sp / size, -su / size
-        grads = [a + b + 1e-4 * w for a, b, w in zip(_gradient(model, xp, slope_p), _gradient(model, xu, slope_u), model.weights, strict=True)]
-        rate = 0.01 * (1 - step / (steps + 1))
+    for t in range(1, steps + 1):
+        xp, xu = (np.clip((x[rng.integers(0, len(x), 512)] - mean) / scale, -8, 8) for x in (pos, unl))
+        _, grads = step(model, xp, xu, prior)
+        rate = 0.01 * (1 - t / (steps + 1))
         for i, g in enumerate(grads):
+            g = g + 1e-4 * model.weights[i]
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
-            model.weights[i] = model.weights[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
+            model.weights[i] = model.weights[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.99**t)) + 1e-8)
     return model
 
 
@@ -149,11 +157,16 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1200, seed: i
     return _train(positive, unlabelled, class_prior(positive, unlabelled, seed), steps, seed)
 
 
+def bound(limit: int, n: int) -> int:
+    """The 64-bit hash up to which a row is drawn, so that about limit of n rows are, however many there are."""
+    return (1 << 63) - 1 if n <= limit else (limit << 64) // n - (1 << 63)
+
+
 def sample(documents: DataFrame, wanted: DataFrame, limit: int) -> np.ndarray:
     """Features of at most about limit documents among wanted doc_ids (all documents if None), least hashes first."""
     ids = documents.select("doc_id") if wanted is None else wanted.select("doc_id").distinct()
     n = ids.count()
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * min(1, limit / max(n, 1)))
+    chance = F.xxhash64("doc_id", F.lit(17)) <= bound(limit, n)
     rows = documents.select("doc_id", "text").where(chance)
     if wanted is not None:
         rows = rows.join(ids.where(chance), "doc_id", "left_semi")
@@ -165,6 +178,8 @@ def sample(documents: DataFrame, wanted: DataFrame, limit: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
     got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x binary").toArrow()
+    if limit < n and not got.num_rows:
+        raise ValueError("no row was drawn for the sample")
     got = got.sort_by([("doc_id", "ascending"), ("x", "ascending")]).column("x").combine_chunks()
     return text_bytes(got)[0].view(np.float32).reshape(-1, WIDTH)
 

@@ -7,9 +7,9 @@ the same text gets other segmentations under other seeds and in other documents,
 rate 0 the result is the model's own.
 
 No piece crosses from a letter to the mark of a space, so a text falls into units of spaces
-and the letters after them. A unit's result depends on which of its possible candidates are skipped and on nothing else:
-these are drawn for each occurrence, and results are kept per worker by unit and skipped candidates, up to ``KEPT``, the
-latest longest. The agendas of what is not kept run together in numpy, one candidate of each unit a step. A
+and the letters after them. A unit that a worker meets often has a tree of its agenda (:class:`Tree`): a node is the next candidate, its two
+branches are to take and to skip it. Occurrences go down the trees together, each by its own draws, and branches grow where one first goes, so
+that nothing is drawn but what the agenda asks. The other units' agendas run together in numpy, one candidate of each unit a step. A
 literal U+2581 is sent as bytes, where the model would take it for a space.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.kernels import mix, slices
+from cadenza.llm.kernels import SLICE_BYTES, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, KEPT = 0.1, 0, 1_000_000
-TOGETHER, LONG = 16_384, 256
-DRAWN, BITS, SHORT = 65_536, 62, 24  # occurrences drawn at once; candidates and characters of a unit that is kept
+RATE, SEED = 0.1, 0
+TOGETHER, LONG = 4096, 256
+OFTEN, SHORT, GROW = 16, 24, 4  # occurrences after which a unit gets a tree, its characters at most, occurrences that make a branch
+NODES, COUNTED = 400_000, 1_000_000  # of the trees and of the units counted, before both begin anew
 MARK = "▁"
 _LAST, _GONE, _ALL = np.int64(1 << 62), -(1 << 40), (1 << 64) - 1
 
@@ -43,6 +45,84 @@ def _mix(h: int) -> int:
     return h ^ h >> 32
 
 
+class Tree:
+    """The agendas of units as decision trees, grown as they are walked."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.roots: dict[str, int] = {}
+        self.seen: dict[str, int] = {}
+        self.n = 0
+        self.place = np.zeros(1024, np.uint64)  # hash of a node's candidate
+        self.branch = np.full((1024, 2), -1, np.int64)  # the node after taking or skipping it
+        self.leaf = np.full(1024, -1, np.int64)  # a result's number, where no candidate is left
+        self.states: list = []
+        self.results: list[bytes] = []
+
+    def node(self, ends: tuple, pieces: tuple, skipped: frozenset) -> int:
+        """A new node for symbols with these ends and pieces: its next candidate is the best that is not skipped, leftmost among equals."""
+        merges, size = self.codec.merges, self.codec.size
+        best, start = None, 0
+        for k in range(len(pieces) - 1):
+            left, right = pieces[k], pieces[k + 1]
+            if left >= 0 and right >= 0:
+                found = merges.get(left * size + right)
+                if found and (best is None or found[0] < best[0]) and (start, ends[k], ends[k + 1]) not in skipped:
+                    best = found[0], k, found[1], start
+            start = ends[k]
+        n = self.n
+        if n == len(self.place):
+            self.place, self.leaf = np.append(self.place, np.zeros(n, np.uint64)), np.append(self.leaf, np.full(n, -1))
+            self.branch = np.append(self.branch, np.full((n, 2), -1), axis=0)
+        self.n += 1
+        if best is None:
+            self.leaf[n] = len(self.results)
+            whole = min(pieces) >= 0
+            self.results.append(array("i", pieces).tobytes() if whole else self.codec._ids(np.array(pieces, np.int64), np.zeros(len(pieces), np.int64), 1)[0])
+            self.states.append(None)
+        else:
+            _, k, made, start = best
+            self.place[n] = _mix((start << 40) + (ends[k] << 20) + ends[k + 1] + 1)
+            self.states.append((ends, pieces, skipped, k, made, start))
+        return n
+
+    def grow(self, n: int, skip: int):
+        ends, pieces, skipped, k, made, start = self.states[n]
+        if skip:
+            after = self.node(ends, pieces, skipped | {(start, ends[k], ends[k + 1])})
+        else:
+            after = self.node(ends[:k] + ends[k + 1 :], pieces[:k] + (made,) + pieces[k + 2 :], skipped)
+        self.branch[n, skip] = after
+
+    def plant(self, units: list[str]):
+        piece, length = self.codec._symbols(units)
+        at = 0
+        for unit, n in zip(units, length.tolist(), strict=True):
+            self.roots[unit] = self.node(tuple(range(1, n + 1)), tuple(piece[at : at + n].tolist()), frozenset())
+            at += n
+
+    def walk(self, roots: np.ndarray, keys: np.ndarray, bound: int) -> list[bytes | None]:
+        """The results of occurrences by their hash keys; None for those that go where fewer than GROW have gone together and no branch is."""
+        at = roots.copy()
+        live = np.flatnonzero(self.leaf[at] < 0)
+        while len(live):
+            node = at[live]
+            skip = (mix(keys[live] ^ self.place[node]) < np.uint64(bound)).astype(np.int64)
+            after = self.branch[node, skip]
+            new = np.flatnonzero(after < 0)
+            if len(new):
+                pairs, count = np.unique(node[new] * 2 + skip[new], return_counts=True)
+                for pair in pairs[count >= GROW].tolist():
+                    self.grow(pair >> 1, pair & 1)
+                after = self.branch[node, skip]
+                at[live[after < 0]] = -1
+                live, after = live[after >= 0], after[after >= 0]
+            at[live] = after
+            live = live[self.leaf[after] < 0]
+        results = [*self.results, None]
+        return [results[k] for k in np.where(at < 0, -1, self.leaf[at]).tolist()]
+
+
 class Codec:
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
@@ -73,15 +153,41 @@ class Codec:
         pairs = sorted((usable[p[:k]] * n + usable[p[k:]], rank[sp.get_score(i)], i) for p, i in usable.items() for k in range(1, len(p)) if p[:k] in usable and p[k:] in usable)
         self.pair, self.rank, self.merged = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.merges = {int(p): (int(r), int(m)) for p, r, m in zip(self.pair, self.rank, self.merged, strict=True)}
-        self.hash_bits = 22  # a filter before the search of pairs
-        self.seen = np.zeros(1 << self.hash_bits, bool)
-        self.seen[self._slot(self.pair)] = True
+        self._hashed()
         joint = {c for p in usable if len(p) > 1 for c in p}
         # a character of no longer piece stands alone; a new line is the one that matters
         self.unit = re.compile(r"\n| *[^ \n]+| +" if "\n" not in joint else r" *[^ ]+| +")
+        self.unit_bytes = re.compile(self.unit.pattern.encode())
+
+    def _hashed(self):
+        """An open table of pairs with the next free slot after a pair's own, so that a look-up is a few gathers."""
+        bits = max(10, int(len(self.pair) * 6).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.full((1 << bits) + 64, -1, np.int64)  # which pair, by number
+        self.slot_pair = np.full((1 << bits) + 64, -1, np.int64)
+        for k, at in enumerate(self._slot(self.pair).tolist()):
+            while self.slots[at] >= 0:
+                at += 1
+            self.slots[at], self.slot_pair[at] = k, self.pair[k]
 
     def _slot(self, pair):
-        return mix(pair.astype(np.uint64)) >> np.uint64(64 - self.hash_bits)
+        h = pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> self.shift).astype(np.int64)
+
+    def look_up(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these pairs merge, and their numbers."""
+        at = self._slot(pair)
+        held = self.slot_pair[at]
+        found = np.where(held == pair, self.slots[at], -1)
+        todo = np.flatnonzero((held >= 0) & (held != pair))
+        while len(todo):
+            at[todo] += 1
+            held = self.slot_pair[at[todo]]
+            same = held == pair[todo]
+            found[todo[same]] = self.slots[at[todo[same]]]
+            todo = todo[(held >= 0) & ~same]
+        ok = np.flatnonzero(found >= 0)
+        return ok, found[ok]
 
     def candidates(self, left, right, key, start, middle, end, rate):
         """Ranks and results of pairs; a skipped pair and one that is no piece rank last."""
@@ -89,10 +195,8 @@ class Codec:
         made = np.full(len(left), -1, np.int64)
         pair = left * self.size + right
         at = np.flatnonzero((left >= 0) & (right >= 0))
-        at = at[self.seen[self._slot(pair[at])]]
-        where = np.minimum(np.searchsorted(self.pair, pair[at]), len(self.pair) - 1)
-        ok = self.pair[where] == pair[at]
-        at, where = at[ok], where[ok]
+        ok, where = self.look_up(pair[at])
+        at = at[ok]
         if rate > 0:
             place = (start[at].astype(np.uint64) << np.uint64(40)) + (middle[at].astype(np.uint64) << np.uint64(20)) + end[at].astype(np.uint64)
             ok = mix(key[at] ^ mix(place + np.uint64(1))) >= np.uint64(min(int(rate * 2.0**64), (1 << 64) - 1))
@@ -213,72 +317,39 @@ class Codec:
         kept = np.array([p for p in piece if p != _GONE], np.int64)
         return self._ids(kept, np.zeros(len(kept), np.int64), 1)[0]
 
-    def units(self, text: str) -> list[str]:
-        return self.unit.findall(" " + text) if text else []
-
-    def possible(self, unit: str) -> np.ndarray | None:
-        """Hashes of the places of all candidates that a unit can have; None where they are not listed."""
-        n = len(unit)
-        if n > SHORT or MARK in unit:
-            return None
-        text = unit.replace(" ", MARK)
-        piece = {(a, b): i for a in range(n) for b in range(a + 1, n + 1) if (i := self.usable.get(text[a:b])) is not None}
-        found = [(a << 40) + (m << 20) + b for (a, m), left in piece.items() for b in range(m + 1, n + 1) if (right := piece.get((m, b))) is not None and left * self.size + right in self.merges]
-        return mix(np.array(found, np.uint64) + np.uint64(1)) if len(found) <= BITS else None
-
-    def skipped(self, units: list[str], keys: np.ndarray, known: dict[str, np.ndarray | None], rate: float) -> list[int]:
-        """Which of its possible candidates each occurrence skips, as bits; -1 where they are not listed."""
-        if rate <= 0:
-            return [0] * len(units)
-        if len(known) > KEPT // 8:
-            known.clear()
-        number: dict[str, int] = {}
-        which = np.array([number.setdefault(u, len(number)) for u in units], np.int64)
-        lists = []
-        for u in number:
-            if u not in known:
-                known[u] = self.possible(u)
-            lists.append(known[u])
-        size = np.array([0 if x is None else len(x) for x in lists], np.int64)
-        first = np.cumsum(size) - size
-        places = np.concatenate([x for x in lists if x is not None] or [np.zeros(0, np.uint64)])
-        bits = np.where(np.array([x is None for x in lists])[which], -1, 0)
-        bound = np.uint64(min(int(rate * 2.0**64), (1 << 64) - 1))
-        for k in range(0, len(units), DRAWN):
-            w = which[k : k + DRAWN]
-            n = size[w]
-            owner = np.repeat(np.arange(len(w)), n)
-            j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            hit = np.flatnonzero(mix(keys[k : k + DRAWN][owner] ^ places[first[w][owner] + j]) < bound)
-            np.bitwise_or.at(bits, owner[hit] + k, np.left_shift(np.int64(1), j[hit]))
-        return bits.tolist()
-
     def encode(self, texts: list[str], docs: list[int], kept: dict, seed: int = SEED, rate: float = RATE) -> list[bytes]:
-        """Ids of texts; docs has a number for each document. kept holds the results met lately and those met before them."""
-        cut = [self.units(t) for t in texts]
+        """Ids of texts; docs has a number for each document. kept holds the trees of units met often."""
+        cut = [self.unit_bytes.findall(f" {t}".encode("utf-8", "surrogatepass")) if t else [] for t in texts]
         count = np.array([len(units) for units in cut], np.int64)
-        units = [u for own in cut for u in own]
-        place = np.arange(len(units)) - np.repeat(np.cumsum(count) - count, count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         doc = np.repeat(np.array(docs, np.int64).view(np.uint64), count)
         keys = mix(mix(doc ^ mix(place.astype(np.uint64) + np.uint64(1))) + np.uint64(seed * 0x9E3779B97F4A7C15 & _ALL))
-        names = [*zip(units, self.skipped(units, keys, kept.setdefault("possible", {}), rate), strict=True)]
-        own = kept.setdefault("results", [{}, {}])
-        if len(own[0]) > KEPT // 4:
-            own[:] = [{}, own[0]]
-        lately, older = own
-        found: list = []
-        todo: list[int] = []
-        again: dict[tuple, int] = {}
-        for k, name in enumerate(names):
-            blob = lately.get(name) if name[1] >= 0 else None
-            if blob is None and name[1] >= 0 and (blob := older.get(name)) is not None:
-                lately[name] = blob
-            if blob is None and (name[1] < 0 or again.setdefault(name, k) == k):
-                todo.append(k)
-            found.append(blob)
-        made = dict(zip(todo, self.encode_units([units[k] for k in todo], keys[todo], rate), strict=True)) if todo else {}
-        lately.update((name, made[k]) for name, k in again.items())
-        found = [made[k if name[1] < 0 else again[name]] if blob is None else blob for k, (name, blob) in enumerate(zip(names, found, strict=True))]
+        coded = pa.array([u for own in cut for u in own], pa.binary()).dictionary_encode()
+        which = coded.indices.to_numpy()
+        units = [u.decode("utf-8", "surrogatepass") for u in coded.dictionary.to_pylist()]
+        tree: Tree = kept.setdefault("tree", None) or Tree(self)
+        if tree.n > NODES or len(tree.seen) > COUNTED:
+            tree = Tree(self)
+        kept["tree"] = tree
+        new, first = [], []
+        for u, n in zip(units, np.bincount(which, minlength=len(units)).tolist(), strict=True):
+            root = tree.roots.get(u, -1)
+            if root < 0 and len(u) <= SHORT:
+                seen = tree.seen.get(u, 0) + n
+                tree.seen[u] = seen
+                if seen >= OFTEN:
+                    new.append(u)
+            first.append(root)
+        if new:
+            tree.plant(new)
+            first = [tree.roots.get(u, -1) for u in units]
+        roots = np.array(first, np.int64)[which]
+        found = np.empty(len(which), object)
+        often = np.flatnonzero(roots >= 0)
+        found[often] = tree.walk(roots[often], keys[often], min(int(rate * 2.0**64), _ALL) if rate > 0 else 0)
+        seldom = np.flatnonzero(found == None)  # noqa: E711
+        found[seldom] = self.encode_units([units[k] for k in which[seldom].tolist()], keys[seldom], rate)
+        found = found.tolist()
         ends = np.cumsum(count).tolist()
         return [b"".join(found[e - n : e]) for e, n in zip(ends, count.tolist(), strict=True)]
 
@@ -310,7 +381,7 @@ def encoded(documents: DataFrame, key: str = "doc_id", model: str = MODEL, seed:
     def run(batches):
         own, kept = codec(sent), {}
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 * SLICE_BYTES):
                 texts = part.column("text").to_pylist()
                 blobs = own.encode([t or "" for t in texts], part.column("_doc").to_pylist(), kept, seed, rate)
                 sizes = np.array([len(b) // 4 for b in blobs])

@@ -7,7 +7,7 @@ contain it are extended: windows of equal word sequence meet, the earliest stays
 and runs of the others are the maximal repeats that are removed.
 
 Probes travel as 32 bits beyond the bucket's (a chance hit costs a comparison and
-changes nothing); windows are compared by 64-bit fingerprints.
+changes nothing); windows are compared by fingerprints of 128 bits.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import exchange as X
-from cadenza.llm.kernels import Rolling, covered, mix, pack, unpack, word_hashes, words
+from cadenza.llm.kernels import covered, pack, sequences, unpack, word_hashes, words
 from cadenza.llm.suffix_dedup import distinct
 
 
@@ -40,13 +40,14 @@ def _probe(chunk: X.Chunk, bits: int, block: int):
     places = stretches(first, block)
     if not len(places):
         return
-    prints = mix(Rolling(word_hashes(chunk.data, starts, ends)).at(places, places + block))
+    prints = sequences(word_hashes(chunk.data, starts, ends), block)[0][0][places]
     indexed = (places - first[np.searchsorted(first, places, "right") - 1]) % block == 0
-    prints, entry, count = distinct(prints)
+    head, entry, count = distinct(prints)
+    prints = prints[head]
     anchor = np.zeros(len(prints), bool)
     anchor[entry[indexed]] = True
     yield chunk.header(first, places, entry)
-    yield from chunk.items(prints, bits, lambda chosen: (np.packbits(anchor[chosen]).tobytes(), np.packbits(count[chosen] > 1).tobytes()), keep=np.uint32)
+    yield from chunk.items(prints, bits, lambda chosen: {"c": np.packbits(anchor[chosen]).tobytes(), "d": np.packbits(count[chosen] > 1).tobytes()}, keep=np.uint32)
 
 
 def flags(rows: list[dict], name: str) -> np.ndarray:
@@ -78,10 +79,11 @@ def _extend(answers: X.Answers, window: int, block: int):
             yield {"_id": int(answers.ids[k]), "_th": int(answers.hashes[k]), "spots": b"", "more": X.joined(lo, hi)}
 
 
-def earliest(prints: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order by fingerprint, document and start, and where each fingerprint begins in it."""
-    order = np.lexsort((starts, ids, prints))
-    return order, np.flatnonzero(np.concatenate([[True], np.diff(prints[order]) != 0]))
+def earliest(prints: np.ndarray, more: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by fingerprint (of two parts), document and start, and where each fingerprint begins in it."""
+    order = np.lexsort((starts, ids, more, prints))
+    a, b = prints[order], more[order]
+    return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
 
 
 def _windows(chunk: X.Chunk, bits: int, window: int):
@@ -95,8 +97,9 @@ def _windows(chunk: X.Chunk, bits: int, window: int):
     if not places:
         return
     places, doc = np.concatenate(places), np.concatenate(doc)
-    prints = mix(Rolling(word_hashes(chunk.data, starts, ends)).at(places, places + window))
-    order, begin = earliest(prints, chunk.ids[doc], places - first[doc])
+    ((prints, more),) = sequences(word_hashes(chunk.data, starts, ends), window)
+    prints, more = prints[places], more[places]
+    order, begin = earliest(prints, more, chunk.ids[doc], places - first[doc])
     group = np.empty(len(order), np.int64)
     group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
     head = order[begin]  # the place that speaks for each fingerprint
@@ -106,7 +109,7 @@ def _windows(chunk: X.Chunk, bits: int, window: int):
     head = head[by_place]
     ids, at = chunk.ids[doc[head]], (places - first[doc])[head]
     yield chunk.header(first, places, rank[group]) | {"d": pack(X.steps(head))}
-    yield from chunk.items(prints[head], bits, lambda chosen: (pack(np.diff(ids[chosen], prepend=0)), pack(at[chosen].astype(np.uint32))))
+    yield from chunk.items(prints[head], bits, lambda chosen: {"c": pack(np.diff(ids[chosen], prepend=0)), "d": pack(at[chosen].astype(np.uint32)), "e": more[head[chosen]].tobytes()})
 
 
 def _later(rows: list[dict]):
@@ -114,7 +117,7 @@ def _later(rows: list[dict]):
     items = X.Items(rows)
     ids = np.concatenate([np.cumsum(unpack(r["c"], np.int64)) for r in rows])
     starts = items.column("d", np.uint32)
-    order, begin = earliest(items.prints, ids, starts)
+    order, begin = earliest(items.prints, np.concatenate([np.frombuffer(r["e"], np.uint64) for r in rows]), ids, starts)
     size = np.diff(np.append(begin, len(order)))
     least_id, least = np.repeat(ids[order[begin]], size), np.repeat(starts[order[begin]], size)
     late = np.zeros(len(order), bool)

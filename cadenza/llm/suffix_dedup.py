@@ -3,20 +3,18 @@
 Suffixes are sampled by content: within every ``min_bytes`` bytes the suffix
 whose leading ``PREFIX`` bytes have the least fingerprint is taken, so two equal
 stretches of that length have a sampled suffix at the same offset, and about one
-byte in fifty starts one. A suffix array holds the sampled suffixes of one batch of
-documents, sorted by the fingerprint of their leading bytes and cut by that
-order into buckets, each of which one task holds. A new batch gets its own array,
-is merge-scanned against the levels of the family for suffixes with equal
-leading bytes, and enters the family at level 0; two levels of equal rank merge
-into the next (:class:`Family`). Each suffix enters twice, under its leading
-bytes and under its context, the stretch of all strings of ``min_bytes`` that it stands for.
+byte in fifty starts one. The corpus enters an :class:`Index` in batches. A batch's array holds its sampled
+suffixes by the fingerprint of their leading bytes, a sorted run for each bucket of a table in the shared folder; it is
+merge-scanned against the arrays of the index's levels for suffixes with equal leading
+bytes, and enters the family at level 0; two arrays of equal rank merge into one of the next.
 
 A suffix owns the ``min_bytes`` strings in which it is the one sampled. If all of
 these together repeat (its context), they are settled. The strings that the others
 own, at the ends of repeats, are compared themselves by a second exchange,
 together with those of one witness for each repeated context that also has partial matches.
 
-Fingerprints have 64 bits; equal ones are taken as equal strings.
+A match of leading bytes (64 bits) only makes a candidate. Contexts and strings are compared by fingerprints of
+128 bits, and equal ones are taken as equal strings.
 """
 
 from __future__ import annotations
@@ -27,68 +25,127 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import exchange as X
-from cadenza.llm.kernels import Rolling, byte_values, covered, mix, pack, runs, sliding_min, text_bytes, unpack
+from cadenza.llm.kernels import byte_windows, covered, fuse, mix, pack, runs, sliding_min, text_bytes, unpack
 
 PREFIX = 96
-BATCHES = 8
-LEADING, CONTEXT, LEVEL = 1, 5, 9  # kinds of items; the answer's kind is larger by 2
+BATCHES = 4
+LEADING, CONTEXT, LEVEL, MATCH = 1, 5, 9, 10  # kinds of rows; the kind of an answer is larger by 2
+PLACE = np.uint64((1 << 32) - 1)
 FIRST, MANY = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
+ARRAY = "bucket long, a binary, c binary"
+ARROW_ARRAY = pa.schema([("bucket", pa.int64()), ("a", pa.binary()), ("c", pa.binary())])
 
 
-class Family:
-    """Levels of sorted fingerprints with how often each starts, in one bucket.
+def arrayed(rows: DataFrame) -> DataFrame:
+    """One row for each bucket: its distinct fingerprints in order and how often each starts, from runs of any number."""
 
-    Level i holds about 2**i batches or none. ``add`` scans a new batch against every
-    level, then carries it up as a binary counter does.
+    def merge(table: pa.Table) -> pa.Table:
+        prints = np.concatenate([unpack(x, np.uint64) for x in table.column("a").to_pylist()])
+        counts = np.concatenate([unpack(x, np.uint32) for x in table.column("c").to_pylist()]).astype(np.int64)
+        order, first = X.groups(prints)  # runs that are sorted merge
+        total = np.minimum(np.add.reduceat(counts[order], first), int(MANY)).astype(np.uint32) if len(first) else counts.astype(np.uint32)
+        return pa.Table.from_pylist([{"bucket": table.column("bucket")[0].as_py(), "a": pack(prints[order][first]), "c": pack(total)}], schema=ARROW_ARRAY)
+
+    return rows.select("bucket", "a", "c").groupBy("bucket").applyInArrow(merge, ARRAY)
+
+
+def matched(new: DataFrame, old: DataFrame) -> DataFrame:
+    """The suffixes of a new array that an old one holds too: one merge-scan for each bucket."""
+
+    def scan(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return pa.Table.from_pylist([], schema=ARROW_ARRAY)
+        prints, level = (unpack(x.column("a")[0].as_py(), np.uint64) for x in (one, two))
+        both = np.intersect1d(prints, level, assume_unique=True)
+        return pa.Table.from_pylist([{"bucket": one.column("bucket")[0].as_py(), "a": pack(both), "c": b""}] if len(both) else [], schema=ARROW_ARRAY)
+
+    return new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(scan, ARRAY)
+
+
+def repeated(array: DataFrame) -> DataFrame:
+    """The suffixes of an array that start more than once in it."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, a, c in zip(*(batch.column(x).to_pylist() for x in ("bucket", "a", "c")), strict=True):
+                prints = unpack(a, np.uint64)[unpack(c, np.uint32) > 1]
+                if len(prints):
+                    yield pa.RecordBatch.from_pylist([{"bucket": bucket, "a": pack(prints), "c": b""}], schema=ARROW_ARRAY)
+
+    return array.mapInArrow(run, ARRAY)
+
+
+class Index:
+    """Levels of suffix arrays as tables: level k holds 2**k batches or is missing, as in a binary counter.
+
+    bits, min_bytes and prefix must stay the same for an index's life. Levels are never changed, only replaced, so
+    an answer that has been planned stays good. Write ``levels`` elsewhere to keep them beyond the session.
     """
 
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray] | None] = []
-
-    @staticmethod
-    def array(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
-        return prints[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
-
-    def found(self, prints: np.ndarray) -> np.ndarray:
-        """How often each of these sorted fingerprints starts in the family."""
-        total = np.zeros(len(prints), np.int64)
-        for level in self.levels:
-            if level is not None and len(level[0]):
-                at = np.minimum(np.searchsorted(level[0], prints), len(level[0]) - 1)
-                total += np.where(level[0][at] == prints, level[1][at], 0)
-        return total
-
-    def add(self, prints: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Enter a batch; the fingerprints that it shares with older batches."""
-        new = self.array(prints, counts)
-        shared = new[0][self.found(new[0]) > 0]
-        for k in range(len(self.levels) + 1):
-            if k == len(self.levels):
-                self.levels.append(None)
-            if self.levels[k] is None:
-                self.levels[k] = new
-                break
-            old, self.levels[k] = self.levels[k], None
-            new = self.array(np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]]))
-        return shared
+    def __init__(self, min_bytes: int = 200, prefix: int | None = None, bits: int = 9, levels: dict[int, DataFrame] | None = None):
+        self.size, self.bits, self.levels = min_bytes, bits, dict(levels or {})
+        self.prefix = prefix or min(PREFIX, max(1, min_bytes // 3))
+
+    def read(self, texts: DataFrame) -> DataFrame:
+        """Exchange rows of keyed texts: headers, and what each chunk knows of its suffixes and contexts."""
+        bits, size, prefix = self.bits, self.size, self.prefix
+        return X.sent(texts, lambda c: _read(c, bits, size, prefix))
+
+    def enter(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Enter a batch's exchange rows: suffixes that repeat within the batch, and those that older batches hold too."""
+        array = X.written(arrayed(rows.where(F.col("kind") == LEADING)), "level")
+        within, shared = repeated(array), None
+        for level in self.levels.values():
+            found = matched(array, level)
+            shared = found if shared is None else shared.unionByName(found)
+        rank = 0
+        while rank in self.levels:
+            array = X.written(arrayed(array.unionByName(self.levels.pop(rank))), "level")
+            rank += 1
+        self.levels[rank] = array
+        return within, within.limit(0) if shared is None else shared
+
+    def add(self, documents: DataFrame) -> DataFrame:
+        """Enter documents; ``_id, _th, spots``: the ranges of starts of strings whose sampled suffix older batches hold too, candidates."""
+        rows = X.written(self.read(X.keyed(documents)), "batch").where(F.col("kind") != CONTEXT)
+        _, shared = self.enter(rows)
+
+        def answer(rows):
+            items = X.Items([r for r in rows if r["kind"] == LEADING])
+            known = [unpack(r["a"], np.uint64) for r in rows if r["kind"] == MATCH]
+            hit = np.isin(items.prints, np.concatenate(known)) if known else np.zeros(len(items.prints), bool)
+            yield from items.answers(hit, np.ones(len(hit), np.uint32))
+
+        def matches(answers):
+            hit = answers.values(LEADING, int(answers.entry.max()) + 1)[answers.entry] > 0
+            blob = answers.head["d"]
+            width = unpack(blob[len(blob) // 2 :], np.uint32).astype(np.int64) + 1
+            told = np.flatnonzero(hit)
+            for k, s, e in answers.by_document(answers.places[told]):
+                lo = answers.places[told[s:e]] - answers.starts[k]
+                yield {"_id": int(answers.ids[k]), "_th": int(answers.hashes[k]), "spots": X.joined(lo, lo + width[told[s:e]]), "more": b""}
+
+        return X.collected(X.answered(rows.unionByName(as_rows(shared, MATCH)), answer), matches)
+
+
+def as_rows(array: DataFrame, kind: int) -> DataFrame:
+    """An array in the exchange's columns."""
+    none = F.lit(b"")
+    return array.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("n"), "a", none.alias("b"), "c", none.alias("d"), none.alias("e"))
 
 
 def sampled(data: np.ndarray, offsets: np.ndarray, size: int, prefix: int) -> tuple[np.ndarray, ...]:
-    """The sampled suffixes of a chunk: fingerprint of the leading bytes, first and last of the strings that each owns, fingerprint of those.
+    """The sampled suffixes of a chunk: fingerprint of the leading bytes, first and last of the strings that each owns, 128 bits of those.
 
     Every string of ``size`` bytes inside a document is owned by the leftmost least fingerprint of ``prefix`` bytes in it.
     """
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     n = len(data)
     if n < size:
         return none
-    roll = Rolling(byte_values(data))
-    lead = mix(roll.windows(prefix))
-    place = np.uint64((1 << n.bit_length()) - 1)
-    owner = sliding_min((lead & ~place) | np.arange(len(lead), dtype=np.uint64), size - prefix + 1) & place
+    (lead, _), (one, two) = byte_windows(data, prefix, size)
+    # the upper 32 bits decide, then the left: the same in every text that a string stands in, whatever its length
+    owner = sliding_min((lead & ~PLACE) | np.arange(len(lead), dtype=np.uint64), size - prefix + 1) & PLACE
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, np.maximum(offsets[1:-1] - size + 1, 0), 1)
     np.add.at(edge, offsets[1:-1], -1)
@@ -98,53 +155,68 @@ def sampled(data: np.ndarray, offsets: np.ndarray, size: int, prefix: int) -> tu
     owner = owner[inside].astype(np.int64)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     at, lo, hi = owner[first], inside[first], inside[np.append(first[1:], len(owner)) - 1]
-    context = mix(mix(roll.at(lo, hi + size)) + ((at - lo) * 4 * size + (hi - at)).astype(np.uint64))
-    return lead[at], lo, hi, context
-
-
-def distinct(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order of first place, the entry of each place, and how often each occurs."""
-    values, first, entry, count = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+    # two strings that overlap are their context; the shape tells where the suffix lies in it
+    shape = mix(((at - lo) * 4 * size + (hi - at)).astype(np.uint64) + np.uint64(1))
+    return lead[at], lo, hi, mix(fuse(fuse(one[lo], one[hi]), shape)), mix(fuse(fuse(two[lo], two[hi], 1), shape, 1))
+
+
+def distinct(prints: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First places of distinct values in order, the entry of each place, and how often each occurs."""
+    if more is None:
+        _, first, entry, count = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
+    else:
+        at, begin = X.groups(prints, more)
+        count = np.diff(np.append(begin, len(at)))
+        entry = np.empty(len(at), np.int64)
+        entry[at] = np.repeat(np.arange(len(begin)), count)
+        first = at[begin]  # the order is stable
     order = np.argsort(first)
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    return values[order], rank[entry], count[order]
+    return first[order], rank[entry], count[order]
 
 
 def _read(chunk: X.Chunk, bits: int, size: int, prefix: int):
-    lead, lo, hi, context = sampled(chunk.data, chunk.offsets, size, prefix)
+    lead, lo, hi, context, more = sampled(chunk.data, chunk.offsets, size, prefix)
     if not len(lo):
         return
     leads, own, count = distinct(lead)
-    contexts, whole, many = distinct(context)
+    contexts, whole, many = distinct(context, more)
     yield chunk.header(chunk.offsets, lo, own) | {"d": pack(X.steps(whole)) + pack((hi - lo).astype(np.uint32))}
-    for kind, prints, n in ((LEADING, leads, count), (CONTEXT, contexts, many)):
-        for row in chunk.items(prints, bits, lambda chosen, n=n: (pack(n[chosen].astype(np.uint32)), b""), kind):
-            yield row | {"bucket": row["bucket"] * 2 + (kind == CONTEXT)}  # the two kinds have buckets of their own
+    for row in chunk.items(lead[leads], bits, lambda chosen: {"c": pack(count[chosen].astype(np.uint32))}, LEADING):
+        yield row | {"bucket": row["bucket"] * 2}
+    more = more[contexts]
+    for row in chunk.items(context[contexts], bits, lambda chosen: {"c": pack(many[chosen].astype(np.uint32)), "e": more[chosen].tobytes()}, CONTEXT):
+        yield row | {"bucket": row["bucket"] * 2 + 1}  # the two kinds have buckets of their own
 
 
-def _decide(rows: list[dict], batches: int):
-    """Build the family batch by batch; answer how often each entry's fingerprint starts anywhere, if more than once."""
-    items = X.Items(rows)
-    count = items.column("c", np.uint32).astype(np.int64)
-    batch = np.repeat(np.array([mix(np.array([r["chunk"]], np.uint64))[0] % np.uint64(batches) for r in rows]), items.sizes)
-    family, repeated = Family(), [np.zeros(0, np.uint64)]
-    for b in range(batches):
-        own = batch == b
-        if own.any():
-            repeated.append(family.add(items.prints[own], count[own]))
-    inside = [level[0][level[1] > 1] for level in family.levels if level is not None]
-    repeated = np.unique(np.concatenate(repeated + inside))  # across batches, and within a batch or a level
-    if not len(repeated):
+def _decide(rows: list[dict]):
+    """Answer how often each entry's suffix or context starts anywhere, if more than once; a context's first entry is its witness."""
+    own = [r for r in rows if r["kind"] in (LEADING, CONTEXT)]
+    if not own:
         return
-    total = family.found(repeated)
-    at = np.minimum(np.searchsorted(repeated, items.prints), len(repeated) - 1)
-    hit = repeated[at] == items.prints
-    # the first entry of each fingerprint (chunks come in order) is its witness
-    where = np.flatnonzero(hit)
-    _, first = np.unique(at[where], return_index=True)
-    value = np.minimum(np.where(hit, total[at], 0), int(MANY)).astype(np.uint32)
-    value[where[first]] |= FIRST
+    items = X.Items(own)
+    if own[0]["kind"] == LEADING:  # matches came from the index, counts from its levels
+        told = [unpack(r["a"], np.uint64) for r in rows if r["kind"] == MATCH]
+        if not told:
+            return
+        known = np.unique(np.concatenate(told))
+        total = np.zeros(len(known), np.int64)
+        for r in rows:
+            if r["kind"] == LEVEL:
+                level = unpack(r["a"], np.uint64)
+                at = np.minimum(np.searchsorted(level, known), len(level) - 1)
+                total += np.where(level[at] == known, unpack(r["c"], np.uint32)[at], 0)
+        at = np.minimum(np.searchsorted(known, items.prints), len(known) - 1)
+        hit = known[at] == items.prints
+        yield from items.answers(hit, np.minimum(total[at], int(MANY)).astype(np.uint32))
+        return
+    order, first = X.groups(items.prints, np.concatenate([np.frombuffer(r["e"], np.uint64) for r in own]))
+    count = np.add.reduceat(items.column("c", np.uint32).astype(np.int64)[order], first)
+    value = np.empty(len(order), np.uint32)
+    value[order] = np.repeat(np.minimum(count, int(MANY)).astype(np.uint32), np.diff(np.append(first, len(order))))
+    hit = value > 1
+    value[order[first]] |= FIRST  # chunks come in order
     yield from items.answers(hit, value)
 
 
@@ -177,16 +249,18 @@ def _windows(chunk: X.Chunk, bits: int, size: int):
     if not places:
         return
     places = np.unique(np.concatenate(places))
-    prints = mix(Rolling(byte_values(chunk.data)).at(places, places + size))
-    prints, entry, count = distinct(prints)
+    ((prints, more),) = byte_windows(chunk.data, size)
+    prints, more = prints[places], more[places]
+    first, entry, count = distinct(prints, more)
+    more = more[first]
     yield chunk.header(chunk.offsets, places, entry)
-    yield from chunk.items(prints, bits, lambda chosen: (np.packbits(count[chosen] > 1).tobytes(), b""))
+    yield from chunk.items(prints[first], bits, lambda chosen: {"c": np.packbits(count[chosen] > 1).tobytes(), "e": more[chosen].tobytes()})
 
 
 def _repeated(rows: list[dict]):
     items = X.Items(rows)
     many = np.concatenate([np.unpackbits(np.frombuffer(r["c"], np.uint8))[: r["n"]] for r in rows]).astype(bool)
-    order, first = X.groups(items.prints)
+    order, first = X.groups(items.prints, np.concatenate([np.frombuffer(r["e"], np.uint64) for r in rows]))
     size = np.diff(np.append(first, len(order)))
     hit = np.zeros(len(order), bool)
     hit[order] = np.repeat(size > 1, size)
@@ -207,12 +281,18 @@ def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | N
     Null and empty texts, and texts under ``min_bytes`` bytes, have none. Rows
     that repeat a ``doc_id`` and its text are copies of each other. Any other column is ignored.
     """
-    prefix = prefix or min(PREFIX, max(1, min_bytes // 3))
     bits = X.bucket_bits(documents)
     texts = X.keyed(documents, whole=whole)
-    out = X.sent(texts, lambda c: _read(c, bits, min_bytes, prefix))
-    out = X.answered(out, lambda rows: _decide(rows, batches))
-    known = X.written(X.collected(out, lambda a: _conclude(a, min_bytes)), "suffixes")
+    index = Index(min_bytes, prefix, bits)
+    rows = X.written(index.read(texts), "suffixes")
+    told = rows
+    for b in range(batches):
+        batch = rows.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b)
+        for found in index.enter(batch):
+            told = told.unionByName(as_rows(found, MATCH))
+    for level in index.levels.values():
+        told = told.unionByName(as_rows(level, LEVEL))
+    known = X.written(X.collected(X.answered(told, _decide), lambda a: _conclude(a, min_bytes)), "repeats")
     by_key = texts.repartition(X.partitions(documents), "_id", "_th")
     asked = known.where(F.length("more") > 0).groupBy("_id", "_th").agg(F.first("more").alias("more"))
     compared = by_key.join(asked, ["_id", "_th"]).select("_doc", "_id", "_th", "text", "more").sortWithinPartitions("_id", "_th")
@@ -223,51 +303,6 @@ def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | N
     return by_key.join(found, ["_id", "_th"], "left").select("_doc", "_id", "_th", "text", "found")
 
 
-def extended(index: DataFrame | None, documents: DataFrame, min_bytes: int = 200, prefix: int | None = None, bits: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Enter a new batch into a kept index: the index with the batch, and the batch's suffixes that older batches hold too.
-
-    The index has a row for each bucket and level (in the exchange's columns; write it where it should live) and is
-    None at first; bits must stay the same for its life. The matches are ranges of starts of strings whose sampled suffix
-    is shared: candidates, by document. Each batch is read once, and a level is rewritten when it merges.
-    """
-    prefix = prefix or min(PREFIX, max(1, min_bytes // 3))
-
-    def read(chunk):
-        for row in _read(chunk, bits, min_bytes, prefix):
-            if row["kind"] != CONTEXT:
-                yield row
-
-    def enter(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        family = Family()
-        for r in sorted((r for r in rows if r["kind"] == LEVEL), key=lambda r: r["n"]):
-            family.levels += [None] * (r["n"] + 1 - len(family.levels))
-            family.levels[r["n"]] = unpack(r["a"], np.uint64), unpack(r["b"], np.int64)
-        new = [r for r in rows if r["kind"] == LEADING]
-        out = [r for r in rows if r["kind"] == X.HEADER]
-        if new:
-            items = X.Items(new)
-            shared = family.add(items.prints, items.column("c", np.uint32).astype(np.int64))
-            out += items.answers(np.isin(items.prints, shared), np.ones(len(items.prints), np.uint32))
-        bucket = rows[0]["bucket"]
-        out += [{"bucket": bucket, "chunk": -1, "kind": LEVEL, "n": k, "a": pack(x[0]), "b": pack(x[1]), "c": b"", "d": b""} for k, x in enumerate(family.levels) if x is not None]
-        return pa.Table.from_pylist(out, schema=X.ARROW_ROW)
-
-    def matches(answers):
-        hit = answers.values(LEADING, int(answers.entry.max()) + 1)[answers.entry] > 0
-        blob = answers.head["d"]
-        width = unpack(blob[len(blob) // 2 :], np.uint32).astype(np.int64) + 1
-        told = np.flatnonzero(hit)
-        for k, s, e in answers.by_document(answers.places[told]):
-            lo = answers.places[told[s:e]] - answers.starts[k]
-            yield {"_id": int(answers.ids[k]), "_th": int(answers.hashes[k]), "spots": X.joined(lo, lo + width[told[s:e]]), "more": b""}
-
-    batch = X.sent(X.keyed(documents), read)
-    both = batch if index is None else batch.unionByName(index)
-    done = X.written(both.groupBy("bucket").applyInArrow(enter, X.ROW), "index")
-    return done.where(F.col("kind") == LEVEL), X.collected(done.where(F.col("kind") != LEVEL), matches)
-
-
 def removal(found, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs of bytes that repeated strings cover."""
     starts, ends = X.ranges(found)

@@ -5,8 +5,6 @@ import hashlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from cadenza.llm import minhash_dedup, substring_dedup, suffix_dedup
 
@@ -130,28 +128,28 @@ def test_empty_tables(spark, nothing):
 def test_kept_index(spark):
     """Batches enter one after another; only what older batches hold is told, and levels merge."""
     passage = " ".join(f"p{k}" for k in range(80))
-    index, told = None, []
+    index, told = suffix_dedup.Index(), []
     for n in range(4):
         rows = [(10 * n + k, f"{n} {k} " + " ".join(f"u{n}x{k}x{j}" for j in range(60)) + (" " + passage if k == 0 and n != 1 else "")) for k in range(3)]
-        index, found = suffix_dedup.extended(index, spark.createDataFrame(rows, "doc_id long, text string"))
+        found = index.add(spark.createDataFrame(rows, "doc_id long, text string"))
         told.append(sorted(r._id for r in found.collect()))
-        levels = {(r.bucket, r.n) for r in index.select("bucket", "n").collect()}
-        assert len(levels) == index.count()
+        assert [k for k in range(3) if n + 1 >> k & 1] == sorted(index.levels)
     assert told == [[], [], [20], [30]]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 12), max_size=30), min_size=1, max_size=9))
-def test_family_counts(batches):
-    family = suffix_dedup.Family()
-    seen = collections.Counter()
-    for k, b in enumerate(batches, 1):
-        shared = family.add(np.array(b, np.uint64), np.ones(len(b), np.int64))
-        assert set(shared.tolist()) == set(b) & set(seen)
-        seen.update(b)
-        assert [x is not None for x in family.levels] == [c == "1" for c in reversed(f"{k:b}")]
-    every = np.arange(13, dtype=np.uint64)
-    assert family.found(every).tolist() == [seen[int(v)] for v in every]
+def test_levels_hold_sorted_counts(spark):
+    """A level is what one array of all its batches would be."""
+    rows = [[(0, [5, 5, 9]), (1, [2])], [(0, [9, 1])], [(0, [7]), (2, [4, 4])]]
+    pack = lambda x, t: bytearray(suffix_dedup.pack(np.array(x, t)))
+    batches = [spark.createDataFrame([(b, 1, pack(x, np.uint64), pack([1] * len(x), np.uint32)) for b, x in batch], "bucket long, kind int, a binary, c binary") for batch in rows]
+    index, seen = suffix_dedup.Index(), []
+    read = lambda df: {r.bucket: suffix_dedup.unpack(bytes(r.a), np.uint64).tolist() for r in df.collect()}
+    for batch in batches:
+        within, shared = index.enter(batch)
+        seen.append((read(within), read(shared)))
+    assert seen == [({0: [5]}, {}), ({}, {0: [9]}), ({2: [4]}, {})]
+    level = {r.bucket: (suffix_dedup.unpack(bytes(r.a), np.uint64).tolist(), suffix_dedup.unpack(bytes(r.c), np.uint32).tolist()) for r in index.levels[1].collect()}
+    assert level == {0: ([1, 5, 9], [1, 2, 2]), 1: ([2], [1])} and sorted(index.levels) == [0, 1]
 
 
 def test_sketches_merge_and_estimate():
