@@ -10,34 +10,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, minhash_dedup, quality, sentencepiece_codec, suffix_dedup
-from cadenza.llm.exchange import written
+from cadenza.llm.exchange import free, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject.
+
+    A null text is judged as an empty one; rows that repeat are judged alike, each on its own.
+    """
     model = quality.learned(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, docs.columns, ("_score", "_predicted")).where("_predicted = 1").drop("_score", "_predicted")
+    names = free(docs.columns, "_score", "_predicted")
+    return quality.scored(docs, model, docs.columns, names).where(F.col(names[1]) == 1).drop(*names)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the least doc_id, a null one before all.
+
+    Rows without words stay. Of rows that repeat doc_id and text, one stays.
+    """
     return minhash_dedup.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the stretches of 200 bytes or more that also start anywhere else."""
+    """Texts without the stretches of 200 bytes or more that also start anywhere else, rows that repeat included.
+
+    Null and empty texts stay as they are; every row stays.
+    """
     return suffix_dedup.without_repeats(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold under 0.8 of every benchmark item's shingles."""
-    found = decontaminate.contained(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = written(found.select(F.col("_doc").alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """Documents that hold under 0.8 of every benchmark item's shingles; each row is judged by its own text, whatever its doc_id.
+
+    Rows without a text stay.
+    """
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with merge-dropout."""
+    """Token ids, with merge-dropout: one row for each document, null ids for a null text."""
     return sentencepiece_codec.encoded(docs)
 
 
