@@ -1,17 +1,13 @@
-"""Main text of web pages by the slots of their templates, and union-free regular expressions inferred per host.
-
-A page's text blocks lie in slots, the paths of the elements that hold them. A slot's role comes from where it lies
-(navigation, forms, adverts, comments and their like; article or main), whether its text is the same
-on pages of the host that differ elsewhere, and how much text it and its neighbours hold.
-
-``wrappers`` infers a host's wrapper: a page's block elements are a token stream; neighbours of one kind fold into a
-repeated group. Same-host streams are aligned one after another (``align``): what both have is
-required, what one lacks becomes optional, what repeats in either becomes
-repeated, and text becomes a slot. The result is a regular
-expression without unions. Pages fold into few distinct streams in each task before
-the shuffle, and partial wrappers align like pages do, so a host with very many pages is folded in parts.
-The wrapper does not decide a page's text, and op4_html_extraction does not infer it: every page of a host
-matches it, so that its marks leave no slot out.
+"""Main text of web pages by wrappers: union-free regular expressions inferred for each host.
+
+A page's block elements are a token stream; neighbours of one kind (element and class words, numbers in these left
+out) fold into a repeated group. Same-host streams are aligned one after another (``align``): what both have is
+required, what one lacks becomes optional, what repeats in either becomes repeated, and text becomes a slot. The
+result is a regular expression without unions, the host's wrapper. Pages fold into few distinct streams before
+the shuffle, and partial wrappers align like pages do, in rounds of ``FAN``, so that no task folds a large host.
+
+Each page is then matched against its host's wrapper, which gives each text block its slot, a place in the wrapper. What
+a slot holds over the host's pages, and where it stands in the wrapper, decides (``content_slots``): see there.
 """
 
 from __future__ import annotations
@@ -25,71 +21,135 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm import exchange as X
 from cadenza.llm.kernels import slices
 
-PARTS = 16
+FAN = 64
 LEAST = 3  # pages that differ elsewhere, for a text that stays the same to be the template's
-DEEP = 100  # elements nested deeper share a slot with the one that holds them
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+DEEP = 100  # elements nested deeper share a node with the one that holds them
+PLAIN = 40_000  # products of lengths up to which streams are aligned with the most pairs
+BROADCAST = 32 << 20  # bytes of a table of wrappers that is broadcast; a larger one is joined
 # Fixed values of HTML: elements by how they are parsed and shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object select".split())
-BLOCK = set("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head option legend".split())
+RAW = set("script style textarea title iframe noembed noframes xmp".split())
+BLOCK = set("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section select summary svg table tbody td template tfoot th thead tr ul caption head noscript option legend".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
-APART = set("nav header footer aside form menu dialog head button".split())
+APART = set("nav header footer aside form menu dialog head button select svg template noscript".split())
 WORDS_APART = set("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+STATES = set("no not non has have with without is are hide hides show shows free open opened closed on off enabled disabled active".split())  # beside a word of these, a name tells of a state
 ROLES_APART = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CENTRE = {"article", "main"}
-SPLIT = re.compile(r"[^a-z0-9]+")
+WHOLE = CENTRE | {"html", "body"}  # their class words speak of the page, not of the element
 NUMBERED = re.compile(r"(?<=[._-])[^/._-]*[0-9][^/._-]*")  # a part of a class word that is a number or an id
-
-
-class Block:
-    __slots__ = ("path", "text", "apart", "centre")
-
-    def __init__(self, path, text, apart, centre):
-        self.path, self.text, self.apart, self.centre = path, text, apart, centre
-
-
-def read(source: str) -> tuple[list, list[Block]]:
-    """The page's stream as a tree [kind, mark, children] and its text blocks in order."""
-    root = ["", "", []]
-    stack = [("", root, "", False, False)]  # name, node, path, apart, centre
-    blocks: list[Block] = []
+MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[^\s/>]*")
+PARTS = re.compile(r"[^a-z0-9]+")
+INSIDE = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def named_apart(names: set[str]) -> bool:
+    """Do class words or an id name something apart: by their parts (site-footer, cookie_notice), but no-sidebar and comments-open tell of states."""
+    return any(set(parts) & WORDS_APART and not set(parts) & STATES for parts in map(PARTS.split, names))
+
+
+class Source:
+    """A page's text and searches in it, each of which fails once at most, so that no markup makes reading quadratic."""
+
+    def __init__(self, text: str):
+        self.text, self.gone = text, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.text.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def close(self, name: str, at: int) -> int:
+        """The end of the element's end tag, or -1."""
+        if name in self.gone:
+            return -1
+        found = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.text, at)
+        if found is None:
+            self.gone.add(name)
+            return -1
+        return found.end()
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag; quotes hide one, if they are closed and one follows."""
+        first = self.find(">", at)
+        here = at
+        while first >= 0:
+            m = INSIDE.search(self.text, here)
+            if m is None:
+                return first
+            if m.group() == ">":
+                return m.start()
+            shut = self.find(m.group(), m.end())
+            if shut < 0 or self.find(">", shut) < 0:
+                return first
+            here = shut + 1
+        return first
+
+
+def read(source: str) -> list:
+    """The page as a tree: nodes [kind, child, ...], text blocks ["#", text, characters in links].
+
+    A kind is the element's name with its class words; ! before it says that the element itself is named as something apart,
+    and * that it is an article or main.
+    """
+    root = [""]
+    stack = [("", root)]
     words: list[str] = []
+    linked, link = 0, False
+    src, at, n = Source(source), 0, len(source)
 
     def flush():
+        nonlocal linked
         if words:
             text = " ".join("".join(words).split())
             words.clear()
             if text:
-                _, node, path, apart, centre = stack[-1]
-                if not node[2] or node[2][-1][0] != "#":
-                    node[2].append(["#", "", []])
-                blocks.append(Block(path, text, apart, centre))
+                stack[-1][1].append(["#", text, min(linked, len(text))])
+        linked = 0
 
     def close(depth):
         flush()
         del stack[depth:]
 
-    at, n = 0, len(source)
+    def say(text):
+        nonlocal linked
+        if text:
+            text = html.unescape(text)
+            words.append(text)
+            linked += len(text) * link
+
     while at < n:
-        m = TOKEN.search(source, at)
-        end = m.start() if m else n
-        if end > at:
-            words.append(html.unescape(source[at:end]))
+        m = MARKUP.search(source, at)
         if m is None:
+            say(source[at:])
+            break
+        say(source[at : m.start()])
+        here = m.start()
+        if m.group() == "<!--":
+            end = src.find("-->", m.end())
+            at = n if end < 0 else end + 3
+            continue
+        end = src.tag_end(m.end())
+        if end < 0:  # no tag ends any more
+            say(source[here:])
             break
-        at = m.end()
-        name = m.group(2)
-        if name is None:
+        at = end + 1
+        if m.group()[1] in "!?":
             continue
-        name, closing = name.lower(), m.group(1)
+        closing = m.group()[1] == "/"
+        name = NAME.match(source, here + 1 + closing, end).group().lower()
         if name in RAW:
-            if not closing and not m.group(3).endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else n
+            if not closing and source[end - 1] != "/":
+                stop = src.close(name, at)
+                at = stop if stop >= 0 else n if name in ("script", "style") else at
             continue
         if name == "br":
             words.append(" ")
@@ -99,9 +159,11 @@ def read(source: str) -> tuple[list, list[Block]]:
                 flush()
             continue
         if name not in BLOCK:
-            if name == "button" and not closing:
-                stop = re.compile(r"</button\s*>", re.I).search(source, at)
-                at = stop.end() if stop else at
+            if name == "a":
+                link = not closing
+            elif name == "button" and not closing:
+                stop = src.close(name, at)
+                at = stop if stop >= 0 else at
             continue
         if closing:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
@@ -118,37 +180,49 @@ def read(source: str) -> tuple[list, list[Block]]:
                 depth -= 1
             close(depth)
         kind, tokens, roles = name, set(), set()
-        if m.group(3):
-            for what, a, b, c in ATTRIBUTE.findall(m.group(3)):
+        tail = source[here + 1 + len(name) : end]
+        if "=" in tail:
+            for what, a, b, c in ATTRIBUTE.findall(tail):
                 value = (a or b or c).lower()
                 if what.lower() == "role":
                     roles.add(value.strip())
                 else:
-                    tokens.update(SPLIT.split(value))
-                    if what.lower() == "class":
-                        kind = f"{name}.{'.'.join(sorted(value.split()))}"
-        _, node, path, apart, centre = stack[-1]
-        apart = apart or name in APART or bool(tokens & WORDS_APART) or bool(roles & ROLES_APART)
-        centre = centre or name in CENTRE or "main" in roles or "article" in roles
+                    tokens.update(value.split())
+                    if what.lower() == "class" and value.split():
+                        kind = NUMBERED.sub("0", f"{name}.{'.'.join(sorted(value.split()))}")
+        centre = name in CENTRE or bool(roles & {"main", "article"})
+        apart = bool(roles & ROLES_APART) or name in APART or (name not in WHOLE and not centre and named_apart(tokens))
+        if name == "header" and any(node[0].startswith("*") for _, node in stack):
+            apart = False  # an article's own header: its headline and byline
+        if apart:
+            kind = "!" + kind
+        elif centre:
+            kind = "*" + kind
+        node = stack[-1][1]
         if len(stack) < DEEP:
-            child = [kind, "", []]
-            node[2].append(child)
-            node, path = child, f"{path}/{kind}"
-        stack.append((name, node, path, apart, centre))
+            node.append([kind])
+            node = node[-1]
+        elif kind[0] == "!" and node[0][:1] != "!":  # too deep for a node, but not for its text to be left out
+            node.append([kind])
+            node = node[-1]
+        stack.append((name, node))
     close(1)
-    return fold(root), blocks
+    return root
 
 
 def fold(node: list) -> list:
-    """Neighbours of one kind as one repeated group."""
+    """The stream of a page's tree, [kind, mark, children]: neighbours of one kind as one repeated group, text as slots."""
+    if node[0] == "#":
+        return ["#", "", []]
     out: list = []
-    for child in map(fold, node[2]):
+    for child in node[1:]:
+        child = fold(child)
         if out and out[-1][0] == child[0]:
             both = align(out[-1], child)
             out[-1] = both if child[0] == "#" else [both[0], joined_mark(both[1], "+"), both[2]]
         else:
             out.append(child)
-    return [node[0], node[1], out]
+    return [node[0], "", out]
 
 
 def joined_mark(a: str, b: str) -> str:
@@ -158,31 +232,58 @@ def joined_mark(a: str, b: str) -> str:
     return "".join(both)
 
 
-def align(a: list, b: list) -> list:
-    """The least wrapper of two of one kind: equal kinds pair up in order, what is left over is optional."""
-    x, y = a[2], b[2]
+def paired(x: list, y: list) -> list[tuple[int, int]]:
+    """Pairs of places of equal kinds, in order: as many as can be, or, for long lists, each with the next that is free."""
     n, m = len(x), len(y)
+    if n * m > PLAIN:
+        places: dict[str, list[int]] = {}
+        for i in range(n - 1, -1, -1):
+            places.setdefault(x[i][0], []).append(i)
+        out, last = [], -1
+        for j in range(m):
+            own = places.get(y[j][0], [])
+            while own and own[-1] <= last:
+                own.pop()
+            if own and own[-1] - last <= FAN:
+                last = own.pop()
+                out.append((last, j))
+        return out
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i][0] == y[j][0]:
-            node = align(x[i], y[j])
+    while i < n and j < m:
+        if x[i][0] == y[j][0]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            node = [x[i][0], joined_mark(x[i][1], "?"), x[i][2]]
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            node = [y[j][0], joined_mark(y[j][1], "?"), y[j][2]]
             j += 1
+    return out
+
+
+def align(a: list, b: list) -> list:
+    """The least wrapper of two of one kind: equal kinds pair up in order, what is left over is optional."""
+    x, y = a[2], b[2]
+    out: list = []
+
+    def put(node):
         if out and out[-1][0] == node[0]:  # two of a kind side by side are a repetition
             both = align(out[-1], node)
-            node = [both[0], "*" if "?" in out[-1][1] + node[1] else joined_mark(both[1], "+"), both[2]]
-            out[-1] = node
+            mark = "*" if "?" in out[-1][1] + node[1] else joined_mark(both[1], "+")
+            out[-1] = [both[0], "" if node[0] == "#" else mark, both[2]]
         else:
             out.append(node)
+
+    i = j = 0
+    for k, m in [*paired(x, y), (len(x), len(y))]:
+        for node in [*x[i:k], *y[j:m]]:
+            put([node[0], joined_mark(node[1], "?"), node[2]])
+        if k < len(x):
+            put(align(x[k], y[m]))
+        i, j = k + 1, m + 1
     return [a[0], joined_mark(a[1], b[1]), out]
 
 
@@ -193,38 +294,108 @@ def expression(node: list) -> str:
     return f"({own}){node[1]}" if node[1] else own
 
 
+class Wrapper:
+    """A host's wrapper with its nodes numbered in order."""
+
+    def __init__(self, tree: list):
+        self.tree = tree
+        self.kind, self.parent, self.optional, self.children = [], [], [], []
+        self._number(tree, -1)
+        self.is_apart = [self.apart(k) for k in range(len(self.kind))]
+
+    def _number(self, node: list, parent: int) -> int:
+        own = len(self.kind)
+        self.kind.append(node[0])
+        self.parent.append(parent)
+        self.optional.append(bool(node[1]) and node[1] in "?*")
+        self.children.append([])
+        self.children[own] = [self._number(child, own) for child in node[2]]
+        return own
+
+    def slots(self, page: list) -> list[tuple[int, str, int]]:
+        """The page's blocks in order, each with its slot; -1 for one whose place the wrapper does not have."""
+        out: list[tuple[int, str, int]] = []
+
+        def match(node, own):
+            kinds = self.children[own] if own >= 0 else []
+            at = 0
+            for child in node[1:]:
+                found = next((k for k in range(at, len(kinds)) if self.kind[kinds[k]] == child[0]), -1)
+                if found >= 0:
+                    at = found  # it may come again: neighbours of one kind are one node of the wrapper
+                place = kinds[found] if found >= 0 else -1
+                if child[0] == "#":
+                    out.append((place, child[1], child[2]))
+                else:
+                    match(child, place)
+
+        match(page, 0)
+        return out
+
+    def above(self, slot: int):
+        while slot >= 0:
+            yield slot
+            slot = self.parent[slot]
+
+    def apart(self, slot: int) -> bool:
+        return any(self.kind[k].startswith("!") for k in self.above(slot))
+
+    def centre(self, slot: int) -> bool:
+        return any(self.kind[k].startswith("*") for k in self.above(slot))
+
+    def required(self, slot: int) -> bool:
+        return not any(self.optional[k] for k in self.above(slot))
+
+
+def content_slots(wrapper: Wrapper, held: dict[int, tuple[bool, float]]) -> tuple[set[int], set[int]]:
+    """Slots of main text: those in article or main, and those that count on a page which has none of the first.
+
+    held tells of each slot whether its text stays the same over LEAST pages or more that differ elsewhere, and the share of its text that lies in links.
+    An element that is named as a menu, header, footer, sidebar, notice, advert, form or comments takes no part, in either. Of the others, a slot counts if its
+    text varies and is not mostly links, and if it is required, or optional within the smallest element that holds the elements of all required ones.
+    """
+    slots = [k for k, kind in enumerate(wrapper.kind) if kind == "#" and not wrapper.apart(k)]
+    centre = {k for k in slots if wrapper.centre(k)}
+    varied = [k for k in slots if k not in centre and not held.get(k, (False, 0.0))[0] and held.get(k, (False, 0.0))[1] <= 0.5]
+    required = [k for k in varied if wrapper.required(k)]
+    if not required:
+        return centre, set(varied)
+    shared = set(wrapper.above(required[0]))
+    for k in required[1:]:
+        shared &= set(wrapper.above(k))
+    region = max(shared - set(required) - {wrapper.parent[k] for k in required}, default=0)  # nodes are numbered from the root down
+    return centre, {k for k in varied if region in wrapper.above(k)}
+
+
 def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
+PAGES = "host string, tree string"
 STREAMS = "host string, stream string, n long"
-SLOTS = "host string, path string, page long, low long, high long, pages long, chars long"
+SLOTS = "host string, slot int, page long, low long, high long, chars long, linked long"
 
 
-def streams(pages: DataFrame) -> DataFrame:
-    """Distinct streams of each host, folded in each task: (host, stream, n)."""
+def dumped(value) -> str:
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, tree (``read`` as JSON), stream (``fold`` as JSON), from one reading of the html."""
+    kinds = [(c, pages.schema[c].dataType.simpleString()) for c in ("page_id", "url")]
 
     def run(batches):
-        seen: dict[tuple[str, str], int] = {}
         for batch in batches:
             for part in slices(batch, "html"):
-                for name, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    key = name, json.dumps(read(source or "")[0], separators=(",", ":"))
-                    seen[key] = seen.get(key, 0) + 1
-                if len(seen) > 2000:
-                    yield told(seen)
-                    seen = {}
-        if seen:
-            yield told(seen)
-
-    def told(seen):
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen]), pa.array([k[1] for k in seen]), pa.array(list(seen.values()), pa.int64())], names=["host", "stream", "n"])
+                trees = [read(source or "") for source in part.column("html").to_pylist()]
+                columns = [pa.array([dumped(f(t)).encode("utf-8", "replace") for t in trees], pa.binary()).cast(pa.string()) for f in (lambda t: t, fold)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host")), *columns], names=["page_id", "url", "host", "tree", "stream"])
 
-    return pages.select(host().alias("host"), "html").mapInArrow(run, STREAMS).groupBy("host", "stream").agg(F.sum("n").alias("n"))
+    return pages.select("page_id", "url", host().alias("host"), "html").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds) + ", host string, tree string, stream string")
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, n): a host's wrapper as JSON and its pages. Null and empty pages are empty streams."""
+def wrappers(read_pages: DataFrame) -> DataFrame:
+    """(host, wrapper, n): a host's wrapper as JSON and its pages, from parsed pages. Null and empty pages are empty streams."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("stream").to_pylist(), table.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
@@ -232,125 +403,120 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for stream, _ in rows:
             node = json.loads(stream)
             wrapper = node if wrapper is None else align(wrapper, node)
-        return pa.table({"host": [table.column("host")[0].as_py()], "stream": [json.dumps(wrapper, separators=(",", ":"))], "n": pa.array([sum(n for _, n in rows)], pa.int64())})
+        return pa.table({"host": [table.column("host")[0].as_py()], "stream": [dumped(wrapper)], "n": pa.array([sum(n for _, n in rows)], pa.int64())})
 
-    parts = streams(pages).withColumn("part", F.pmod(F.xxhash64("stream"), F.lit(PARTS)))
-    part = parts.groupBy("host", "part").applyInArrow(run, STREAMS)
-    return part.groupBy("host").applyInArrow(run, STREAMS).withColumnRenamed("stream", "wrapper")
+    parts = X.written(read_pages.groupBy("host", "stream").agg(F.count("*").alias("n")), "streams")
+    while True:
+        sizes = parts.groupBy("host").agg(F.ceil(F.count("*") / FAN).cast("long").alias("parts"))
+        most = sizes.agg(F.max("parts")).first()[0] or 1
+        dealt = parts.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("stream"), F.col("parts")))
+        parts = X.written(dealt.select("host", "part", "stream", "n").groupBy("host", "part").applyInArrow(run, STREAMS), "wrappers")
+        if most == 1:
+            return parts.withColumnRenamed("stream", "wrapper")
 
 
-def kind_of(path: str) -> str:
-    """A path without the numbers and ids in its class words: div.post-123 and div.post-7 are one kind."""
-    return NUMBERED.sub("0", path)
+def joined(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """rows with what a written table of hosts says: the table is broadcast if it is small, else both are shuffled and a large host is split by Spark."""
+    size = X.size_of(hosts)
+    return rows.join(F.broadcast(hosts) if size is not None and size <= BROADCAST else hosts, "host")
 
 
-def parent_of(path: str) -> str:
-    return path.rpartition("/")[0]
+class Hosts:
+    """Wrappers and content slots of the hosts that a task has met last."""
 
+    def __init__(self, limit: int = 200):
+        self.kept: dict[str, object] = {}
+        self.limit = limit
 
-def candidates(blocks: list[Block]) -> list[Block]:
-    """Blocks that may be content of a page without article or main."""
-    return [b for b in blocks if not b.apart and not b.centre]
+    def get(self, told: str, make):
+        if told not in self.kept:
+            if len(self.kept) >= self.limit:
+                self.kept.clear()
+            self.kept[told] = make(told)
+        return self.kept[told]
+
+
+def hash_of(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def slots(pages: DataFrame) -> DataFrame:
-    """What each slot of each host holds over all pages: slots by path, and by kind of path where that differs.
+def held(read_pages: DataFrame) -> DataFrame:
+    """What each slot of each host holds over all pages, from parsed pages with their wrapper: (host, slot, constant, linked).
 
-    copies counts pages whose blocks differ, as far as LEAST: pages that are copies of each other count as one.
+    constant: the same text on all its pages, LEAST of which differ elsewhere (in what is not apart); pages that are copies of each other count as one.
     """
 
     def run(batches):
+        hosts = Hosts()
         for batch in batches:
-            for part in slices(batch, "html"):
+            for part in slices(batch, "tree"):
                 total: dict[tuple, list[int]] = {}
                 least: dict[tuple, list[int]] = {}
-                for name, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                    blocks = read(source or "")[1]
-                    page = hash_of("\n".join(f"{b.path} {b.text}" for b in blocks))
-                    own: dict[str, list[str]] = {}
-                    for b in candidates(blocks):
-                        for path in {b.path, kind_of(b.path)}:
-                            own.setdefault(path, []).append(b.text)
-                    for path, texts in own.items():
+                for name, tree, told in zip(*(part.column(c).to_pylist() for c in ("host", "tree", "wrapper")), strict=True):
+                    wrapper = hosts.get(told, lambda t: Wrapper(json.loads(t)))
+                    own: dict[int, list] = {}
+                    for slot, text, linked in wrapper.slots(json.loads(tree)):
+                        if not wrapper.is_apart[slot]:
+                            own.setdefault(slot, [[], 0])[0].append(text)
+                            own[slot][1] += linked
+                    page = hash_of(repr(own))
+                    for slot, (texts, linked) in own.items():
                         text = "\n".join(texts)
                         h = hash_of(text)
-                        t = total.setdefault((name, path), [h, h, 0, 0])
-                        t[0], t[1], t[2], t[3] = min(t[0], h), max(t[1], h), t[2] + 1, t[3] + len(text)
-                        few = least.setdefault((name, path), [])
+                        t = total.setdefault((name, slot), [h, h, 0, 0])
+                        t[0], t[1], t[2], t[3] = min(t[0], h), max(t[1], h), t[2] + len(text), t[3] + linked
+                        few = least.setdefault((name, slot), [])
                         if page not in few and len(few) < LEAST:
                             few.append(page)
-                rows = [(*key, page, low, high, n if k == 0 else 0, chars if k == 0 else 0) for key, (low, high, n, chars) in total.items() for k, page in enumerate(least[key])]
+                rows = [(*key, page, low, high, chars if k == 0 else 0, linked if k == 0 else 0) for key, (low, high, chars, linked) in total.items() for k, page in enumerate(least[key])]
                 columns = [*zip(*rows, strict=True)] if rows else [()] * 7
-                types = [pa.string()] * 2 + [pa.int64()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "page", "low", "high", "pages", "chars"])
+                types = [pa.string(), pa.int32()] + [pa.int64()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "slot", "page", "low", "high", "chars", "linked"])
 
-    rows = pages.select(host().alias("host"), "html").mapInArrow(run, SLOTS)
-    folded = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars")]
-    return rows.groupBy("host", "path", "page").agg(*folded).groupBy("host", "path").agg(*folded, F.count("*").alias("copies"))
+    folded = [F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")]
+    rows = read_pages.select("host", "tree", "wrapper").mapInArrow(run, SLOTS)
+    rows = rows.groupBy("host", "slot", "page").agg(*folded).groupBy("host", "slot").agg(*folded, F.count("*").alias("copies"))
+    return rows.select("host", "slot", ((F.col("low") == F.col("high")) & (F.col("copies") >= LEAST)).alias("constant"), (F.col("linked") / F.greatest("chars", F.lit(1))).alias("linked"))
 
 
-def hash_of(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def content(pages: DataFrame) -> DataFrame:
-    """(host, template, mass): what pages without article or main share in a host.
-
-    template has the slots whose text stays the same over LEAST pages or more that differ elsewhere.
-    mass has, for kinds of elements on more than one page, the mean characters that other slots below it hold
-    on a page. What one page only has is not sent to the others.
-    """
-    rows = slots(pages).where("pages > 1").withColumn("constant", (F.col("low") == F.col("high")) & (F.col("copies") >= LEAST))
-    template = rows.where("constant").groupBy("host").agg(F.collect_list("path").alias("template"))
-    varied = rows.where(~F.col("constant") & (F.regexp_replace("path", NUMBERED.pattern, "0") == F.col("path")))
-    parents = varied.groupBy("host", F.regexp_replace("path", "/[^/]*$", "").alias("parent")).agg((F.sum("chars") / F.max("pages")).alias("chars"))
-    mass = parents.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("parent", "chars"))).alias("mass"))
-    return template.join(mass, "host", "full")
-
-
-def main_text(blocks: list[Block], template: set[str], mass: dict[str, float]) -> list[str]:
-    """A page's blocks in article or main; else those below the element that holds most text, template left out.
-
-    Each page has its own such element: what its slots hold here, and on the mean of the host's pages.
-    """
-    centre = [b.text for b in blocks if b.centre and not b.apart]
-    if centre:
-        return centre
-    rest = [b for b in candidates(blocks) if b.path not in template and kind_of(b.path) not in template]
-    own: dict[str, float] = {}
-    for b in rest:
-        parent = parent_of(b.path)
-        own[parent] = own.get(parent, mass.get(kind_of(parent), 0.0)) + len(b.text)
-    best = max(own, key=lambda p: (own[p], p)) if own else ""
-    return [b.text for b in rest if b.path.startswith(f"{best}/")]
+def main_text(wrapper: Wrapper, slots: tuple[set[int], set[int]], tree: list) -> str:
+    """A page's blocks in the wrapper's slots of main text; a page with none in article or main gives its other ones."""
+    blocks = wrapper.slots(tree)
+    for chosen in slots:
+        texts = [text for slot, text, _ in blocks if slot in chosen]
+        if texts:
+            return "\n".join(texts)
+    return ""
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars. Null or empty html, and pages without content, have an empty text.
 
-    A page that has text in article or main gives that; another its other content slots.
+    A page that has text in article or main gives that; another its other content slots, see ``content_slots``.
+    Elements named by a word of WORDS_APART, as class word or id, are left out with all they hold, but not html, body, article or main.
     Equal rows give equal rows; other columns are ignored.
     """
-    shared = content(pages).select("host", F.to_json(F.struct("template", "mass")).alias("shared"))
-    rows = pages.select("page_id", "url", "html", host().alias("host")).join(shared, "host", "left")
+    trees = X.written(parsed(pages), "pages")
+    known = wrappers(trees).select("host", "wrapper")
+    rows = joined(trees.select("page_id", "url", "host", "tree"), known)
+    stats = held(rows).groupBy("host").agg(F.collect_list(F.struct("slot", "constant", "linked")).alias("held"))
+    told = X.written(known.join(stats, "host", "left").select("host", F.to_json(F.struct("wrapper", "held")).alias("told")), "hosts")
+    rows = joined(trees.select("page_id", "url", "host", "tree"), told)
+
+    def made(told: str):
+        x = json.loads(told)
+        wrapper = Wrapper(json.loads(x["wrapper"]))
+        return wrapper, content_slots(wrapper, {h["slot"]: (h["constant"], h["linked"]) for h in x.get("held") or ()})
 
     def run(batches):
-        kept: dict[str, tuple[set, dict]] = {}
+        hosts = Hosts()
         for batch in batches:
-            for part in slices(batch, "html"):
-                texts = []
-                for source, told in zip(part.column("html").to_pylist(), part.column("shared").to_pylist(), strict=True):
-                    told = told or "{}"
-                    if told not in kept:
-                        if len(kept) > 1000:
-                            kept.clear()
-                        x = json.loads(told)
-                        kept[told] = set(x.get("template") or ()), x.get("mass") or {}
-                    texts.append("\n".join(main_text(read(source or "")[1], *kept[told])))
+            for part in slices(batch, "tree"):
+                texts = [main_text(*hosts.get(told, made), json.loads(tree)) for tree, told in zip(part.column("tree").to_pylist(), part.column("told").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.select("page_id", "url", "html", "shared").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "tree", "told").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:

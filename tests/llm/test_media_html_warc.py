@@ -92,7 +92,7 @@ def test_template_text_and_mass(spark):
 
 def test_wrapper_grammar():
     def stream(s):
-        return H.read(s)[0]
+        return H.fold(H.read(s))
 
     a, b = stream("<div><h1>x</h1><p>1</p><p>2</p></div>"), stream("<div><p>1</p><ul><li>a<li>b</ul></div>")
     assert H.expression(a) == "<div><h1>#</h1>(<p>#</p>)+</div>"
@@ -164,3 +164,79 @@ def test_numbered_classes_are_one_kind(spark):
 def test_copies_of_a_page_keep_their_text(spark):
     one = "<body><div class=a><p>The same text</p></div></body>"
     assert set(texts_of(spark, [one] * 5).values()) == {"The same text"}
+
+
+def article(*parts, body="<body>", main="<article>"):
+    return f"<html>{body}{main}{''.join(parts)}</article></body></html>"
+
+
+def test_names_of_states_and_of_the_page(spark):
+    """Class words of body, html, article or main, and words of states, take nothing away; an article's own header stays."""
+    got = texts_of(
+        spark,
+        [
+            article("<p>One</p>", body="<body class='post no-sidebar'>"),
+            article("<p>Two</p>", main="<article class='comments-open widget'>"),
+            article("<header><h1>Three</h1></header><p>four</p><footer>by me</footer>"),
+            "<body class='sidebar'><div class='has-sidebar'><p>Five</p></div><div class='site-footer'>no</div></body>",
+            article("<p>Six <math><mi>x</mi></math> is</p><select><option>no<p>y</select><object>seven</object><p>eight"),
+            article("<p>Nine</p><textarea><p>ten</p>"),
+        ],
+    )
+    assert got == {0: "One", 1: "Two", 2: "Three\nfour", 3: "Five", 4: "Six x is\nseven\neight", 5: "Nine\nten"}
+
+
+def test_lede_and_story_apart_from_each_other(spark):
+    """Blocks of several elements make the text; what is constant or mostly links does not."""
+    pages = [f"<body><div class=top>Same head</div><div class=lede><p>Lede {k}</p></div><div class=list><a href=x>Other page {k}</a></div><div class=story><p>Story {k} goes on</p></div></body>" for k in range(4)]
+    assert texts_of(spark, pages) == {k: f"Lede {k}\nStory {k} goes on" for k in range(4)}
+
+
+def test_the_wrapper_decides(spark):
+    """One page within two hosts: its text follows from its place in each host's wrapper."""
+    page = "<body><p>Welcome, all of you</p><h2>Title {0}</h2><p>Text {0}</p></body>"
+    other = "<body><p>Intro {0}</p><h2>Title {0}</h2><p>Text {0}</p></body>"
+    rows = [(k, "http://a.example/", page.format(k)) for k in range(4)] + [(10, "http://b.example/", page.format(0))] + [(10 + k, "http://b.example/", other.format(k)) for k in range(1, 4)]
+    got = {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Title 0\nText 0" and got[10] == "Welcome, all of you\nTitle 0\nText 0"
+    # the second p is a slot of its own, though its path is that of the first; an optional part outside the required ones is left out
+    promo = ["<body><div class=m><h2>T {0}</h2><p>X {0}</p></div>" + ("<div class=z><p>Buy {0}</p></div>" if k % 2 else "") + "</body>" for k in range(4)]
+    assert texts_of(spark, [p.format(k) for k, p in enumerate(promo)]) == {k: f"T {k}\nX {k}" for k in range(4)}
+
+
+def test_hostile_markup_is_read_in_line(spark):
+    import time
+
+    for piece in ("<a ", '<a "', "<a '\">", "<textarea>", "<!--", "<select><p>", "<", "<p class=", "<div>", "<nav><div>", "</div>", "<button>", "<li><td>"):
+        began = time.time()
+        H.fold(H.read("<p>x</p>" + piece * (1_000_000 // len(piece))))
+        assert time.time() - began < (4 if piece in ("<select><p>", "<div>", "<nav><div>", "<li><td>") else 1.5), piece
+    began = time.time()
+    many = H.fold(H.read("<h2>a</h2><p>b</p>" * 4000))
+    H.align(many, many)
+    assert time.time() - began < 3
+
+
+def test_a_host_is_folded_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(H, "FAN", 4)
+    pages = [f"<body><div class={'abcdefghij'[k % 10]}><p>T {k}</p></div>" + "<ul><li>x</ul>" * (k // 10) + f"<h2>H {k}</h2></body>" for k in range(50)]
+    got = texts_of(spark, pages)
+    assert all(t.startswith(f"T {k}") and t.endswith(f"H {k}") for k, t in got.items()) and len(got) == 50
+
+
+def test_slots_of_an_aligned_page():
+    """Whatever streams a wrapper was made of, each of their pages finds a place for each of its blocks."""
+    import random
+
+    rng = random.Random(1)
+
+    def made(depth=0):
+        return "".join(f"<{t}>{made(depth + 1) if t == 'div' and depth < 3 else 'x'}</{t}>" for t in rng.choices(("p", "div", "h2", "ul"), k=rng.randrange(5)))
+
+    for _ in range(40):
+        trees = [H.read(made()) for _ in range(6)]
+        tree = H.fold(trees[0])
+        for t in trees[1:]:
+            tree = H.align(tree, H.fold(t))
+        wrapper = H.Wrapper(tree)
+        assert all(slot >= 0 and wrapper.kind[slot] == "#" for t in trees for slot, _, _ in wrapper.slots(t))
