@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,8 +36,6 @@ def decide(p: Column, silence: Column, threshold=0.5, action_delay=0.2, timeout=
 
 def predictor(make: Callable[[], Callable[[list, list], list[float]]]) -> Callable[[Column, Column], Column]:
     """A batch scorer as a column function: make() loads the model once per worker; it maps waveforms and rates to probabilities."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         predict = make()

@@ -22,7 +22,8 @@ def sentence_end(word: Column) -> Column:
     core = F.trim(F.regexp_replace(token, f"[{SENTENCE_END}]+$", ""))
     bare = F.regexp_replace(F.lower(core), r"^\.+|\.+$", "")
     letters = F.length(F.replace(core, F.lit("."), F.lit("")))
-    return F.coalesce(token.rlike(f"[{SENTENCE_END}]$") & (letters > 1) & ~bare.isin(ABBREVIATIONS), F.lit(False))
+    # most words end in no mark, and only the others need the patterns
+    return F.when(F.substring(token, -1, 1).isin(list(SENTENCE_END)), (letters > 1) & ~bare.isin(ABBREVIATIONS)).otherwise(F.lit(False))
 
 
 def parse_timestamped(text: Column) -> Column:

@@ -74,20 +74,32 @@ def framed(x: Column, length: int, hop: int) -> Column:
     return F.when(F.size(x) >= length, F.transform(F.sequence(F.lit(0).cast("long"), n), lambda k: F.slice(x, (k * hop + 1).cast("int"), length))).otherwise(F.array().cast("array<array<float>>"))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once: a lambda's variable is not put in where it is used, as a column's expression is."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def percentile(values: Column, p: float) -> Column:
     """Linear percentile of an array, within its row."""
-    ordered, place = F.array_sort(values), (F.size(values) - 1) * F.lit(p)
-    low = F.floor(place).cast("int")
-    a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(values)))
-    return a + (b - a) * (place - low)
+
+    def of(ordered):
+        place = (F.size(ordered) - 1) * F.lit(p)
+        low = F.floor(place).cast("int")
+        a, b = F.element_at(ordered, low + 1), F.element_at(ordered, F.least(low + 2, F.size(ordered)))
+        return a + (b - a) * (place - low)
+
+    return let(F.array_sort(values), of)
 
 
 def vad_end(x: Column, length: int, hop: int, ratio: float = 0.1, least: float = 1e-3) -> Column:
     """End sample of the last frame louder than a share of the 95th percentile of loudness: 0 if none is, all samples of a clip shorter than a frame."""
-    loud = F.transform(framed(x, length, hop), rms)
-    bound = F.greatest(F.lit(least), ratio * percentile(loud, 0.95))
-    last = F.array_max(F.transform(loud, lambda v, k: F.when(v > bound, k * hop + length)))
-    return F.when(F.size(x) < length, F.size(x)).otherwise(F.coalesce(last, F.lit(0)))
+
+    def last(loud):
+        bound = F.greatest(F.lit(least), ratio * percentile(loud, 0.95))
+        return let(bound, lambda b: F.array_max(F.transform(loud, lambda v, k: F.when(v > b, k * hop + length))))
+
+    end = let(F.transform(framed(x, length, hop), rms), last)
+    return F.when(F.size(x) < length, F.size(x)).otherwise(F.coalesce(end, F.lit(0)))
 
 
 def trailing_silence(x: Column, length: int, frame_seconds: float, floor_db: float = FLOOR_DB) -> Column:
@@ -101,9 +113,9 @@ def trailing_silence(x: Column, length: int, frame_seconds: float, floor_db: flo
 def longest_loud_run(x: Column, length: int, floor_db: float = FLOOR_DB) -> Column:
     """Most loud frames in a row."""
     step = F.aggregate(
-        framed(x, length, length),
+        F.transform(framed(x, length, length), lambda f: dbfs(f) > floor_db),
         F.struct(F.lit(0).alias("run"), F.lit(0).alias("best")),
-        lambda s, f: F.struct(F.when(dbfs(f) > floor_db, s["run"] + 1).otherwise(0).alias("run"), F.greatest(s["best"], F.when(dbfs(f) > floor_db, s["run"] + 1).otherwise(0)).alias("best")),
+        lambda s, v: F.struct(F.when(v, s["run"] + 1).otherwise(0).alias("run"), F.greatest(s["best"], F.when(v, s["run"] + 1).otherwise(0)).alias("best")),
     )
     return step["best"]
 

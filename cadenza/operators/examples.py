@@ -6,6 +6,8 @@ but the packing of batches.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from cadenza.functions.text import transcript
 
 OFFSETS = (0.0, 0.2, 0.6, 1.2)
 EPS = 1e-6
+#: The least clip in samples, the most tokens of an example, the most seconds of audio, and the languages of the training data.
+LEAST_SAMPLES, BLOCK, MAX_SECONDS = 320, 2048, 30.0
+LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "ko", "pt", "tr", "zh")
 IGNORE = -100
 RANGES = 256
 
@@ -135,6 +140,80 @@ def chat_example(encode, special: dict[str, int], marker: Column, n_audio: Colum
     return prompt([*parts, (one("end"), True), (say("\n"), False)])
 
 
+def serving_prompt(encode, special: dict[str, int], n_audio: Column, system: str = "") -> Column:
+    """``chat_example``'s prompt up to the place of the marker, which a model is then asked for."""
+    one = lambda name: F.array(F.lit(special[name]))
+    say = lambda s: encode(F.lit(s))
+    audio = F.concat(one("audio_bos"), F.array_repeat(F.lit(special["audio"]), n_audio), one("audio_eos"))
+    turns = [(say("system\n"), say(system)), (say("user\n"), audio)]
+    said = [x for role, content in turns for x in (one("start"), role, content, one("end"), say("\n"))]
+    return F.concat(*said, one("start"), say("assistant\n"))
+
+
 def probe_prompt(encode, special: dict[str, int], n_audio: Column, instruction: str) -> Column:
     """Audio placeholders between their marks, then an instruction: what a head reads at its last token."""
     return F.concat(F.array(F.lit(special["audio_bos"])), F.array_repeat(F.lit(special["audio"]), n_audio), F.array(F.lit(special["audio_eos"])), encode(F.lit(instruction)))
+
+
+def allowed(rows: DataFrame, languages=LANGUAGES, column: str = "language") -> DataFrame:
+    """Rows of the languages that a model was trained on."""
+    return rows.where(F.col(column).isin(*languages))
+
+
+def usable(examples: DataFrame, least: int = LEAST_SAMPLES, block: int = BLOCK) -> DataFrame:
+    """Examples (n_samples, n_audio, n_tokens) that can be packed: not shorter than a frame, with audio tokens, and not longer than a block."""
+    return examples.where((F.col("n_samples") >= least) & (F.col("n_audio") > 0) & (F.col("n_tokens") <= block))
+
+
+def short_enough(rows: DataFrame, n_samples: Column, sr: int, window: float, most: float = MAX_SECONDS) -> DataFrame:
+    """Rows whose audio, cut to its most recent window, lasts no longer than most seconds."""
+    return rows.where(F.least(n_samples, F.lit(int(window * sr))) / F.lit(float(sr)) <= most)
+
+
+def sample_at(time: Column, sr: int) -> Column:
+    """The end of what has been heard by a query's time. (Training truncates without the margin.)"""
+    return F.floor(time * sr + EPS).cast("long")
+
+
+def scored(examples: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = ("id", "span_index", "cut_index")) -> DataFrame:
+    """Examples with their predictions: what another engine pairs by position is paired by keys."""
+    return examples.join(predictions.select(*keys, "p_eot"), list(keys))
+
+
+def prediction_records(turns: DataFrame, interval: int, min_silence: int, ticks: int, score, lag: float = 0.5) -> DataFrame:
+    """One row for each turn: id, audio_sec, events (timestamp, end_sample's score) in order, prediction_rows (timestamp, label, span, p_eot).
+
+    turns has id, spans and words in ticks, duration in ticks, and sr. score(time, end_sample, prior) gives the probability from
+    the query's time, the samples heard and the words that have ended ``lag`` seconds before. Turns without a query have no events.
+    """
+    long_ = F.filter("spans", lambda s: s["end"] - s["start"] >= min_silence)
+    grid = F.transform(long_, lambda s: F.transform(F.sequence(s["start"], s["end"], F.lit(interval).cast("long")), lambda t: F.struct(t.alias("t"), s["start"].alias("start"), s["end"].alias("end"))))
+    last = F.element_at("spans", -1)["start"]
+
+    def event(x):
+        t = x["t"] / F.lit(float(ticks))
+        prior = F.filter("words", lambda w: w["end"] <= x["t"] - round(lag * ticks))
+        p = score(t, F.floor(t * F.col("sr") + EPS).cast("long"), prior)
+        return F.struct(t.alias("timestamp"), p.alias("p_eot"), (x["start"] == last).cast("int").alias("label"), ((x["t"] - x["start"]) / F.lit(float(ticks))).alias("silence"))
+
+    rows = turns.withColumn("_e", F.array_sort(F.array_distinct(F.transform(F.flatten(grid), event))))
+    return rows.select(
+        "id",
+        (F.col("duration") / F.lit(float(ticks))).alias("audio_sec"),
+        F.transform("_e", lambda e: F.struct(e["timestamp"].alias("timestamp"), e["p_eot"].alias("p_eot"))).alias("events"),
+        F.transform("_e", lambda e: F.struct(e["timestamp"].alias("timestamp"), e["label"].alias("label"), e["silence"].alias("silence"), e["p_eot"].alias("p_eot"))).alias("prediction_rows"),
+    )
+
+
+def noise(rows: DataFrame, duration: Column, sr: int, seed: int, level: float = 0.05) -> DataFrame:
+    """rows with ``audio``: a normal signal of int(duration * sr) samples, by hashes of the seed and the place, so that it is the same wherever it is made."""
+    n = F.floor(duration * sr).cast("int")
+    unit = lambda i, k: (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    one = lambda i: (F.sqrt(-2 * F.log(unit(i, 0))) * F.cos(2 * math.pi * unit(i, 1)) * level).cast("float")
+    return rows.withColumn("audio", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<float>")))
+
+
+def histories(points: DataFrame, by: str, t: str, seconds: float, most: int = 2000) -> DataFrame:
+    """points with ``kept``: how many of a session's points its history holds after each, of the last seconds and no more than most. Times must differ."""
+    w = Window.partitionBy(by).orderBy(t).rangeBetween(-seconds, 0)
+    return points.withColumn("kept", F.least(F.count("*").over(w), F.lit(most).cast("long")))

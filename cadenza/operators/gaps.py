@@ -1,7 +1,8 @@
 """Distribution of gaps and the threshold that it recommends.
 
-Density and histogram work on distinct gap values with their counts, which are few
-however many gaps there are, so nothing of the size of the data is crossed with the grid.
+Density and histogram work on distinct gap values with their counts: few at ticks of a millisecond, up to one
+for each gap at finer ones. The density then costs its 200 grid points times the distinct gaps, summed where these are; only sums are shuffled.
+Percentiles rank distinct gaps within ranges, see ``quantiles``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.operators import quantiles as Q
+
 PERCENTILES = (50, 75, 90, 95, 99)
 BINS, BANDWIDTH, GRID, LEAST = 30, 0.12, 200, 20
 
@@ -20,11 +23,14 @@ def kept(gaps: DataFrame, floor: float, column: str = "gap") -> DataFrame:
     return gaps.where(F.col(column) >= floor).groupBy(F.col(column).alias("gap")).agg(F.count("*").alias("n"))
 
 
+def _percentiles(values: DataFrame) -> DataFrame:
+    row = Q.of_counts(values, [], "gap", tuple(p / 100 for p in PERCENTILES))
+    return row.select(F.coalesce("n", F.lit(0)).alias("n_gaps"), *(F.col("q")[k].alias(f"p{p}") for k, p in enumerate(PERCENTILES)))
+
+
 def percentiles(gaps: DataFrame, floor: float, column: str = "gap") -> DataFrame:
     """One row: n_gaps and linear percentiles, null where there is no gap."""
-    q = F.expr(f"percentile(gap, array({', '.join(str(p / 100) for p in PERCENTILES)}), n)")
-    row = kept(gaps, floor, column).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_gaps"), q.alias("q"))
-    return row.select("n_gaps", *(F.col("q")[k].alias(f"p{p}") for k, p in enumerate(PERCENTILES)))
+    return _percentiles(kept(gaps, floor, column))
 
 
 def _range(values: DataFrame) -> DataFrame:
@@ -47,9 +53,14 @@ def bar(n: Column, most: Column, width: int = 50) -> Column:
 
 def density(gaps: DataFrame, floor: float, column: str = "gap", grid: int = GRID, bandwidth: float = BANDWIDTH, least: int = LEAST) -> DataFrame:
     """(i, x, density) on an even grid in log10 seconds; no rows below ``least`` gaps or where all are equal."""
-    values = kept(gaps.where(F.col(column) > 0), floor, column)
+    return _density(kept(gaps, floor, column), grid, bandwidth, least)
+
+
+def _density(values: DataFrame, grid: int = GRID, bandwidth: float = BANDWIDTH, least: int = LEAST) -> DataFrame:
+    spark = values.sparkSession
+    values = values.where("gap > 0")
     bounds = _range(values).where((F.col("total") >= least) & (F.col("hi") > F.col("lo")))
-    points = gaps.sparkSession.range(grid).withColumnRenamed("id", "i").join(F.broadcast(bounds)).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (grid - 1))
+    points = spark.range(grid).withColumnRenamed("id", "i").join(F.broadcast(bounds)).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("i") / (grid - 1))
     z = (F.log10("gap") - F.col("x")) / bandwidth
     mass = F.sum(F.col("n") * F.exp(-0.5 * z * z)) / (F.first("total") * bandwidth * math.sqrt(2 * math.pi))
     return values.join(F.broadcast(points)).groupBy("i", "x").agg(F.round(mass, 9).alias("density"))
@@ -69,13 +80,14 @@ def valley(gaps: DataFrame, floor: float, column: str = "gap") -> DataFrame:
 
     The recommendation is the valley (3 decimals), else the 75th percentile, else five times the floor.
     """
-    points = extrema(density(gaps, floor, column))
+    values = kept(gaps, floor, column)  # one shuffle, which all that follows shares
+    points = extrema(_density(values))
     w = Window.orderBy(F.col("density").desc(), "i")
     tops = points.where("kind = 'peak'").withColumn("k", F.row_number().over(w)).where("k <= 2")
     modes = tops.agg(F.min("i").alias("a"), F.max("i").alias("b"), F.count("*").alias("n"), F.min("x").alias("x1"), F.max("x").alias("x2"))
     between = points.where("kind = 'trough'").join(F.broadcast(modes), (F.col("n") == 2) & (F.col("i") > F.col("a")) & (F.col("i") < F.col("b")))
     deepest = between.agg(F.min_by("x", F.struct("density", "i")).alias("v"))
-    row = percentiles(gaps, floor, column).join(F.broadcast(modes.select("x1", "x2", F.col("n").alias("n_modes")))).join(F.broadcast(deepest))
+    row = _percentiles(values).join(F.broadcast(modes.select("x1", "x2", F.col("n").alias("n_modes")))).join(F.broadcast(deepest))
     ten = lambda c: F.round(F.pow(F.lit(10.0), c), 6)
     v = F.pow(F.lit(10.0), F.col("v"))
     return row.select(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators import quantiles as Q
+
+#: Edges of the duration buckets, in seconds.
 EDGES = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0)
 
 
@@ -26,11 +29,10 @@ def f1() -> Column:
 def auc(predictions: DataFrame, by: list[str]) -> DataFrame:
     """ROC-AUC per group by average ranks over ties; null where a class is missing.
 
-    Equal scores are counted before they are ranked, so the window holds distinct scores, not rows.
+    Equal scores are counted before they are ranked, and ranked within ranges of the score.
     """
     scores = predictions.groupBy(*by, "p_eot").agg(_count(F.col("label") == 1).alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy("p_eot").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = scores.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    ranked = Q.before(scores, by, "p_eot", "n", Q.thousandths).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
     total = ranked.groupBy(*by).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     value = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("n") - F.col("p")))
     return total.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), value).alias("auc"))
@@ -66,9 +68,15 @@ def hold_correlation(predictions: DataFrame, duration: str = "duration") -> Data
     return predictions.where("label = 0").agg(F.count("*").alias("n"), F.when(F.count("*") > 1, F.corr(duration, "p_eot")).alias("corr"))
 
 
+def summary(rows: DataFrame, by: list[str], column: str, shares: dict[str, float], more: dict[str, Column]) -> DataFrame:
+    """Per group: exact percentiles under their names, and other aggregates."""
+    q = Q.percentiles(rows, by, column, tuple(shares.values())).select(*by, *(F.col("q")[k].alias(name) for k, name in enumerate(shares)))
+    return rows.groupBy(*by).agg(*(c.alias(name) for name, c in more.items())).join(q, by, "left")
+
+
 def latency(rows: DataFrame, by: list[str], column: str = "ms") -> DataFrame:
-    q = lambda p: F.expr(f"percentile({column}, {p})")
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean_ms"), q(0.5).alias("median_ms"), q(0.95).alias("p95_ms"), F.min(column).alias("min_ms"), F.max(column).alias("max_ms"), F.stddev_pop(column).alias("std_ms"))
+    more = {"n": F.count("*"), "mean_ms": F.avg(column), "min_ms": F.min(column), "max_ms": F.max(column), "std_ms": F.stddev_pop(column)}
+    return summary(rows, by, column, {"median_ms": 0.5, "p95_ms": 0.95}, more)
 
 
 def sweep(predictions: DataFrame, policies: DataFrame, decide) -> DataFrame:

@@ -1,7 +1,8 @@
 """Words to turns with ordered silence spans.
 
 A words table has ``rec`` (the recording), ``pos`` (order among equal times), ``word``, and
-integer ``start`` and ``end``; ``audio_end`` is optional. One shuffle by recording serves
+integer ``start`` and ``end``; ``audio_end`` (the recording's length), ``mode`` (its mode, instead of the configured one) and
+``ends`` (whether the word ends a sentence) are optional. One shuffle by recording serves
 the neighbours, the boundaries and the grouping, whose keys refine it.
 """
 
@@ -28,17 +29,21 @@ def gaps(words: DataFrame) -> DataFrame:
     return with_gaps(words).where("gap IS NOT NULL").withColumn("gap", F.greatest(F.col("gap"), F.lit(0)))
 
 
-def boundary(cfg: TurnConfig) -> Column:
-    """Does a turn end after this word (the last word always ends one)?"""
+def boundary(cfg: TurnConfig, ends: Column | None = None, mode: Column | None = None) -> Column:
+    """Does a turn end after this word (the last word always ends one)? ends: what is known of sentence ends; mode: one for each row instead of cfg's."""
     wide = F.coalesce(F.col("gap") >= cfg.tick("turn_gap"), F.lit(False))
-    return {"single": F.lit(False), "segment": wide, "sentence": wide | sentence_end(F.col("word"))}[cfg.mode]
+    by_mode = {"single": F.lit(False), "segment": wide, "sentence": wide | (sentence_end(F.col("word")) if ends is None else ends)}
+    if mode is None:
+        return by_mode[cfg.mode]
+    return F.when(mode == "single", by_mode["single"]).when(mode == "segment", by_mode["segment"]).when(mode == "sentence", by_mode["sentence"])
 
 
 def segmented(words: DataFrame, cfg: TurnConfig) -> DataFrame:
     """Words with ``turn``, the number of boundaries before each, and ``closes``."""
     w = Window.partitionBy("rec").orderBy(*ORDER)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    cut = with_gaps(words).withColumn("cut", boundary(cfg))
+    known = {x: F.col(x) for x in ("ends", "mode") if x in words.columns}
+    cut = with_gaps(words).withColumn("cut", boundary(cfg, **known))
     turn = F.coalesce(F.sum(F.col("cut").cast("int")).over(before), F.lit(0))
     return cut.withColumn("turn", turn.cast("long")).withColumn("closes", F.col("cut") | F.col("next_start").isNull())
 
@@ -52,7 +57,9 @@ def turns(words: DataFrame, cfg: TurnConfig) -> DataFrame:
     seg = segmented(words, cfg)
     end_of = F.col("audio_end") if "audio_end" in words.columns else F.lit(None).cast("long")
     hold = ~F.col("closes") & (F.col("gap") >= t("min_silence"))
-    if cfg.mode != "single":
+    if "mode" in words.columns:
+        hold = hold & ((F.col("mode") == "single") | (F.col("gap") < t("turn_gap")))
+    elif cfg.mode != "single":
         hold = hold & (F.col("gap") < t("turn_gap"))
     ordered = F.struct(*ORDER, "word")
     rows = seg.withColumn("_audio_end", end_of).groupBy("rec", "turn").agg(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import data, examples, gaps, metrics, turns, waves
+from cadenza.plans import data, examples, gaps, metrics, serving, turns, waves
 
-MODULES = (turns, gaps, examples, waves, metrics, data)
+MODULES = (turns, gaps, examples, waves, metrics, data, serving)
 
 
 def queries() -> dict:

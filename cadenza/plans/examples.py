@@ -13,6 +13,15 @@ SPECIAL = {"start": 1000, "end": 1001, "audio_bos": 1002, "audio": 1003, "audio_
 RATE = 16000
 
 
+def fixed_ids(*parts: str) -> str:
+    """A list in SQL: special tokens by name, other parts as codes of their characters."""
+    return "[" + ", ".join(str(i) for p in parts for i in ([SPECIAL[p]] if p in SPECIAL else map(ord, p))) + "]"
+
+
+def codes_sql(text: str) -> str:
+    return f"list_transform(list_filter(string_split({text}, ''), lambda c: c <> ''), lambda c: unicode(c))"
+
+
 def rows(spark, sf_dir):
     """Turns of the texts in seconds, as far as they are rows: id, spans, words, duration."""
     built = P.built(spark, sf_dir, P.SENTENCE, "documents")
@@ -78,12 +87,11 @@ def conversations(spark, sf_dir):
 
 
 def pad_and_mask(spark, sf_dir):
-    """Turns of each conversation padded to its longest: checked by sums."""
+    """Turns of each conversation padded to its longest."""
     c = conversations(spark, sf_dir)
     longest = c.groupBy("conv_id").agg(F.max(F.size("ids")).alias("m"))
     out = c.join(longest, "conv_id").select("conv_id", "turn", E.padded(F.col("ids"), F.col("m"), 7).alias("p"), E.mask(F.col("ids"), F.col("m")).alias("mask"))
-    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
-    return out.select("conv_id", "turn", F.size("p").cast("long").alias("size"), add("p").alias("total"), (add("mask") - 1).alias("last_token"))
+    return out.select("conv_id", "turn", F.size("p").cast("long").alias("size"), F.array_join("p", ",").alias("ids"), F.array_join("mask", ",").alias("mask"))
 
 
 def audio_token_count(spark, sf_dir):
@@ -93,25 +101,25 @@ def audio_token_count(spark, sf_dir):
 def prompt_labels(spark, sf_dir):
     marker = F.when(F.col("role") == "user", SPECIAL["eot"]).otherwise(SPECIAL["hold"])
     c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", E.chat_example(T.char_codes, SPECIAL, marker, (F.col("turn") % 8).cast("int"), F.col("text"), "be brief").alias("x"))
-    kept = F.filter("x.labels", lambda v: v != E.IGNORE)
-    return c.select("conv_id", "turn", F.size("x.input_ids").cast("long").alias("n"), F.size(kept).cast("long").alias("supervised"), kept[0].cast("long").alias("first"), F.element_at("x.position_ids", -1).cast("long").alias("last_position"))
+    return c.select("conv_id", "turn", *(F.array_join(f"x.{k}", ",").alias(k) for k in ("input_ids", "labels", "position_ids")))
 
 
 def probe_prompt(spark, sf_dir):
-    c = A.table(spark, sf_dir, "conversations").select("conv_id", "turn", E.probe_prompt(T.char_codes, SPECIAL, (F.col("turn") % 8).cast("int"), "Done? yes or no.").alias("p"))
-    return c.select("conv_id", "turn", F.size("p").cast("long").alias("n"), F.element_at("p", -1).cast("long").alias("last"))
+    """As many audio tokens as the turn's text has characters, up to 7."""
+    p = E.probe_prompt(T.char_codes, SPECIAL, F.coalesce(F.length("text"), F.lit(0)) % 8, "Done? yes or no.")
+    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(p, ",").alias("ids"))
 
 
 def varlen_packing(spark, sf_dir):
-    c = conversations(spark, sf_dir).select("conv_id", "turn", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"))
+    c = conversations(spark, sf_dir).select("conv_id", "turn", F.col("ids").alias("input_ids"), F.transform("ids", lambda v, i: F.when(i < 2, F.lit(E.IGNORE)).otherwise(v)).alias("labels"))
     p = E.packed(c, F.col("conv_id"), F.col("turn"))
-    return p.select(F.col("batch").alias("conv_id"), F.size("input_ids").cast("long").alias("n"), F.size("cu_seqlens").cast("long").alias("n_offsets"), F.element_at("cu_seqlens", -1).alias("total"), F.col("max_len").cast("long").alias("max_len"))
+    whole = lambda c: F.array_join(c, ",").alias(c)
+    return p.select(F.col("batch").alias("conv_id"), whole("input_ids"), whole("labels"), whole("cu_seqlens"), F.col("max_len").cast("long").alias("max_len"))
 
 
 QUERIES = {f.__name__: f for f in (causal_expand, causal_weights, singleton_sample, marker_expand, asof_prior_words, query_time_grid, cu_seqlens, pad_and_mask, audio_token_count, prompt_labels, probe_prompt, varlen_packing)}
 UNIT = "('0x' || substr(sha256(id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE"
 LENGTHS = "t AS (SELECT lang, doc_id, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')) AS n FROM documents)"
-FIXED = len("system\nbe brief\nuser\n\nassistant\n\n")
 SQL = {
     "causal_expand": f"WITH {ROWS} SELECT id, span_index, label, cut_index, cut_sample, round(weight, 9) AS weight FROM points",
     "causal_weights": f"WITH {ROWS} SELECT id, round(sum(weight), 6) AS weight, count(*) AS n FROM points GROUP BY id",
@@ -132,13 +140,21 @@ spans AS (
 SELECT DISTINCT id, unnest(range(s, e + 1, 100)) AS time FROM spans WHERE e - s >= 100""",
     "cu_seqlens": f"""WITH {LENGTHS}, p AS (SELECT lang, row_number() OVER w AS i, sum(n) OVER w AS start FROM t WINDOW w AS (PARTITION BY lang ORDER BY doc_id))
 SELECT lang, i, start::BIGINT AS start FROM p UNION ALL SELECT DISTINCT lang, 0, 0 FROM t""",
-    "pad_and_mask": """WITH c AS (SELECT conv_id, turn, length(text) AS n, list_sum(list_transform(string_split(text, ''), lambda x: unicode(x)))::BIGINT AS s FROM conversations)
-SELECT conv_id, turn, max(n) OVER (PARTITION BY conv_id) AS size, (coalesce(s, 0) + 7 * (max(n) OVER (PARTITION BY conv_id) - n))::BIGINT AS total, n - 1 AS last_token FROM c""",
+    "pad_and_mask": f"""WITH c AS (SELECT conv_id, turn, {codes_sql('text')} AS p FROM conversations),
+d AS (SELECT *, max(len(p)) OVER (PARTITION BY conv_id) AS m FROM c)
+SELECT conv_id, turn, m AS size, array_to_string(list_concat(p, list_transform(range(m - len(p)), lambda i: 7)), ',') AS ids,
+       array_to_string(list_concat(list_transform(p, lambda i: 1), list_transform(range(m - len(p)), lambda i: 0)), ',') AS mask FROM d""",
     "audio_token_count": "SELECT doc_id, CASE WHEN n_chars - 500 <= 0 THEN 0 ELSE (n_chars - 501) // 2 + 1 END AS tokens FROM documents",
-    "prompt_labels": f"""SELECT conv_id, turn, {FIXED} + 9 + turn % 8 + CASE WHEN length(text) > 0 THEN length(text) + 1 ELSE 0 END AS n,
-  2 + CASE WHEN length(text) > 0 THEN length(text) + 1 ELSE 0 END AS supervised, CASE WHEN role = 'user' THEN 1005 ELSE 1006 END::BIGINT AS first,
-  {FIXED} + 8 + turn % 8 + CASE WHEN length(text) > 0 THEN length(text) + 1 ELSE 0 END AS last_position FROM conversations""",
-    "probe_prompt": "SELECT conv_id, turn, 18 + turn % 8 AS n, 46::BIGINT AS last FROM conversations",
-    "varlen_packing": """SELECT conv_id, sum(length(text))::BIGINT AS n, count(*) + 1 AS n_offsets, sum(length(text))::BIGINT AS total, max(length(text)) AS max_len
-FROM conversations WHERE length(text) > 0 GROUP BY conv_id""",
+    "prompt_labels": f"""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1005 ELSE 1006 END AS marker, CASE WHEN length(text) > 0 THEN {codes_sql("' ' || text")} ELSE [] END AS said FROM conversations),
+p AS (
+  SELECT conv_id, turn, list_concat({fixed_ids('start', 'system\n', 'be brief', 'end', '\n', 'start', 'user\n', 'audio_bos')}, list_transform(range(turn % 8), lambda i: 1003),
+    {fixed_ids('audio_eos', 'end', '\n', 'start', 'assistant\n')}) AS asked, list_concat([marker], said, {fixed_ids('end')}) AS told FROM t)
+SELECT conv_id, turn, array_to_string(list_concat(asked, told, [10]), ',') AS input_ids, array_to_string(list_concat(list_transform(asked, lambda i: -100), told, [-100]), ',') AS labels,
+       array_to_string(range(len(asked) + len(told) + 1), ',') AS position_ids FROM p""",
+    "probe_prompt": f"""SELECT conv_id, turn, array_to_string(list_concat({fixed_ids('audio_bos')}, list_transform(range(coalesce(length(text), 0) % 8), lambda i: 1003), {fixed_ids('audio_eos', 'Done? yes or no.')}), ',') AS ids FROM conversations""",
+    "varlen_packing": f"""WITH c AS (SELECT conv_id, turn, {codes_sql('text')} AS p FROM conversations WHERE length(text) > 0),
+d AS (SELECT *, coalesce(sum(len(p)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS total FROM c)
+SELECT conv_id, array_to_string(flatten(list(p ORDER BY turn)), ',') AS input_ids, array_to_string(flatten(list(list_concat(list_transform(p[1:2], lambda v: -100), p[3:]) ORDER BY turn)), ',') AS labels,
+       array_to_string(list_concat([0], list(total::BIGINT ORDER BY turn)), ',') AS cu_seqlens, max(len(p)) AS max_len
+FROM d GROUP BY conv_id""",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.operators import gaps as G
+from cadenza.operators import metrics as M
 from cadenza.operators import turns as O
 from cadenza.plans import turns as P
 from cadenza.sources import adapters as A
@@ -50,8 +51,8 @@ def labelled_spans(spark, sf_dir):
 
 
 def span_label_profile(spark, sf_dir):
-    q = lambda p: F.round(F.expr(f"percentile(seconds, {p})"), 6)
-    return labelled_spans(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("seconds"), 6).alias("mean"), q(0.5).alias("median"), q(0.1).alias("p10"), q(0.9).alias("p90"), F.max("seconds").alias("max"))
+    out = M.summary(labelled_spans(spark, sf_dir), ["label"], "seconds", {"median": 0.5, "p10": 0.1, "p90": 0.9}, {"n": F.count("*"), "mean": F.avg("seconds"), "max": F.max("seconds")})
+    return out.select("label", "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p10", "p90")), "max")
 
 
 def span_share_by_set(spark, sf_dir):

@@ -39,11 +39,17 @@ GAPS_SQL = """near AS (
   WINDOW w AS (PARTITION BY rec ORDER BY s, e, pos))"""
 
 
-def turn_ctes(words: str, cfg: TurnConfig) -> str:
+def turn_ctes(words: str, cfg: TurnConfig, audio_end: bool = False, mode: str | None = None) -> str:
+    """audio_end: words has it; mode: an expression that numbers a recording's own mode, in the order of ``cuts``."""
     t = cfg.tick
     wide = f"coalesce(gap >= {t('turn_gap')}, false)"
-    cut = {"single": "false", "segment": wide, "sentence": f"({wide} OR {sentence_sql('word')})"}[cfg.mode]
+    cuts = {"single": "false", "segment": wide, "sentence": f"({wide} OR {sentence_sql('word')})"}
+    cut = cuts[cfg.mode]
     inside = "" if cfg.mode == "single" else f" AND gap < {t('turn_gap')}"
+    if mode:
+        cut = f"CASE {mode} {' '.join(f'WHEN {k} THEN {c}' for k, c in enumerate(cuts.values()))} END"
+        inside = f" AND ({mode} = 0 OR gap < {t('turn_gap')})"
+    longest = "max(audio_end)" if audio_end else "NULL::BIGINT"
     return f"""{words},
 {GAPS_SQL},
 cuts AS (SELECT *, {cut} AS cut, {cut} OR next_start IS NULL AS closes FROM near),
@@ -54,12 +60,12 @@ opened AS (SELECT *, k = min(k) OVER (PARTITION BY rec, turn) AS opens, NOT clos
 grouped AS (
   SELECT rec, turn, count(*) AS n_words, string_agg(word, ' ' ORDER BY k) AS transcript, min(s) AS start, max(CASE WHEN closes THEN e END) AS last_end,
          max(CASE WHEN closes THEN next_start END) AS next_start, max(CASE WHEN opens THEN prev_end END) AS prev_end,
-         count(CASE WHEN hold THEN 1 END) AS n_holds, coalesce(sum(CASE WHEN hold THEN gap END), 0)::BIGINT AS hold_total,
+         {longest} AS audio_end, count(CASE WHEN hold THEN 1 END) AS n_holds, coalesce(sum(CASE WHEN hold THEN gap END), 0)::BIGINT AS hold_total,
          coalesce(string_agg(CASE WHEN hold THEN e || '-' || next_start END, ',' ORDER BY k), '') AS holds
   FROM opened GROUP BY rec, turn),
 framed AS (
   SELECT *, last_end + CASE WHEN next_start IS NOT NULL THEN greatest(0, least(next_start - last_end, {t('max_trailing')}) - {t('eot_guard')})
-                            ELSE least(greatest(0, {t('eot_trailing')}), {t('max_trailing')}) END AS window_end,
+                            ELSE least(greatest(coalesce(audio_end - last_end, 0), {t('eot_trailing')}), {t('max_trailing')}) END AS window_end,
          CASE WHEN prev_end IS NOT NULL THEN start - greatest(0, least({t('lead_in')}, start - prev_end) - {t('eot_guard')})
               ELSE greatest(0, start - {t('lead_in')}) END AS window_start
   FROM grouped WHERE n_words >= {cfg.min_words} AND n_holds >= {cfg.min_hold_spans}),
@@ -189,8 +195,7 @@ def whisper_parse(spark, sf_dir):
 
 QUERIES["whisper_parse"] = whisper_parse
 SQL["whisper_parse"] = f"""WITH {TEXT_SQL}
-SELECT w.rec, row_number() OVER (PARTITION BY w.rec ORDER BY w.pos) - 1 AS i, w.word, w.s AS start_ms, w.e AS end_ms
-FROM words w JOIN documents d ON w.rec = d.doc_id WHERE d.text NOT LIKE '%<%'"""
+SELECT w.rec, row_number() OVER (PARTITION BY w.rec ORDER BY w.pos) - 1 AS i, w.word, w.s AS start_ms, w.e AS end_ms FROM words w"""
 
 
 def word_normalize(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import scores as S
 from cadenza.functions import waves as W
+from cadenza.operators import metrics as M
 from cadenza.operators import rows as R
 from cadenza.sources import adapters as A
 
@@ -86,7 +87,8 @@ def tail_gate(spark, sf_dir):
 
 def tail_rms_summary(spark, sf_dir):
     tails = waves(spark, sf_dir).select("label", W.rms(W.recent(F.col("x"), F.lit(8))).alias("r"))
-    return tails.groupBy("label").agg(F.round(F.avg("r"), 6).alias("mean"), F.round(F.expr("percentile(r, 0.9)"), 6).alias("p90"), F.round(F.max("r"), 6).alias("max"))
+    out = M.summary(tails, ["label"], "r", {"p90": 0.9}, {"mean": F.avg("r"), "max": F.max("r")})
+    return out.select("label", *(F.round(c, 6).alias(c) for c in ("mean", "p90", "max")))
 
 
 def bottleneck_pick(spark, sf_dir):

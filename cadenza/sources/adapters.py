@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scan(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """The parquet files of a folder whose names match; fails where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{pattern}")
+    if not list(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or ()):
+        raise FileNotFoundError(f"no {pattern} in {path}")
+    return spark.read.parquet(str(p))
+
+
 def event_words(events: DataFrame) -> DataFrame:
     """A user's events as one recording, in microseconds: each lasts ``value`` milliseconds."""
     start = F.expr(MICROS)
@@ -21,11 +29,17 @@ def event_words(events: DataFrame) -> DataFrame:
 
 
 def text_words(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A text's words as one recording, in milliseconds: time by length, longer gaps after sentence ends."""
+    """A text's words as one recording, in milliseconds: time by length, longer gaps after sentence ends. ``ends`` says which words end one.
+
+    Texts are dealt by key before they become words, so that the windows over a recording's words need no shuffle of these.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    documents = documents.select(key, "text").repartition(parts, key)
     split = F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")
     rows = documents.select(F.col(key).alias("rec"), F.posexplode(split).alias("pos", "word")).withColumn("pos", F.col("pos").cast("long"))
+    rows = rows.withColumn("ends", sentence_end(F.col("word")))
     n = F.length("word")
-    lasts, gap = 60 * n, 40 + (37 * n) % 200 + F.when(sentence_end(F.col("word")), 600).otherwise(0)
+    lasts, gap = 60 * n, 40 + (37 * n) % 200 + F.when(F.col("ends"), 600).otherwise(0)
     before = Window.partitionBy("rec").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(lasts + gap).over(before), F.lit(0)).cast("long")
     rows = rows.withColumn("start", start)

@@ -6,19 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
+from cadenza.functions.audio import wav_samples
 from cadenza.functions.text import normalized, parse_timestamped, rezeroed
 
 
-def embedded(rows: DataFrame, config: str, order: str, limit: int | None = None) -> DataFrame:
+def embedded(rows: DataFrame, config: str, order: str, limit: int | None = None, mode: str = "single") -> DataFrame:
     """Rows of words (structs of strings) and audio: source_id, words, audio, mode. Rows without a valid word are left out.
 
-    ``limit`` counts scanned rows in the order of a column, including those left out.
+    Audio that is encoded (binary) is decoded, with its rate in ``sr``, and rows whose bytes do not decode are left out.
+    mode is the source's own, which ``rows.built`` takes where it is asked for auto. ``limit`` counts scanned rows in
+    the order of a column, including those left out.
     """
     if limit is not None:
         rows = rows.orderBy(order).limit(limit)
     out = rows.withColumn("words", normalized(F.col("words"))).where(F.size("words") > 0)
-    return out.withColumn("source_id", F.concat(F.lit(f"{config}_"), F.col(order).cast("string"))).withColumn("mode", F.lit("single"))
+    if "audio" in out.columns and isinstance(out.schema["audio"].dataType, BinaryType):
+        out = out.withColumn("_heard", wav_samples("audio")).where("_heard.samples IS NOT NULL")
+        out = out.withColumn("audio", F.col("_heard.samples")).withColumn("sr", F.col("_heard.rate")).drop("_heard")
+    return out.withColumn("source_id", F.concat(F.lit(f"{config}_"), F.col(order).cast("string"))).withColumn("mode", F.lit(mode))
 
 
 def external(rows: DataFrame, members: DataFrame, mode: str, order: str, limit: int | None = None, max_scan: int | None = None) -> DataFrame:

@@ -29,9 +29,13 @@ def write_turns(rows: DataFrame, path: str, per_file: int = 20_000, max_rows: in
 
 def describe(schema: StructType, spark, path: str) -> None:
     """The columns and their types as JSON, written where Spark writes."""
+    _put(spark, path, json.dumps({f.name: f.dataType.simpleString() for f in schema}))
+
+
+def _put(spark, path: str, text: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    stream.write(json.dumps({f.name: f.dataType.simpleString() for f in schema}).encode())
+    stream.write(text.encode())
     stream.close()
 
 
@@ -40,11 +44,17 @@ def write_bias_csv(records: DataFrame, path: str) -> None:
 
 
 def report_json(metrics: DataFrame, args: dict) -> DataFrame:
-    """One row: arguments and all metric rows as JSON."""
+    """One row: arguments and all metric rows as JSON. Metrics are a few rows."""
     rows = F.to_json(F.array_sort(F.collect_list(F.struct(*sorted(metrics.columns)))))
     return metrics.agg(F.concat(F.lit('{"args":' + json.dumps(args) + ',"metrics":'), rows, F.lit("}")).alias("report"))
 
 
+def write_report(predictions: DataFrame, metrics: DataFrame, args: dict, path: str) -> None:
+    """A folder with ``report.json`` (arguments, metrics, and where the predictions lie) and the predictions as JSON lines, written by the executors."""
+    predictions.select("id", "language", "label", "p_eot").write.json(f"{path}/predictions")
+    _put(metrics.sparkSession, f"{path}/report.json", report_json(metrics, args | {"predictions": f"{path}/predictions"}).first()["report"])
+
+
 def card(rows: DataFrame, title: str) -> str:
     """A dataset card with rows per language; languages are few."""
     counts = sorted((r.language or "", r.n) for r in rows.groupBy("language").agg(F.count("*").alias("n")).collect())

@@ -1,8 +1,9 @@
 """End-of-turn events from a stream of audio chunks, with state per session.
 
 Chunks have ``session, t, sr, samples``: t is the chunk's end in the session's own time, which
-is all the time there is; no clock is read. A session's state is its last ``MAX_SECONDS`` of audio
-and two flags, so it stays bounded however long the session runs.
+is all the time there is. A session's state is its last ``MAX_SECONDS`` of audio, two flags and the histories of
+scores and loudness, so it stays bounded however long the session runs; a session that sends nothing for ``IDLE_MS`` is forgotten.
+A chunk without samples (null) is a control message: the session begins anew.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MAX_SECONDS, FLOOR_DB, MIN_SPEECH, MIN_SILENCE, FRAME = 30.0, -80.0, 0.2, 0.1, 0.02
+HISTORY_SECONDS, HISTORY, IDLE_MS, DEADLINE = 30.0, 2000, 3_600_000, 1.0
 EVENTS = "session string, t double, silence double, p_eot double, status string"
-STATE = "buffer binary, sr int, has_speech boolean, last_t double"
+STATE = "buffer binary, sr int, has_speech boolean, last_t double, history binary"
 
 
 def loud(x: np.ndarray, sr: int) -> np.ndarray:
@@ -56,17 +58,31 @@ class Policy:
 
 
 class Session:
-    def __init__(self, buffer: bytes = b"", sr: int = 16000, has_speech: bool = False, last_t: float = 0.0):
+    """history has rows (t, score, loudness of the chunk), of the last HISTORY_SECONDS and at most HISTORY."""
+
+    def __init__(self, buffer: bytes = b"", sr: int = 16000, has_speech: bool = False, last_t: float = 0.0, history: bytes = b""):
         self.buffer, self.sr, self.has_speech, self.last_t = np.frombuffer(buffer, np.float32), sr, has_speech, last_t
+        self.history = np.frombuffer(history, np.float64).reshape(-1, 3)
 
     def state(self) -> tuple:
-        return self.buffer.tobytes(), int(self.sr), bool(self.has_speech), float(self.last_t)
+        return self.buffer.tobytes(), int(self.sr), bool(self.has_speech), float(self.last_t), self.history.tobytes()
+
+    def remember(self, t: float, p: float, chunk: np.ndarray):
+        """Add to the history and evict what is too old, but never the newest row."""
+        rms = np.sqrt(np.mean(np.square(chunk.astype(np.float64)))) if chunk.size else 0.0
+        rows = np.concatenate([self.history, [[t, p, 20 * np.log10(rms + 2e-9) if chunk.size else -120.0]]])
+        self.history = rows[t - rows[:, 0] <= HISTORY_SECONDS][-HISTORY:]
 
     def step(self, t: float, sr: int, chunk, policy: Policy, predict=heuristic) -> tuple[float, float, str]:
         """Take a chunk; silence, score and status. An end of turn clears the buffer and the speech flag."""
         chunk = np.asarray(chunk, np.float32)
         if chunk.size and np.abs(chunk).max() > 4:
             chunk = chunk / np.float32(32768)
+        out = self._heard(t, sr, chunk, policy, predict)
+        self.remember(t, out[1], chunk)
+        return out
+
+    def _heard(self, t: float, sr: int, chunk: np.ndarray, policy: Policy, predict) -> tuple[float, float, str]:
         self.sr, self.last_t = sr, t
         self.buffer = np.concatenate([self.buffer, chunk])[-int(MAX_SECONDS * sr) :]
         flags = loud(self.buffer, sr)
@@ -81,19 +97,40 @@ class Session:
         return silence, p, status
 
 
-def detect(chunks: DataFrame, policy: Policy = Policy(), predict=heuristic) -> DataFrame:
-    """Events of a stream of chunks, one per chunk. Chunks that are older than the session's last one are stale and dropped."""
+def as_mono(samples) -> np.ndarray:
+    """Samples, or frames of one sample for each channel, as one channel; integers as shares of their type's largest value."""
+    x = np.asarray([np.asarray(v) for v in samples]) if len(samples) and np.ndim(samples[0]) else np.asarray(samples)
+    if x.ndim == 2:
+        x = x.mean(1)
+    elif np.issubdtype(x.dtype, np.integer) and x.size:
+        x = x / np.iinfo(x.dtype).max
+    return x.astype(np.float32)
+
+
+def detect(chunks: DataFrame, policy: Policy = Policy(), predict=heuristic, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Events of a stream of chunks, one per chunk; a reset gives none.
+
+    A chunk no newer than the session's last one is stale or a repeat (a source that sends again after a failure), and dropped.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = Session(*state.get) if state.exists else Session()
         out = []
         for r in pd.concat(list(batches)).sort_values("t").itertuples():
-            if r.t > s.last_t:
-                out.append((key[0], r.t, *s.step(r.t, r.sr, r.samples, policy, predict)))
+            if r.t <= s.last_t:
+                continue
+            if r.samples is None:
+                s = Session(last_t=r.t)
+            else:
+                out.append((key[0], r.t, *s.step(r.t, r.sr, as_mono(r.samples), policy, predict)))
         state.update(s.state())
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session", "t", "silence", "p_eot", "status"])
 
-    return chunks.groupBy("session").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return chunks.groupBy("session").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def replay(files: DataFrame, policy: Policy = Policy(), predict=heuristic, chunk_seconds: float = 0.3) -> DataFrame:
@@ -125,6 +162,8 @@ def subtitles(events: DataFrame) -> DataFrame:
     return ends.select("session", F.concat(F.lit("EOT #"), k.cast("string")).alias("text"), F.greatest(F.lit(0.0), F.col("t") - 0.1).alias("start"), (F.col("t") + 0.1).alias("end"))
 
 
-def latest(requests: DataFrame) -> DataFrame:
-    """Of each session's scoring requests, the newest wins."""
-    return requests.groupBy("session").agg(F.max("request_id").alias("request_id"), F.max_by("p_eot", "request_id").alias("p_eot"))
+def latest(requests: DataFrame, deadline: float = DEADLINE) -> DataFrame:
+    """Of each session's scoring requests, the newest wins. If the request tells its seconds, ``took``, an answer after the deadline is none: its p_eot is null."""
+    p = F.when(F.col("took") <= deadline, F.col("p_eot")) if "took" in requests.columns else F.col("p_eot")
+    newest = F.max_by(F.struct(p.alias("p")), "request_id")
+    return requests.groupBy("session").agg(F.max("request_id").alias("request_id"), newest["p"].alias("p_eot"))

@@ -66,3 +66,52 @@ def test_channel_repeats(spark):
     b = degrade.degraded(df.repartition(3), degrade.Channel(packet_loss=0.5)).orderBy("id").collect()
     assert a == b
     assert all(len(r.samples) == 4000 for r in a if r.id != 9) and any(r.trace.applied for r in a)
+
+
+def test_embedded_audio_is_decoded(spark):
+    """Rows whose bytes are no audio, or missing, are left out like those without words."""
+    kind = "n int, words array<struct<word:string,text:string,token:string,start:string,end:string>>, audio binary"
+    one = [("a", None, None, "0", "1")]
+    rows = spark.createDataFrame([(0, one, audio.encode_wav(np.array([0.5, -0.5]), 8000)), (1, one, b"junk"), (2, [], audio.encode_wav(np.zeros(3), 8000)), (3, one, None)], kind)
+    got = alignments.embedded(rows, "en", "n", mode="segment").collect()
+    assert [(r.source_id, r.sr, len(r.audio), r.mode) for r in got] == [("en_0", 8000, 2, "segment")]
+
+
+def test_scan_fails_where_nothing_matches(spark, tmp_path):
+    from cadenza.sources import adapters
+
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    assert adapters.scan(spark, str(tmp_path / "x"), "part-*.parquet").count() == 3
+    with pytest.raises(FileNotFoundError):
+        adapters.scan(spark, str(tmp_path / "x"), "none-*.parquet")
+
+
+def test_reports_and_bias_records(spark, tmp_path):
+    import json
+
+    rows = spark.createDataFrame([("a", "en", 1.0, 0.75, 2.5), ("b", "de", 0.0, 0.25, 1.0)], "id string, language string, label double, p_eot double, duration double")
+    sinks.write_bias_csv(rows, str(tmp_path / "csv"))
+    assert {tuple(r) for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()} == {("a", "1.0", "2.5", "0.75"), ("b", "0.0", "1.0", "0.25")}
+    metrics = spark.createDataFrame([("overall", 2, 0.5)], "grp string, n long, f1 double")
+    sinks.write_report(rows, metrics, {"turns": 2}, str(tmp_path / "report"))
+    told = json.loads((tmp_path / "report" / "report.json").read_text())
+    assert told["args"]["turns"] == 2 and told["metrics"] == [{"f1": 0.5, "grp": "overall", "n": 2}]
+    assert spark.read.json(told["args"]["predictions"]).count() == 2
+
+
+def test_predictor_loads_once_and_scores_batches(spark):
+    from cadenza.functions import scores
+
+    def make():
+        return lambda audio, rate: [float(sum(x)) / r for x, r in zip(audio, rate, strict=True)]
+
+    df = spark.createDataFrame([([1.0, 2.0], 2), ([4.0], 8)], "x array<double>, sr int")
+    assert [r.p for r in df.select(scores.predictor(make)("x", "sr").alias("p")).collect()] == [1.5, 0.5]
+
+
+def test_mono_and_pcm(spark):
+    from cadenza.functions import waves
+
+    df = spark.createDataFrame([([[1.0, 3.0], [-2.0, 0.0]],)], "x array<array<double>>")
+    assert df.select(waves.mono(F.col("x")).alias("m")).first().m == [2.0, -1.0]
+    assert np.frombuffer(audio.to_pcm16([0.0, 1.5, -1.5, 0.5]), "<i2").tolist() == [0, 32767, -32767, 16383]

@@ -47,3 +47,43 @@ def test_clicks_do_not_start_a_turn():
 def test_latest_request_wins(spark):
     df = spark.createDataFrame(pd.DataFrame({"session": ["a", "a", "b"], "request_id": [1, 2, 1], "p_eot": [0.1, 0.9, 0.5]}))
     assert {tuple(r) for r in D.latest(df).select("session", F.col("p_eot")).collect()} == {("a", 0.9), ("b", 0.5)}
+
+
+def test_history_is_evicted():
+    """Thirty seconds and two thousand points, and the newest always."""
+    s = D.Session()
+    for k in range(100):
+        s.step(k * 0.5, SR, np.zeros(10, np.float32), D.Policy())
+    assert s.history[:, 0].tolist() == [k * 0.5 for k in range(39, 100)]
+    s.step(500.0, SR, [], D.Policy())
+    assert s.history.tolist() == [[500.0, 0.0, -120.0]]
+    for k in range(2100):
+        s.remember(501 + k * 0.001, 0.5, np.zeros(0, np.float32))
+    assert len(s.history) == D.HISTORY and s.history[-1, 0] == 501 + 2.099
+    again = D.Session(*s.state())
+    assert (again.history == s.history).all() and again.last_t == s.last_t
+
+
+def test_reset_and_stale_chunks(spark, tmp_path):
+    """A null chunk begins the session anew; older and repeated chunks are dropped."""
+    loud, quiet = speech(0.6).tolist(), [0.0] * 300
+    rows = [("a", 0.6, loud), ("a", 0.9, quiet), ("a", 0.9, loud), ("a", 0.5, loud), ("a", 1.0, None), ("a", 1.3, quiet), ("b", 0.6, loud), ("b", 0.9, quiet)]
+    df = spark.createDataFrame([(s, t, SR, x) for s, t, x in rows], "session string, t double, sr int, samples array<float>")
+    df.repartition(1).write.parquet(str(tmp_path / "in"))
+    out = D.detect(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
+    q = out.writeStream.format("memory").queryName("resets").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.session, r.t): r.status for r in spark.table("resets").collect()}
+    assert got.pop(("a", 0.9)) in ("holding", "end_of_turn", "listening")
+    assert set(got) == {("a", 0.6), ("a", 1.3), ("b", 0.6), ("b", 0.9)} and got["a", 1.3] == "listening" and got["b", 0.9] == "end_of_turn"
+
+
+def test_chunks_of_several_channels():
+    assert D.as_mono([[0.5, -0.5], [1.0, 0.0]]).tolist() == [0.0, 0.5]
+    assert D.as_mono(np.array([32767, 0], np.int16)).tolist() == [1.0, 0.0]
+    assert D.as_mono([]).size == 0
+
+
+def test_late_answers_are_none(spark):
+    df = spark.createDataFrame([("a", 1, 0.1, 0.5), ("a", 2, 0.9, 1.5), ("b", 1, 0.5, 1.0)], "session string, request_id int, p_eot double, took double")
+    assert {tuple(r) for r in D.latest(df).collect()} == {("a", 2, None), ("b", 1, 0.5)}

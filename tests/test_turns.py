@@ -96,3 +96,61 @@ def test_whisper_parse_of_literal_stamps(spark, tmp_path):
     for r in turns.QUERIES["whisper_parse"](spark, str(tmp_path)).orderBy("rec", "i").collect():
         got.setdefault(r.rec, []).append(r.word)
     assert got == {k: t.split() for k, t in enumerate(texts)}
+
+
+def test_clip_against_plain_python(spark):
+    """Rows with audio, recording by recording: window, padding, trim, gate and spans restated on lists."""
+    import numpy as np
+
+    from cadenza.operators import rows as R
+
+    sr, rng = 1000, np.random.default_rng(4)
+    cases = []
+    for k in range(12):
+        ends = rng.integers(300, 900)
+        x = rng.standard_normal(int(rng.integers(500, 1500))) * 0.3
+        x[ends:] *= (0.0, 1e-4, 1.0)[k % 3]
+        word_end, window_end = int(ends - 20 * (k % 2)), int(ends + rng.integers(100, 600))
+        cases.append((k, x.tolist(), [("a", 60, 200), ("b", 260, word_end)], [(200, 260), (word_end, window_end)], int(rng.integers(0, 60)), window_end))
+    kind = "rec int, audio array<double>, words array<struct<word:string,start:long,end:long>>, spans array<struct<start:long,end:long>>, window_start long, window_end long"
+    got = {r.rec: r for r in R.with_audio(spark.createDataFrame(cases, kind), sr, 1000).collect()}
+    kept = 0
+    for rec, x, words, spans, a, b in cases:
+        clip = np.array((x[a:b] + [0.0] * (b - a))[: b - a], np.float32)
+        frames = [np.sqrt(np.mean(np.square(clip[i : i + 20].astype(float)))) for i in range(0, len(clip) - 19, 10)]
+        bound = max(1e-3, 0.1 * np.percentile(frames, 95))
+        speech = max((10 * i + 20 for i, v in enumerate(frames) if v > bound), default=0)
+        clip = clip[: max(min(len(clip), speech + 150), min(len(clip), words[-1][2] - a))].astype(float)
+        rms = lambda v: np.sqrt(np.mean(np.square(v)))
+        duration = len(clip) / sr
+        left = [(s, min(e, a + len(clip))) for s, e in spans]
+        left = [((s - a) / 1000, (e - a) / 1000) for s, e in left if e > s]
+        loud = rms(clip) > 1e-3 and rms(clip[-50:]) > max(0.04, 0.4 * rms(clip))
+        if loud or not left or duration - left[-1][0] < 0.08:
+            assert rec not in got
+            continue
+        kept += 1
+        r = got[rec]
+        assert len(r.audio) == len(clip) and r.duration == duration and [tuple(s) for s in r.spans] == [*left[:-1], (left[-1][0], duration)]
+        assert [w.start for w in r.words] == [(w[1] - a) / 1000 for w in words] and r.messages[0].content == "a b"
+    assert 0 < kept < len(cases)
+
+
+def test_vad_end_is_linear(spark):
+    """Ten times the samples take at most about ten times as long."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from cadenza.functions import waves as W
+
+    def seconds(n):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sin(i * 0.1)).alias("x"))
+        W_end = df.select(W.vad_end(F.col("x"), 320, 160).alias("e"))
+        began = time.time()
+        assert W_end.first().e == (n - 320) // 160 * 160 + 320
+        return time.time() - began
+
+    seconds(16_000)
+    one, ten = min(seconds(16_000) for _ in range(2)), min(seconds(160_000) for _ in range(2))
+    assert ten < 12 * one + 3
