@@ -29,7 +29,7 @@ FOUND = "_id long, _th long, spots binary, more binary"
 ARROW_FOUND = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("spots", pa.binary()), ("more", pa.binary())])
 HEADER, ITEMS, ANSWER = 0, 1, 2
 NULL_ID = -(1 << 63)
-BYTES_A_BUCKET = 8 << 20
+BYTES_A_BUCKET = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -203,7 +203,7 @@ def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
     members = X.written(members.join(sizes, "component").withColumn("block", block), "members")
-    texts = texts.select("_id", "_th", "text")
+    texts = texts.select("_id", "_th", "text").hint("merge")  # the same plan at every size
     # a group's pivots are the least nodes of its first blocks, a bounded list for each
     pivots = members.where((F.col("blocks") > 1) & (F.col("block") < PIVOTS)).groupBy("component", "block").agg(F.min("node").alias("node"))
     pivots = pivots.groupBy("component").agg(F.collect_list("node").alias("pivots"))
@@ -216,7 +216,7 @@ def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     if large.isEmpty():
         return links
     # what the blocks did not join: sets outside the largest component of their group against all of it
-    label = components(links)
+    label = X.written(components(links), "labels")
     large = large.join(label.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
     most = large.groupBy("component", "label").agg(F.count("*").alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
     large = X.written(large.join(most, "component").withColumn("outside", F.col("label") != F.col("most")), "outside")
@@ -228,27 +228,30 @@ def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     two = F.when(F.col("outside"), F.transform(every, lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("left")))).otherwise(F.filter(one, lambda x: x["left"]))
     rows = large.select("_id", "_th", "component", "node", "label", F.explode(F.concat(one, two)).alias("t"))
     rows = texts.join(rows, ["_id", "_th"]).select("component", "t.i", "t.j", "node", "text", "label", "t.left")
-    return links.unionByName(compared(rows, size, percent))
+    known = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return known.unionByName(compared(rows, size, percent))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for linked nodes, the component named by its least node: alternating large and small stars.
 
-    Every round joins with each node's least neighbour. Those are written first, so that both sides of the join are
-    shuffles of their own and a node with very many links is split like any skewed join.
+    A round is a join of the edges with each node's least neighbour, from the edges that the round before wrote.
     """
+    told = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = X.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    while True:
+    last = told(edges)
+    while last[0]:
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        least = X.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-        large = X.written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
-        down = X.written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        after = X.written(small.where("u <> v").distinct(), "links")
-        a, b = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, after))
-        edges = after
-        if a == b:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct().toDF("node", "component"))
+        edges = X.written(small.where("u <> v").distinct(), "links")
+        now = told(edges)
+        if now == last:
+            break
+        last = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct().toDF("node", "component"))
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
