@@ -2,7 +2,7 @@
 
 Chunks have ``session, t, sr, samples``: t is the chunk's end in the session's own time, which
 is all the time there is. A session's state is its last ``MAX_SECONDS`` of audio, two flags and the histories of
-scores and loudness, so it stays bounded however long the session runs; a session that sends nothing for ``IDLE_MS`` is forgotten.
+scores and loudness, so it stays bounded however long the session runs; where chunks tell when they were sent, a session that sends nothing for ``IDLE_MS`` is forgotten.
 A chunk without samples (null) is a control message: the session begins anew.
 """
 
@@ -107,11 +107,14 @@ def as_mono(samples) -> np.ndarray:
     return x.astype(np.float32)
 
 
-def detect(chunks: DataFrame, policy: Policy = Policy(), predict=heuristic, idle_ms: int = IDLE_MS) -> DataFrame:
+def detect(chunks: DataFrame, policy: Policy = Policy(), predict=heuristic, at: str | None = None, idle_ms: int = IDLE_MS, late: str = "1 minute") -> DataFrame:
     """Events of a stream of chunks, one per chunk; a reset gives none.
 
     A chunk no newer than the session's last one is stale or a repeat (a source that sends again after a failure), and dropped.
+    at names a column with the time of sending: the watermark on it, which waits for chunks that are late, ends sessions that have been idle.
     """
+    if at is not None:
+        chunks = chunks.withWatermark(at, late)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -119,7 +122,8 @@ def detect(chunks: DataFrame, policy: Policy = Policy(), predict=heuristic, idle
             return
         s = Session(*state.get) if state.exists else Session()
         out = []
-        for r in pd.concat(list(batches)).sort_values("t").itertuples():
+        rows = pd.concat(list(batches)).sort_values("t", kind="stable")
+        for r in rows.itertuples():
             if r.t <= s.last_t:
                 continue
             if r.samples is None:
@@ -127,10 +131,12 @@ def detect(chunks: DataFrame, policy: Policy = Policy(), predict=heuristic, idle
             else:
                 out.append((key[0], r.t, *s.step(r.t, r.sr, as_mono(r.samples), policy, predict)))
         state.update(s.state())
-        state.setTimeoutDuration(idle_ms)
+        if at is not None:
+            newest = int(rows[at].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["session", "t", "silence", "p_eot", "status"])
 
-    return chunks.groupBy("session").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("session").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout if at is None else GroupStateTimeout.EventTimeTimeout)
 
 
 def replay(files: DataFrame, policy: Policy = Policy(), predict=heuristic, chunk_seconds: float = 0.3) -> DataFrame:

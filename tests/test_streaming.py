@@ -23,7 +23,7 @@ def test_replay_and_stream_agree(spark, tmp_path):
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     out = D.detect(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     q = out.writeStream.format("memory").queryName("events").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(100)
     live = [tuple(r) for r in spark.table("events").orderBy("t").collect()]
     whole = D.replay(spark.createDataFrame([("a", SR, x.tolist())], "session string, sr int, samples array<float>")).orderBy("t").collect()
     assert live == [tuple(r) for r in whole if not r.status.endswith("(end of recording)")]
@@ -65,17 +65,17 @@ def test_history_is_evicted():
 
 
 def test_reset_and_stale_chunks(spark, tmp_path):
-    """A null chunk begins the session anew; older and repeated chunks are dropped."""
+    """A null chunk begins the session anew; chunks of one batch come in order of time, and repeated ones are dropped."""
     loud, quiet = speech(0.6).tolist(), [0.0] * 300
     rows = [("a", 0.6, loud), ("a", 0.9, quiet), ("a", 0.9, loud), ("a", 0.5, loud), ("a", 1.0, None), ("a", 1.3, quiet), ("b", 0.6, loud), ("b", 0.9, quiet)]
     df = spark.createDataFrame([(s, t, SR, x) for s, t, x in rows], "session string, t double, sr int, samples array<float>")
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     out = D.detect(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     q = out.writeStream.format("memory").queryName("resets").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(100)
     got = {(r.session, r.t): r.status for r in spark.table("resets").collect()}
     assert got.pop(("a", 0.9)) in ("holding", "end_of_turn", "listening")
-    assert set(got) == {("a", 0.6), ("a", 1.3), ("b", 0.6), ("b", 0.9)} and got["a", 1.3] == "listening" and got["b", 0.9] == "end_of_turn"
+    assert set(got) == {("a", 0.5), ("a", 0.6), ("a", 1.3), ("b", 0.6), ("b", 0.9)} and got["a", 1.3] == "listening" and got["b", 0.9] == "holding"
 
 
 def test_chunks_of_several_channels():
@@ -87,3 +87,21 @@ def test_chunks_of_several_channels():
 def test_late_answers_are_none(spark):
     df = spark.createDataFrame([("a", 1, 0.1, 0.5), ("a", 2, 0.9, 1.5), ("b", 1, 0.5, 1.0)], "session string, request_id int, p_eot double, took double")
     assert {tuple(r) for r in D.latest(df).collect()} == {("a", 2, None), ("b", 1, 0.5)}
+
+
+def test_idle_sessions_are_forgotten(spark, tmp_path):
+    """By the watermark of the times of sending; what a session sends after that is a new session's."""
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    batches = [[("a", 1.0, 0), ("b", 1.0, 0)], [("b", 2.0, 90)], [("b", 3.0, 91)], [("a", 0.5, 92), ("b", 2.5, 92)]]
+    kind = "session string, t double, sr int, samples array<float>, at timestamp"
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(s, t, SR, [0.0] * 20, start + datetime.timedelta(minutes=m)) for s, t, m in rows], kind)
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = D.detect(source, at="at", idle_ms=600_000)
+    q = out.writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(100)
+    got = sorted((r.session, r.t) for r in spark.table("idle").collect())
+    assert got == [("a", 0.5), ("a", 1.0), ("b", 1.0), ("b", 2.0), ("b", 3.0)]
