@@ -20,6 +20,7 @@ from cadenza.llm.kernels import slices
 
 WIDTH, HEIGHT, DELAY_CS = 64, 256, 4
 BINS = 8
+MOST = 1 << 25  # pixels of an image or a canvas that a task draws
 _GREY = bytes(v for k in range(256) for v in (k, k, k))
 
 
@@ -196,7 +197,7 @@ def parse(media: bytes) -> tuple[int, int, list[Frame]]:
                 own, at = palette(bits, at)
             depth = media[at] if at < len(media) else 8
             stream, at = sub_blocks(at + 1)
-            if not 2 <= depth <= 8:
+            if not 2 <= depth <= 8 or w * h > MOST:
                 break
             samples = lzw_decode(stream, depth, w * h)
             pixels = np.zeros(w * h, np.uint8)
@@ -215,7 +216,14 @@ def parse(media: bytes) -> tuple[int, int, list[Frame]]:
 
 
 def draw(width: int, height: int, frames: list[Frame]):
-    """Frames one after another, each with its RGBA canvas: transparency on drawing, disposal after it."""
+    """Frames one after another, each with its RGBA canvas: transparency on drawing, disposal after it.
+
+    The canvas ends where no frame reaches further, whatever the screen's size is said to be; beyond MOST pixels nothing is drawn.
+    """
+    height = min(height, max((f.top + f.indices.shape[0] for f in frames), default=0))
+    width = min(width, max((f.left + f.indices.shape[1] for f in frames), default=0))
+    if width * height > MOST:
+        return
     canvas = np.zeros((height, width, 4), np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -244,7 +252,7 @@ def histogram(rgba: np.ndarray) -> np.ndarray:
 def frames(media: DataFrame, key: str, column: str = "media") -> DataFrame:
     """One row per frame: key, frame, start_ms, delay_ms, disposal, width, height, histogram (3 * BINS counts of the drawn canvas).
 
-    Null, empty and broken media give the frames before the break, or no row.
+    Null, empty and broken media give the frames before the break, or no row. An image of more than MOST pixels counts as a break.
     """
 
     def run(batches):

@@ -240,3 +240,16 @@ def test_slots_of_an_aligned_page():
             tree = H.align(tree, H.fold(t))
         wrapper = H.Wrapper(tree)
         assert all(slot >= 0 and wrapper.kind[slot] == "#" for t in trees for slot, _, _ in wrapper.slots(t))
+
+
+def test_screens_and_images_of_hostile_size(spark):
+    """A screen of 65535 by 65535 with a small image gives its frame; an image of that size ends the frames."""
+    import struct
+
+    def gif(left, top, w, h):
+        head = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x80, 0, 0) + bytes(6)
+        return head + b"," + struct.pack("<HHHHB", left, top, w, h, 0) + b"\x02\x02\x4c\x01\x00;"
+
+    media = spark.createDataFrame([(1, bytearray(gif(0, 0, 2, 2))), (2, bytearray(gif(0, 0, 65535, 65535))), (3, bytearray(gif(65533, 65533, 2, 2)))], "doc_id long, media binary")
+    got = {r.doc_id: sum(r.histogram[:8]) for r in G.frames(media, "doc_id").collect()}
+    assert got == {1: 4}
