@@ -209,7 +209,9 @@ def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     pivots = pivots.groupBy("component").agg(F.collect_list("node").alias("pivots"))
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     to = members.join(pivots, "component", "left").withColumn("to", F.when(F.array_contains("pivots", F.col("node")), every).otherwise(F.array("block")))
-    within = texts.join(to.select("_id", "_th", "component", "node", F.explode("to").alias("i")), ["_id", "_th"])
+    held = texts.join(to.select("_id", "_th", "component", "node", "blocks", "to"), ["_id", "_th"])
+    held = X.written(held.select("component", "node", "blocks", "to", "text"), "texts")  # texts that are compared, shuffled once
+    within = held.select("component", F.explode("to").alias("i"), "node", "text")
     alone = within.select("component", "i", F.lit(0).cast("long").alias("j"), "node", "text", F.col("node").alias("label"), F.lit(True).alias("left"))
     links = X.written(compared(alone, size, percent), "links")
     large = members.where("blocks > 1")
@@ -226,8 +228,8 @@ def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     one = F.transform(parts, lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
     two = F.when(F.col("outside"), F.transform(every, lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(True).alias("left")))).otherwise(F.filter(one, lambda x: x["left"]))
-    rows = large.select("_id", "_th", "component", "node", "label", F.explode(F.concat(one, two)).alias("t"))
-    rows = texts.join(rows, ["_id", "_th"]).select("component", "t.i", "t.j", "node", "text", "label", "t.left")
+    rows = large.select("component", "node", "label", F.explode(F.concat(one, two)).alias("t"))
+    rows = held.where("blocks > 1").select("node", "text").join(rows, "node").select("component", "t.i", "t.j", "node", "text", "label", "t.left")
     known = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     return known.unionByName(compared(rows, size, percent))
 
@@ -235,22 +237,21 @@ def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for linked nodes, the component named by its least node: alternating large and small stars.
 
-    A round is a join of the edges with each node's least neighbour, from the edges that the round before wrote.
+    A round joins the edges with each node's least neighbour. Rounds end when no edge leads on from another's end: then all are stars.
     """
-    told = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = X.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    last = told(edges)
-    while last[0]:
+    while True:
+        # two edges from one end, or one that begins where another ends
+        twice = edges.groupBy("u").agg(F.count("*").alias("n")).select("u", (F.col("n") > 1).alias("twice"))
+        ends = edges.select(F.col("v").alias("u")).distinct().withColumn("ends", F.lit(True))
+        if twice.join(ends, "u", "left").where("twice OR ends").isEmpty():
+            break
         both = edges.union(edges.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         edges = X.written(small.where("u <> v").distinct(), "links")
-        now = told(edges)
-        if now == last:
-            break
-        last = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct().toDF("node", "component"))
 
 
