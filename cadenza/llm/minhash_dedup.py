@@ -33,7 +33,7 @@ from cadenza.llm import exchange as X
 from cadenza.llm.kernels import sequences, slices, text_bytes, word_hashes, words
 
 BANDS, ROWS, BASE = 38, 6, 1.01
-BLOCK_SETS, BLOCK_SHINGLES, PIVOTS = 256, 2_000_000, 16
+BLOCK_SETS, BLOCK_SHINGLES, PIVOTS = 4096, 4_000_000, 16
 _rng = np.random.Generator(np.random.PCG64(8))
 _A = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
