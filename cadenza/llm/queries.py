@@ -7,6 +7,7 @@ from cadenza.llm.gif_media import op3_gif_media
 from cadenza.llm.html_wrappers import op4_html_extraction
 from cadenza.llm.language_id import op7_language_id
 from cadenza.llm.minhash_dedup import op8_minhash_dedup
+from cadenza.llm.pii import OP11_SQL, op11_pii
 from cadenza.llm.quality import op10_quality_classifier
 from cadenza.llm.sentencepiece_codec import op6_sentencepiece
 from cadenza.llm.substring_dedup import OP1_SQL, op1_substring_dedup
@@ -26,8 +27,9 @@ def queries() -> dict:
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_warc_revisits": op9_warc_revisits,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_pii": op11_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_warc_revisits": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_warc_revisits": OP9_SQL, "op11_pii": OP11_SQL}
