@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cadenza.llm.decontaminate import OP5_SQL, op5_decontamination
 from cadenza.llm.gif_media import op3_gif_media
+from cadenza.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from cadenza.llm.html_wrappers import op4_html_extraction
 from cadenza.llm.language_id import op7_language_id
 from cadenza.llm.minhash_dedup import op8_minhash_dedup
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_warc_revisits": op9_warc_revisits,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_pii": op11_pii,
+        "op12_hard_negatives": op12_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_warc_revisits": OP9_SQL, "op11_pii": OP11_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_warc_revisits": OP9_SQL, "op11_pii": OP11_SQL, "op12_hard_negatives": OP12_SQL}
