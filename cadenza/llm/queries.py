@@ -10,6 +10,7 @@ from cadenza.llm.language_id import op7_language_id
 from cadenza.llm.minhash_dedup import op8_minhash_dedup
 from cadenza.llm.pii import OP11_SQL, op11_pii
 from cadenza.llm.quality import op10_quality_classifier
+from cadenza.llm.ranked_search import OP13_SQL, op13_ranked_search
 from cadenza.llm.sentencepiece_codec import op6_sentencepiece
 from cadenza.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from cadenza.llm.suffix_dedup import op2_suffix_dedup
@@ -30,8 +31,9 @@ def queries() -> dict:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_pii": op11_pii,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_ranked_search": op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_warc_revisits": OP9_SQL, "op11_pii": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op9_warc_revisits": OP9_SQL, "op11_pii": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_ranked_search": OP13_SQL}
