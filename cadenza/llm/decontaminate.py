@@ -26,7 +26,7 @@ def item_sets(texts: list[str | None], size: int):
     """(row, shingle length, sorted distinct hashes) of each text that has words."""
     data, offsets = text_bytes(pa.array(texts, pa.string()))
     starts, ends, first = words(data, offsets)
-    made = [x for x, _ in sequences(word_hashes(data, starts, ends, lower=True), *range(1, size + 1))]
+    made = sequences(word_hashes(data, starts, ends, lower=True), *range(1, size + 1))
     for row, (s, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if e > s:
             k = min(size, e - s)
@@ -71,7 +71,7 @@ class Index:
         """(row, item row, item's shingles, shared ones) of a slice of documents: found by hashes, then verified on the shingles themselves."""
         data, offsets = text_bytes(column)
         starts, ends, first = words(data, offsets)
-        made = dict(zip(self.lengths, (x for x, _ in sequences(word_hashes(data, starts, ends, lower=True), *self.lengths)), strict=True)) if self.lengths else {}
+        made = dict(zip(self.lengths, sequences(word_hashes(data, starts, ends, lower=True), *self.lengths), strict=True)) if self.lengths else {}
         found: set[tuple[int, int]] = set()
         for k, prints, rows, seen in self.parts:
             at = np.flatnonzero(seen[made[k] >> np.uint64(44)])
@@ -157,7 +157,7 @@ def _joined(docs: DataFrame, texts: DataFrame, size: int, percent: int, columns:
             for part in slices(batch):
                 data, offsets = text_bytes(part.column("text"))
                 starts, ends, first = words(data, offsets)
-                for k, (made, _) in zip(lengths, sequences(word_hashes(data, starts, ends, lower=True), *lengths), strict=True):
+                for k, made in zip(lengths, sequences(word_hashes(data, starts, ends, lower=True), *lengths), strict=True):
                     spot = made >> np.uint64(64 - FILTER_BITS)
                     at = np.flatnonzero(seen.value[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1))
                     doc = np.searchsorted(first, at, "right") - 1

@@ -226,13 +226,10 @@ class Answers:
 
 
 def collected(exchange: DataFrame, conclude: Callable[[Answers], Iterator[dict]]) -> DataFrame:
-    """Bring each chunk's answers to its header; conclude yields rows of FOUND."""
+    """Bring each chunk's answers to its header, also where it got none; conclude yields rows of FOUND."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        if len(rows) == 1:
-            return pa.Table.from_pylist([], schema=ARROW_FOUND)
-        return pa.Table.from_pylist(list(conclude(Answers(rows))), schema=ARROW_FOUND)
+        return pa.Table.from_pylist(list(conclude(Answers(table.to_pylist()))), schema=ARROW_FOUND)
 
     return exchange.groupBy("chunk").applyInArrow(run, FOUND)
 

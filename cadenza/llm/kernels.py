@@ -7,6 +7,7 @@ MB at a time, so a task's memory does not depend on the size of its partition.
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -21,47 +22,57 @@ PIECE = 1 << 16
 LANES = 8  # words of more than 8 * LANES bytes are hashed by blake2b
 
 
-def mix(h: np.ndarray) -> np.ndarray:
+def secret() -> bytes:
+    """A key for one run: drawn on the driver, so that no text can be made to collide, and sent with the tasks, so that one that runs again does the same."""
+    return secrets.token_bytes(16)
+
+
+def chains(key: bytes) -> list[np.ndarray]:
+    """Two hash functions of a key, independent of each other: odd factors for mix and fuse, and a start."""
+    return [np.frombuffer(hashlib.blake2b(key, digest_size=48, salt=bytes([side])).digest(), np.uint64) | np.uint64(1) for side in range(2)]
+
+
+def mix(h: np.ndarray, chain: np.ndarray | None = None) -> np.ndarray:
     """A bijective 64-bit finaliser."""
+    one, two = (np.uint64(0xD6E8FEB86659FD93),) * 2 if chain is None else chain[:2]
     h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    h *= one
     h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
+    h *= two
     h ^= h >> np.uint64(32)
     return h
 
 
-def fuse(a: np.ndarray, b: np.ndarray, side: int = 0) -> np.ndarray:
-    """One value of two in order. Shifts between the products leave no algebra in which unlike runs could cancel; side 1 is another such function."""
-    h = a * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[side])
+def fuse(a: np.ndarray, b: np.ndarray, chain: np.ndarray | None = None) -> np.ndarray:
+    """One value of two in order. Shifts between the products leave no algebra in which unlike runs could cancel."""
+    one, two = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)) if chain is None else chain[2:4]
+    h = a * one
     h ^= h >> np.uint64(32)
     h += b
-    h *= np.uint64((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)[side])
+    h *= two
     h ^= h >> np.uint64(29)
     return h
 
 
-def sequences(values: np.ndarray, *sizes: int, step: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
-    """128 bits, as two arrays, for each run of values that start ``step`` after each other, for each number of values in a run.
+def sequences(values: np.ndarray, *sizes: int, step: int = 1, chain: np.ndarray | None = None) -> list[np.ndarray]:
+    """64 bits for each run of values that start ``step`` after each other, for each number of values in a run.
 
     Runs of 2, 4, 8 values are made of two halves each, and a run of any size of those, in about 2 * log2(size)
-    passes. A size that is a power of two has 64 bits only.
+    passes. Two chains, each over values of its own, give 128 bits.
     """
-    level, width, out = values, 1, []
-    made: list = [None] * len(sizes)  # what each size has of its own so far: two arrays, and how many values they stand for
+    level, width = values, 1
+    made: list = [None] * len(sizes)  # what each size has of its own so far, and how many values it stands for
     while True:
         for k, size in enumerate(sizes):
             n = len(values) - (size - 1) * step
             if size & width and n > 0:
-                one, two, done = made[k] or (None, None, 0)
+                own, done = made[k] or (None, 0)
                 part = level[done * step : done * step + n]
-                made[k] = (part, part, width) if one is None else (fuse(one, part), fuse(one, part, 1), done + width)
+                made[k] = (part, width) if own is None else (fuse(own, part, chain), done + width)
         if width * 2 > max(sizes) or len(level) <= width * step:
             break
-        level, width = fuse(level[: -width * step], level[width * step :]), width * 2
-    for one in made:
-        out.append((mix(one[0]), mix(one[1] ^ np.uint64(0x8000000000000001))) if one else (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
-    return out
+        level, width = fuse(level[: -width * step], level[width * step :], chain), width * 2
+    return [mix(own[0], chain) if own else np.zeros(0, np.uint64) for own in made]
 
 
 def lanes(data: np.ndarray) -> np.ndarray:
@@ -69,16 +80,17 @@ def lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).data, strides=(1,))
 
 
-def byte_windows(data: np.ndarray, *sizes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """128 bits for each window of bytes, for each size; a piece that the processor's cache holds at a time."""
+def byte_windows(data: np.ndarray, *sizes: int, chain: np.ndarray | None = None) -> list[np.ndarray]:
+    """64 bits for each window of bytes, for each size; a piece that the processor's cache holds at a time."""
     step = 8 if all(size % 8 == 0 for size in sizes) else 1  # eights that lie next to each other, or single bytes
     parts: list[list] = [[] for _ in sizes]
+    start = np.uint64(0) if chain is None else chain[4]
     for begin in range(0, max(1, len(data)), PIECE):
         piece = data[begin : begin + PIECE + max(sizes) - 1]
-        values = mix(lanes(piece)[: max(0, len(piece) - 7)].astype(np.uint64)) if step == 8 else mix(piece.astype(np.uint64) + np.uint64(1))
-        for own, (one, two) in zip(parts, sequences(values, *(size // step for size in sizes), step=step), strict=True):
-            own.append((one[:PIECE], two[:PIECE]))
-    return [(np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])) for own in parts]
+        values = lanes(piece)[: max(0, len(piece) - 7)].astype(np.uint64) if step == 8 else piece.astype(np.uint64) + np.uint64(1)
+        for own, made in zip(parts, sequences(mix(values ^ start, chain), *(size // step for size in sizes), step=step, chain=chain), strict=True):
+            own.append(made[:PIECE])
+    return [np.concatenate(own) for own in parts]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
@@ -124,22 +136,23 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, chain: np.ndarray | None = None) -> np.ndarray:
     """64 bits for each word, eight bytes a step; a long word's are a part of its blake2b."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
     source = _LOWER[data] if lower else data
     lane, length = lanes(source), ends - starts
-    h = mix(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    h = mix(length.astype(np.uint64) + (np.uint64(0x9E3779B97F4A7C15) if chain is None else chain[4]), chain)
     live = np.flatnonzero(length <= 8 * LANES)
     for k in range(LANES):
         left = length[live] - 8 * k
-        h[live] = mix(h[live] ^ (lane[starts[live] + 8 * k] & _KEEP[np.minimum(left, 8)]))
+        h[live] = mix(h[live] ^ (lane[starts[live] + 8 * k] & _KEEP[np.minimum(left, 8)]), chain)
         live = live[left > 8]
         if not len(live):
             break
+    key = b"" if chain is None else chain[5:].tobytes()
     for k in np.flatnonzero(length > 8 * LANES).tolist():
-        h[k] = int.from_bytes(hashlib.blake2b(source[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        h[k] = int.from_bytes(hashlib.blake2b(source[starts[k] : ends[k]].tobytes(), digest_size=8, key=key).digest(), "little")
     return h
 
 

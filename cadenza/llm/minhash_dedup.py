@@ -17,7 +17,8 @@ blocks, meet all blocks. A group of near copies costs what its size is; only a g
 unlike components costs more.
 
 A pair at the threshold shares no band with probability (1 - 0.8**6)**38 < 1e-5; a chance pair of similarity 0.3 shares one with 0.03.
-Sets are named by 128 bits of their shingles' hashes. Shingles within a pair of sets are compared by 64 bits.
+Sets are named by a digest of their shingles' hashes, 128 bits each; shingles within a pair of sets are compared by 64. The hashes have a key that is drawn
+for each run, so that no text can be written to collide.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm import exchange as X
-from cadenza.llm.kernels import sequences, slices, text_bytes, word_hashes, words
+from cadenza.llm.kernels import chains, secret, sequences, slices, text_bytes, word_hashes, words
 
 BANDS, ROWS, BASE = 38, 6, 1.01
 BLOCK_SETS, BLOCK_SHINGLES, PIVOTS = 4096, 4_000_000, 16
@@ -43,24 +44,26 @@ PAIRS = "a binary, b binary"
 ARROW_PAIRS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
-def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each row, end to end, and where each row begins.
+def shingle_sets(column: pa.Array, size: int, key: bytes, names: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """Sorted distinct shingle hashes of each row, end to end, where each row begins, and, if asked for, each row's name.
 
-    A row with fewer words than ``size`` has its whole sequence as one shingle; one without words has none.
+    A row with fewer words than ``size`` has its whole sequence as one shingle; one without words has none and no name.
     """
     data, offsets = text_bytes(column)
     starts, ends, first = words(data, offsets)
-    hashes = word_hashes(data, starts, ends, lower=True)
-    runs = [x for x, _ in sequences(hashes, *range(1, size + 1))]
-    sets = []
+    both = [sequences(word_hashes(data, starts, ends, lower=True, chain=chain), *range(1, size + 1), chain=chain) for chain in chains(key)[: 1 + names]]
+    sets, named = [], []
     for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if e - s <= size:
-            sets.append(runs[e - s - 1][s : s + (e > s)])
-        else:
-            own = np.sort(runs[size - 1][s : e - size + 1])
-            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        n = min(e - s, size)
+        own = [runs[n - 1][s : max(s, e - n + 1)] if n else runs[0][:0] for runs in both]
+        order = np.argsort(own[0], kind="stable")
+        own = [x[order] for x in own]
+        new = np.concatenate([[True], own[0][1:] != own[0][:-1]])[: len(order)]
+        sets.append(own[0][new])
+        if names:
+            named.append(hashlib.blake2b(b"".join(x[new].tobytes() for x in own), digest_size=16).digest() if n else None)
     begin = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
-    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), begin
+    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), begin, named
 
 
 def registers(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -95,19 +98,18 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
     return np.minimum(root, np.minimum(u / v, v / u))
 
 
-def sketches(documents: DataFrame, size: int) -> DataFrame:
+def sketches(documents: DataFrame, size: int, key: bytes) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                values, begin = shingle_sets(part.column("text"), size)
+                values, begin, nodes = shingle_sets(part.column("text"), size, key, names=True)
                 n = np.diff(begin)
                 some = np.flatnonzero(n)
-                blobs, nodes = [None] * len(n), [None] * len(n)
+                blobs = [None] * len(n)
                 if len(some):
                     rows = registers(values, np.append(begin[some], begin[-1]))
                     for i, k in enumerate(some.tolist()):
                         blobs[k] = rows[i].tobytes()
-                        nodes[k] = hashlib.blake2b(values[begin[k] : begin[k + 1]].tobytes(), digest_size=16).digest()
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_th"), pa.array(n), pa.array(nodes, pa.binary()), pa.array(blobs, pa.binary())], schema=ARROW_SKETCHES)
 
     return X.keyed(documents).select("_id", "_th", "text").mapInArrow(run, SKETCHES)
@@ -175,7 +177,7 @@ def linked(values: np.ndarray, begin: np.ndarray, regs: np.ndarray, label: np.nd
         forest.join(x, may[100 * both >= percent * (n[x] + n[may] - both)])
 
 
-def compared(rows: DataFrame, size: int, percent: int) -> DataFrame:
+def compared(rows: DataFrame, size: int, percent: int, key: bytes) -> DataFrame:
     """Links (a, b) in each task (component, i, j); rows have node, text, label (the component so far) and left (may lead a pair)."""
     threshold = percent / 100
     floor = threshold - 6 * (threshold * (1 - threshold) / (BANDS * ROWS)) ** 0.5
@@ -188,7 +190,7 @@ def compared(rows: DataFrame, size: int, percent: int) -> DataFrame:
         found = []
         if len(once) > 1:
             table = table.take(pa.array(once))
-            values, begin = shingle_sets(table.column("text").combine_chunks(), size)
+            values, begin, _ = shingle_sets(table.column("text").combine_chunks(), size, key)
             label = np.array(table.column("label").to_pylist(), object)
             found = linked(values, begin, registers(values, begin), label, left[once], percent, floor)
         names = node[once]
@@ -197,7 +199,7 @@ def compared(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return rows.select("component", "i", "j", "node", "text", "label", "left").groupBy("component", "i", "j").applyInArrow(run, PAIRS)
 
 
-def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, key: bytes) -> DataFrame:
     """Links (a, b) that span the components of each group of nodes, on whole shingle sets. groups has node and component (the group)."""
     members = groups.join(nodes.select("node", "_id", "_th", "n_shingles"), "node")
     sizes = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
@@ -213,7 +215,7 @@ def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     held = X.written(held.select("component", "node", "blocks", "to", "text"), "texts")  # texts that are compared, shuffled once
     within = held.select("component", F.explode("to").alias("i"), "node", "text")
     alone = within.select("component", "i", F.lit(0).cast("long").alias("j"), "node", "text", F.col("node").alias("label"), F.lit(True).alias("left"))
-    links = X.written(compared(alone, size, percent), "links")
+    links = X.written(compared(alone, size, percent, key), "links")
     large = members.where("blocks > 1")
     if large.isEmpty():
         return links
@@ -231,7 +233,7 @@ def confirmed(groups: DataFrame, nodes: DataFrame, texts: DataFrame, size: int,
     rows = large.select("component", "node", "label", F.explode(F.concat(one, two)).alias("t"))
     rows = held.where("blocks > 1").select("node", "text").join(rows, "node").select("component", "t.i", "t.j", "node", "text", "label", "t.left")
     known = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return known.unionByName(compared(rows, size, percent))
+    return known.unionByName(compared(rows, size, percent, key))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,7 +265,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     least doc_id in reach; a null doc_id counts as the least. Rows that repeat are
     kept or not together. Extra columns are ignored.
     """
-    sketched = X.written(sketches(documents, size), "sketches")
+    key = secret()
+    sketched = X.written(sketches(documents, size, key), "sketches")
     least = F.min(F.struct("_id", "_th")).alias("least")
     nodes = sketched.where("node IS NOT NULL").groupBy("node").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     nodes = X.written(nodes.select("node", "least._id", "least._th", "n_shingles", "registers"), "nodes")
@@ -272,7 +275,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     heads = bands.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
     star = bands.join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     groups = X.written(components(star), "groups")
-    links = confirmed(groups, nodes, texts, size, percent)
+    links = confirmed(groups, nodes, texts, size, percent, key)
     joined = X.written(components(links), "components")
     named = joined.join(nodes.select("node", "_id"), "node").groupBy("component").agg(F.min("_id").alias("component_id"))
     label = joined.join(named, "component").select("node", "component_id")

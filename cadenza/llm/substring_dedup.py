@@ -7,7 +7,8 @@ contain it are extended: windows of equal word sequence meet, the earliest stays
 and runs of the others are the maximal repeats that are removed.
 
 Probes travel as 32 bits beyond the bucket's (a chance hit costs a comparison and
-changes nothing); windows are compared by fingerprints of 128 bits.
+changes nothing); windows are compared by fingerprints of 128 bits: two hash chains, independent of each other from the words up, by a key that
+is drawn for each run, so that no text can be written to collide.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import exchange as X
-from cadenza.llm.kernels import covered, pack, sequences, unpack, word_hashes, words
+from cadenza.llm.kernels import chains, covered, pack, secret, sequences, unpack, word_hashes, words
 from cadenza.llm.suffix_dedup import distinct
 
 
@@ -33,14 +34,16 @@ def stretches(first: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
-def _probe(chunk: X.Chunk, bits: int, block: int):
+def _probe(chunk: X.Chunk, bits: int, block: int, key: bytes):
     starts, ends, first = words(chunk.data, chunk.offsets)
     if len(starts) < block:
         return
     places = stretches(first, block)
     if not len(places):
         return
-    prints = sequences(word_hashes(chunk.data, starts, ends), block)[0][0][places]
+    chain, _ = chains(key)
+    (prints,) = sequences(word_hashes(chunk.data, starts, ends, chain=chain), block, chain=chain)
+    prints = prints[places]
     indexed = (places - first[np.searchsorted(first, places, "right") - 1]) % block == 0
     head, entry, count = distinct(prints)
     prints = prints[head]
@@ -86,7 +89,7 @@ def earliest(prints: np.ndarray, more: np.ndarray, ids: np.ndarray, starts: np.n
     return order, np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
 
 
-def _windows(chunk: X.Chunk, bits: int, window: int):
+def _windows(chunk: X.Chunk, bits: int, window: int, key: bytes):
     asked = chunk.batch.column("more").to_pylist()
     starts, ends, first = words(chunk.data, chunk.offsets)
     places, doc = [], []
@@ -97,8 +100,7 @@ def _windows(chunk: X.Chunk, bits: int, window: int):
     if not places:
         return
     places, doc = np.concatenate(places), np.concatenate(doc)
-    ((prints, more),) = sequences(word_hashes(chunk.data, starts, ends), window)
-    prints, more = prints[places], more[places]
+    prints, more = (sequences(word_hashes(chunk.data, starts, ends, chain=chain), window, chain=chain)[0][places] for chain in chains(key))
     order, begin = earliest(prints, more, chunk.ids[doc], places - first[doc])
     group = np.empty(len(order), np.int64)
     group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
@@ -144,14 +146,14 @@ def repeated_windows(documents: DataFrame, window: int = 20) -> DataFrame:
     do not remove each other. Null, empty and short texts have none.
     """
     block = (window + 1) // 2
-    bits = X.bucket_bits(documents)
+    bits, key = X.bucket_bits(documents), secret()
     texts = X.keyed(documents)
-    out = X.answered(X.sent(texts, lambda c: _probe(c, bits, block)), _hits)
+    out = X.answered(X.sent(texts, lambda c: _probe(c, bits, block, key)), _hits)
     hits = X.written(X.collected(out, lambda a: _extend(a, window, block)), "anchors")
     by_key = texts.repartition(X.partitions(documents), "_id", "_th")
     asked = hits.groupBy("_id", "_th").agg({"more": "first"}).toDF("_id", "_th", "more")
     compared = by_key.join(asked, ["_id", "_th"]).select("_doc", "_id", "_th", "text", "more").sortWithinPartitions("_id", "_th")
-    out = X.answered(X.sent(compared, lambda c: _windows(c, bits, window)), _later)
+    out = X.answered(X.sent(compared, lambda c: _windows(c, bits, window, key)), _later)
     found = X.collected(out, _repeats).groupBy("_id", "_th").agg({"spots": "collect_list"}).toDF("_id", "_th", "found")
     return by_key.join(found, ["_id", "_th"], "left").select("_doc", "_id", "_th", "text", "found")
 

@@ -14,7 +14,7 @@ own, at the ends of repeats, are compared themselves by a second exchange,
 together with those of one witness for each repeated context that also has partial matches.
 
 A match of leading bytes (64 bits) only makes a candidate. Contexts and strings are compared by fingerprints of
-128 bits, and equal ones are taken as equal strings.
+128 bits, two hash chains that are independent of each other by a key that is drawn for each index, and equal ones are taken as equal strings.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm import exchange as X
-from cadenza.llm.kernels import byte_windows, covered, fuse, mix, pack, runs, sliding_min, text_bytes, unpack
+from cadenza.llm.kernels import byte_windows, chains, covered, fuse, mix, pack, runs, secret, sliding_min, text_bytes, unpack
 
 PREFIX = 96
 BATCHES = 4
@@ -78,18 +78,19 @@ def repeated(array: DataFrame) -> DataFrame:
 class Index:
     """Levels of suffix arrays as tables: level k holds 2**k batches or is missing, as in a binary counter.
 
-    bits, min_bytes and prefix must stay the same for an index's life. Levels are never changed, only replaced, so
+    bits, min_bytes, prefix and key must stay the same for an index's life. Levels are never changed, only replaced, so
     an answer that has been planned stays good. Write ``levels`` elsewhere to keep them beyond the session.
     """
 
-    def __init__(self, min_bytes: int = 200, prefix: int | None = None, bits: int = 9, levels: dict[int, DataFrame] | None = None):
+    def __init__(self, min_bytes: int = 200, prefix: int | None = None, bits: int = 9, levels: dict[int, DataFrame] | None = None, key: bytes | None = None):
         self.size, self.bits, self.levels = min_bytes, bits, dict(levels or {})
         self.prefix = prefix or min(PREFIX, max(1, min_bytes // 3))
+        self.key = key or secret()
 
     def read(self, texts: DataFrame) -> DataFrame:
         """Exchange rows of keyed texts: headers, and what each chunk knows of its suffixes and contexts."""
-        bits, size, prefix = self.bits, self.size, self.prefix
-        return X.sent(texts, lambda c: _read(c, bits, size, prefix))
+        bits, size, prefix, key = self.bits, self.size, self.prefix, self.key
+        return X.sent(texts, lambda c: _read(c, bits, size, prefix, key))
 
     def enter(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Enter a batch's exchange rows: suffixes that repeat within the batch, and those that older batches hold too."""
@@ -134,7 +135,7 @@ def as_rows(array: DataFrame, kind: int) -> DataFrame:
     return array.select("bucket", F.lit(-1).cast("long").alias("chunk"), F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("n"), "a", none.alias("b"), "c", none.alias("d"), none.alias("e"))
 
 
-def sampled(data: np.ndarray, offsets: np.ndarray, size: int, prefix: int) -> tuple[np.ndarray, ...]:
+def sampled(data: np.ndarray, offsets: np.ndarray, size: int, prefix: int, key: bytes) -> tuple[np.ndarray, ...]:
     """The sampled suffixes of a chunk: fingerprint of the leading bytes, first and last of the strings that each owns, 128 bits of those.
 
     Every string of ``size`` bytes inside a document is owned by the leftmost least fingerprint of ``prefix`` bytes in it.
@@ -143,7 +144,9 @@ def sampled(data: np.ndarray, offsets: np.ndarray, size: int, prefix: int) -> tu
     n = len(data)
     if n < size:
         return none
-    (lead, _), (one, two) = byte_windows(data, prefix, size)
+    first_chain, second_chain = chains(key)
+    lead, one = byte_windows(data, prefix, size, chain=first_chain)
+    (two,) = byte_windows(data, size, chain=second_chain)
     # the upper 32 bits decide, then the left: the same in every text that a string stands in, whatever its length
     owner = sliding_min((lead & ~PLACE) | np.arange(len(lead), dtype=np.uint64), size - prefix + 1) & PLACE
     edge = np.zeros(n + 1, np.int64)
@@ -156,8 +159,9 @@ def sampled(data: np.ndarray, offsets: np.ndarray, size: int, prefix: int) -> tu
     first = np.flatnonzero(np.diff(owner, prepend=-1))
     at, lo, hi = owner[first], inside[first], inside[np.append(first[1:], len(owner)) - 1]
     # two strings that overlap are their context; the shape tells where the suffix lies in it
-    shape = mix(((at - lo) * 4 * size + (hi - at)).astype(np.uint64) + np.uint64(1))
-    return lead[at], lo, hi, mix(fuse(fuse(one[lo], one[hi]), shape)), mix(fuse(fuse(two[lo], two[hi], 1), shape, 1))
+    shape = ((at - lo) * 4 * size + (hi - at)).astype(np.uint64) + np.uint64(1)
+    contexts = (mix(fuse(fuse(x[lo], x[hi], chain), mix(shape, chain), chain), chain) for x, chain in ((one, first_chain), (two, second_chain)))
+    return lead[at], lo, hi, *contexts
 
 
 def distinct(prints: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,8 +180,8 @@ def distinct(prints: np.ndarray, more: np.ndarray | None = None) -> tuple[np.nda
     return first[order], rank[entry], count[order]
 
 
-def _read(chunk: X.Chunk, bits: int, size: int, prefix: int):
-    lead, lo, hi, context, more = sampled(chunk.data, chunk.offsets, size, prefix)
+def _read(chunk: X.Chunk, bits: int, size: int, prefix: int, key: bytes):
+    lead, lo, hi, context, more = sampled(chunk.data, chunk.offsets, size, prefix, key)
     if not len(lo):
         return
     leads, own, count = distinct(lead)
@@ -239,7 +243,7 @@ def _conclude(answers: X.Answers, size: int):
         yield {"_id": int(answers.ids[k]), "_th": int(answers.hashes[k]), "spots": blobs[0], "more": blobs[1]}
 
 
-def _windows(chunk: X.Chunk, bits: int, size: int):
+def _windows(chunk: X.Chunk, bits: int, size: int, key: bytes):
     """The strings to compare in a chunk."""
     asked = chunk.batch.column("more").to_pylist()
     places = []
@@ -249,8 +253,7 @@ def _windows(chunk: X.Chunk, bits: int, size: int):
     if not places:
         return
     places = np.unique(np.concatenate(places))
-    ((prints, more),) = byte_windows(chunk.data, size)
-    prints, more = prints[places], more[places]
+    prints, more = (byte_windows(chunk.data, size, chain=chain)[0][places] for chain in chains(key))
     first, entry, count = distinct(prints, more)
     more = more[first]
     yield chunk.header(chunk.offsets, places, entry)
@@ -296,7 +299,8 @@ def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | N
     by_key = texts.repartition(X.partitions(documents), "_id", "_th")
     asked = known.where(F.length("more") > 0).groupBy("_id", "_th").agg(F.first("more").alias("more"))
     compared = by_key.join(asked, ["_id", "_th"]).select("_doc", "_id", "_th", "text", "more").sortWithinPartitions("_id", "_th")
-    out = X.answered(X.sent(compared, lambda c: _windows(c, bits, min_bytes)), _repeated)
+    key = index.key
+    out = X.answered(X.sent(compared, lambda c: _windows(c, bits, min_bytes, key)), _repeated)
     late = X.collected(out, _spots)
     found = known.where(F.length("spots") > 0).select("_id", "_th", "spots").unionByName(late.select("_id", "_th", "spots"))
     found = found.groupBy("_id", "_th").agg(F.collect_list("spots").alias("found"))

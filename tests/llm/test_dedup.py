@@ -161,3 +161,59 @@ def test_sketches_merge_and_estimate():
     true = len(np.intersect1d(one, two)) / len(np.union1d(one, two))
     got = minhash_dedup.similarity(r[0], r[1], np.float64(len(one)), np.float64(len(two)))
     assert abs(got - true) < 0.15
+
+
+def substring_found(spark, rows, window, parts=1):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id")
+    return sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup.cut_words(docs, window).collect())
+
+
+def test_repeats_within_one_chunk(spark):
+    """Also where no other chunk holds any of them: equal short documents, a document with a period, the first rows of a table."""
+    for n in (20, 21, 31):
+        rows = [(k, " ".join(f"w{j}" for j in range(n))) for k in range(2)]
+        got = substring_found(spark, rows, 20)
+        assert got == substring_model(rows, 20) and got[1][2] == n
+    rows = [(0, " ".join(f"w{j % 30}" for j in range(90)))]
+    assert substring_found(spark, rows, 20) == substring_model(rows, 20)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for n in (40, 100):
+        rows = [(r.doc_id, r.text) for r in table.orderBy("doc_id").limit(n).collect()]
+        assert substring_found(spark, rows, 20) == substring_model(rows, 20)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_small_tables_however_they_are_dealt(spark, seed):
+    """Random tables of few words, in one chunk and in several: the result is that of the rule, not of the partitions."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(k, " ".join(f"v{rng.randrange(4)}" for _ in range(rng.randrange(0, 30)))) for k in range(rng.randrange(1, 9))]
+    want = substring_model(rows, 6)
+    for parts in (1, 3, 8):
+        assert substring_found(spark, rows, 6, parts) == want
+
+
+def test_texts_that_collided_under_known_factors(spark):
+    """Pairs that had one value under the hash functions without a key."""
+    one, two = "aaaaaaaabbbbbbbb", "jvkqfylhy:wm/=,?"
+    got = {r._id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame([(0, one), (1, two)], "doc_id long, text string"), 4).collect()}
+    assert got == {0: 0, 1: 1}
+    rest = " ".join(f"w{j}" for j in range(19))
+    rows = [(k, f"{rest} {w}") for k, w in enumerate((one, two))]
+    assert substring_found(spark, rows, 20, 4) == substring_model(rows, 20)
+    left, right = "".join(chr(97 + j * j % 23) for j in range(160)), "".join(chr(97 + j * j * j % 19) for j in range(160))
+    rows = [(k, left + block + right) for k, block in enumerate((one, "jigzetzm'\"GwEc>p"))]
+    cut = suffix_dedup.cut_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id"), 200).collect()
+    assert [r.n_removed for r in cut] == [0, 0]
+
+
+def test_chains_are_independent():
+    from cadenza.llm import kernels as K
+
+    data = np.frombuffer(b"aaaaaaaabbbbbbbb one two three and " + b"z" * 90 + b" end", np.uint8)
+    starts, ends, _ = K.words(data, np.array([0, len(data)]))
+    made = [K.word_hashes(data, starts, ends, chain=c) for key in (b"k" * 16, b"l" * 16) for c in K.chains(key)]
+    assert len(set(np.concatenate(made).tolist())) == 4 * len(starts)
+    again = K.word_hashes(data, starts, ends, chain=K.chains(b"k" * 16)[0])
+    assert (again == made[0]).all()
