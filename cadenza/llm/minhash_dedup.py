@@ -297,3 +297,18 @@ def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4)
     real = lambda x: F.when(F.col(x) != X.NULL_ID, F.col(x)).alias("doc_id" if x == "_id" else x)
     return out.select(real("_id"), "n_shingles", real("component_id"), "kept")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+shingles AS (SELECT DISTINCT r, md5(array_to_string(ws[i : i + 3], ' ')) AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM docs WHERE len(ws) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.r = x JOIN sizes b ON b.r = y WHERE 100 * shared.n >= 80 * (a.n + b.n - shared.n)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, y FROM edges UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+least AS (SELECT x AS r, min(doc_id) AS least FROM reach JOIN docs ON docs.r = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(least, doc_id)) AS kept
+FROM docs LEFT JOIN sizes USING (r) LEFT JOIN least USING (r)
+"""

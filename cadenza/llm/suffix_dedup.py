@@ -374,3 +374,17 @@ def without_repeats(documents: DataFrame, min_bytes: int = 200) -> DataFrame:
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     cut = cut_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), 200)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, i, md5(substring(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM docs)),
+many AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY k) > 1),
+runs AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM many)),
+gone AS (SELECT r, run, min(i) AS s, max(i) + 200 AS e FROM runs GROUP BY r, run),
+cut AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM gone),
+told AS (SELECT r, count(*) AS n_spans, sum(e - s)::BIGINT AS n_removed, max(e) AS last, string_agg(substring(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept FROM cut JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN told USING (r)
+"""
