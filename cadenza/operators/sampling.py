@@ -16,27 +16,32 @@ def sampled(rows: DataFrame, key: str, limit: int, seed: int = 42) -> DataFrame:
     return rows if limit <= 0 else rows.orderBy(draw(F.col(key), seed), key).limit(limit)
 
 
-def split(rows: DataFrame, key: str, by: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """Rows with ``split``: the first half of each group in hash order trains, a quarter validates, the rest tests.
+def ranks(rows: DataFrame, key: str, by: list[str], seed: int = 42) -> DataFrame:
+    """rows with ``rank``, the place from 0 in its group's hash order, and ``group_size``.
 
     Ranks come in two steps, within 4096 ranges of the hash and over the counts of these, so
     that a group of any size is ranked in parts.
     """
-    by = by or []
     rows = rows.withColumn("_h", draw(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, 3))
     counts = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(w))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("group_size", F.sum("_c").over(w))
     inside = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    ranked = rows.withColumn("_k", F.row_number().over(inside) - 1).join(counts, [*by, "_b"]).withColumn("_k", F.col("_k") + F.col("_before"))
-    half, quarter = F.floor(F.col("_n") / 2), F.floor(F.col("_n") / 4)
-    name = F.when(F.col("_k") < half, "train").when(F.col("_k") < half + quarter, "validation").otherwise("test")
-    return ranked.withColumn("split", name).drop("_h", "_b", "_c", "_before", "_k", "_n")
+    ranked = rows.withColumn("_k", F.row_number().over(inside) - 1).join(counts, [*by, "_b"])
+    return ranked.withColumn("rank", F.col("_k") + F.col("_before")).drop("_h", "_b", "_c", "_before", "_k")
+
+
+def split(rows: DataFrame, key: str, by: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """Rows with ``split``: the first half of each group in hash order trains, a quarter validates, the rest tests."""
+    ranked = ranks(rows, key, by or [], seed)
+    half, quarter = F.floor(F.col("group_size") / 2), F.floor(F.col("group_size") / 4)
+    name = F.when(F.col("rank") < half, "train").when(F.col("rank") < half + quarter, "validation").otherwise("test")
+    return ranked.withColumn("split", name).drop("rank", "group_size")
 
 
-def last_file(files: DataFrame, name: str = "name") -> DataFrame:
-    """The last file of each key, the key being the first two parts of its name."""
-    return files.groupBy(F.substring_index(name, "-", 2).alias("key")).agg(F.max(name).alias("last"))
+def last_file(files: DataFrame, name: str = "name", prefix: str = "") -> DataFrame:
+    """The last file of each key, the key being the first two parts of its name, of the files whose names start with a prefix."""
+    return files.where(F.col(name).startswith(prefix)).groupBy(F.substring_index(name, "-", 2).alias("key")).agg(F.max(name).alias("last"))
 
 
 def shard_sizes(limit: Column, concurrency: Column, files: Column) -> Column:

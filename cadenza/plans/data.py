@@ -10,6 +10,7 @@ from cadenza.operators import sampling as S
 from cadenza.operators import turns as O
 from cadenza.plans import turns as T
 from cadenza.sources import adapters as A
+from cadenza.sources import shards as H
 
 # Language codes of source configurations.
 CODES = {"english": "en", "french": "fr", "german": "de", "spanish": "es"}
@@ -53,6 +54,19 @@ def last_shard(spark, sf_dir):
     return S.last_file(files)
 
 
+def last_shard_of_prefix(spark, sf_dir):
+    """The same, of one kind's files."""
+    files = A.table(spark, sf_dir, "part").select(F.concat_ws("-", F.lower(F.substring_index("p_type", " ", 1)), F.lower(F.substring_index("p_brand", "#", -1)), F.format_string("%08d", "p_partkey")).alias("name"))
+    return S.last_file(files, prefix="standard-")
+
+
+def exact_shards(spark, sf_dir):
+    """What ``shards.write_shards`` writes to each shard: line items in two streams, 20,000 to a shard."""
+    items = A.table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), "l_orderkey")
+    out = H.sharded(items, "id", streams=2).groupBy(H.STREAM, H.NUMBER).agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"), F.min("id").alias("first"), F.max("rank").alias("last_rank"))
+    return out.withColumnsRenamed({H.STREAM: "stream", H.NUMBER: "shard"})
+
+
 def language_counts(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
 
@@ -112,7 +126,7 @@ def shard_sizing(spark, sf_dir):
     return n.select("o_orderpriority", s["shards"].alias("shards"), s["per_shard"].cast("long").alias("per_shard"))
 
 
-QUERIES = {f.__name__: f for f in (archive_join, missing_members, first_wins_index, split_50_25_25, split_whole, sampled_scan, last_shard, language_counts, dataset_card, set_union_languages, config_codes, json_props, json_report, messages_column, positional_zip, turn_replay, shard_sizing)}
+QUERIES = {f.__name__: f for f in (archive_join, missing_members, first_wins_index, split_50_25_25, split_whole, sampled_scan, last_shard, last_shard_of_prefix, exact_shards, language_counts, dataset_card, set_union_languages, config_codes, json_props, json_report, messages_column, positional_zip, turn_replay, shard_sizing)}
 
 
 def split_sql(table: str, key: str, by: str) -> str:
@@ -127,6 +141,13 @@ SQL = {
     "split_50_25_25": f"WITH {split_sql('documents', 'doc_id', 'lang')} SELECT doc_id, lang, split FROM s",
     "split_whole": f"WITH {split_sql('orders', 'o_orderkey', '')} SELECT split, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM s GROUP BY split",
     "sampled_scan": "SELECT doc_id, lang FROM documents ORDER BY sha256(doc_id || ':42'), doc_id LIMIT 100",
+    "last_shard_of_prefix": """WITH f AS (SELECT lower(split_part(p_type, ' ', 1)) AS a, lower(split_part(p_brand, '#', -1)) AS b, lpad(p_partkey::VARCHAR, 8, '0') AS c FROM part)
+SELECT a || '-' || b AS key, max(a || '-' || b || '-' || c) AS last FROM f WHERE starts_with(a, 'standard') GROUP BY a, b""",
+    "exact_shards": """WITH f AS (SELECT l_orderkey, l_orderkey || ':' || l_linenumber AS id FROM lineitem),
+h AS (SELECT *, sha256(id || ':42') AS h FROM f),
+s AS (SELECT *, ('0x' || right(h, 4))::INT % 2 AS stream FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY h, id) - 1 AS rank FROM s)
+SELECT stream, (rank // 20000)::INT AS shard, count(*) AS n, sum(l_orderkey)::BIGINT AS keys, min(id) AS first, max(rank) AS last_rank FROM r GROUP BY stream, rank // 20000""",
     "last_shard": """WITH f AS (SELECT lower(split_part(p_type, ' ', 1)) AS a, lower(split_part(p_brand, '#', -1)) AS b, lpad(p_partkey::VARCHAR, 8, '0') AS c FROM part)
 SELECT a || '-' || b AS key, max(a || '-' || b || '-' || c) AS last FROM f GROUP BY a, b""",
     "language_counts": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
