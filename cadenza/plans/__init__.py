@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import data, examples, gaps, joins, metrics, serving, turns, waves
+from cadenza.plans import data, examples, gaps, joins, metrics, replay, serving, turns, waves
 
-MODULES = (turns, gaps, examples, joins, waves, metrics, data, serving)
+MODULES = (turns, gaps, examples, joins, waves, metrics, data, serving, replay)
 
 
 def queries() -> dict:
