@@ -35,7 +35,7 @@ RAW = set("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = set("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section select summary svg table tbody td template tfoot th thead tr ul caption head noscript option legend".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 APART = set("nav header footer aside form menu dialog head button select svg template noscript".split())
-WORDS_APART = set("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted promotion related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+WORDS_APART = set("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disclaimer disqus footer form header login masthead menu menubar modal nav navbar navigation newsletter notice notices popup promo promoted promotion related replies reply responses share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 STATES = set("no not non has have with without is are hide hides show shows free open opened closed on off enabled disabled active".split())  # beside a word of these, a name tells of a state
 ROLES_APART = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 CENTRE = {"article", "main"}
@@ -313,17 +313,22 @@ class Wrapper:
         return own
 
     def slots(self, page: list) -> list[tuple[int, str, int]]:
-        """The page's blocks in order, each with its slot; -1 for one whose place the wrapper does not have."""
+        """The page's blocks in order, each with its slot: a page is a word of its host's wrapper, so each has one; -1 only for a page that is not.
+
+        Children are matched in order, each with the first node of its kind that is left; where that leaves a block without a slot, as the node that a page
+        was aligned with can be a later one of the kind, with the nodes that leave the fewest.
+        """
+        out = self._matched(page, lambda node, own: self._first(node, own))
+        if all(slot >= 0 for slot, _, _ in out):
+            return out
+        known: dict[tuple[int, int], tuple[int, list[int]]] = {}
+        return self._matched(page, lambda node, own: self._best(node, own, known)[1])
+
+    def _matched(self, page: list, places) -> list[tuple[int, str, int]]:
         out: list[tuple[int, str, int]] = []
 
         def match(node, own):
-            kinds = self.children[own] if own >= 0 else []
-            at = 0
-            for child in node[1:]:
-                found = next((k for k in range(at, len(kinds)) if self.kind[kinds[k]] == child[0]), -1)
-                if found >= 0:
-                    at = found  # it may come again: neighbours of one kind are one node of the wrapper
-                place = kinds[found] if found >= 0 else -1
+            for child, place in zip(node[1:], places(node, own), strict=True):
                 if child[0] == "#":
                     out.append((place, child[1], child[2]))
                 else:
@@ -332,6 +337,42 @@ class Wrapper:
         match(page, 0)
         return out
 
+    def _first(self, node: list, own: int) -> list[int]:
+        kinds = self.children[own] if own >= 0 else []
+        at, out = 0, []
+        for child in node[1:]:
+            found = next((k for k in range(at, len(kinds)) if self.kind[kinds[k]] == child[0]), -1)
+            if found >= 0:
+                at = found  # it may come again: neighbours of one kind are one node of the wrapper
+            out.append(kinds[found] if found >= 0 else -1)
+        return out
+
+    def _best(self, node: list, own: int, known: dict) -> tuple[int, list[int]]:
+        """How many blocks stay without a slot at least, and the places of the children that leave so few."""
+        if (id(node), own) in known:
+            return known[id(node), own]
+        kinds = self.children[own] if own >= 0 else []
+        blocks = lambda x: 1 if x[0] == "#" else sum(map(blocks, x[1:]))
+        least, back = [0] * (len(kinds) + 1), []  # the least over places up to k; one more, the first, for none yet
+        for child in node[1:]:
+            lost = blocks(child)
+            new, step = [least[0] + lost], [(0, -1)]
+            for k, place in enumerate(kinds, 1):
+                without = least[k] + lost, (k, -1)
+                here = (least[k] + (0 if child[0] == "#" else self._best(child, place, known)[0]), (k, place)) if self.kind[place] == child[0] else without
+                left = new[-1], step[-1]
+                cost, how = min(here, without, left, key=lambda x: x[0])
+                new.append(cost)
+                step.append(how)
+            least = new
+            back.append(step)
+        k, places = len(kinds), []
+        for step in reversed(back):
+            k, place = step[k]
+            places.append(place)
+        known[id(node), own] = least[-1], places[::-1]
+        return known[id(node), own]
+
     def above(self, slot: int):
         while slot >= 0:
             yield slot
@@ -348,23 +389,26 @@ class Wrapper:
 
 
 def content_slots(wrapper: Wrapper, held: dict[int, tuple[bool, float]]) -> tuple[set[int], set[int]]:
-    """Slots of main text: those in article or main, and those that count on a page which has none of the first.
+    """Slots of main text: those in article or main, and those that count on a page which has none of the first. A block without a slot (-1) counts in either.
 
     held tells of each slot whether its text stays the same over LEAST pages or more that differ elsewhere, and the share of its text that lies in links.
     An element that is named as a menu, header, footer, sidebar, notice, advert, form or comments takes no part, in either. Of the others, a slot counts if its
-    text varies and is not mostly links, and if it is required, or optional within the smallest element that holds the elements of all required ones.
+    text varies and is not mostly links; in article or main that is enough, but if no slot there passes, all of them count. Elsewhere it must also be required, or
+    optional within the smallest element that holds the elements of all required ones.
     """
     slots = [k for k, kind in enumerate(wrapper.kind) if kind == "#" and not wrapper.apart(k)]
-    centre = {k for k in slots if wrapper.centre(k)}
-    varied = [k for k in slots if k not in centre and not held.get(k, (False, 0.0))[0] and held.get(k, (False, 0.0))[1] <= 0.5]
+    inside = {k for k in slots if wrapper.centre(k)}
+    varied = [k for k in slots if not held.get(k, (False, 0.0))[0] and held.get(k, (False, 0.0))[1] <= 0.5]
+    centre = inside.intersection(varied) or inside
+    varied = [k for k in varied if k not in inside]
     required = [k for k in varied if wrapper.required(k)]
     if not required:
-        return centre, set(varied)
+        return centre | {-1}, {*varied, -1}
     shared = set(wrapper.above(required[0]))
     for k in required[1:]:
         shared &= set(wrapper.above(k))
     region = max(shared - set(required) - {wrapper.parent[k] for k in required}, default=0)  # nodes are numbered from the root down
-    return centre, {k for k in varied if region in wrapper.above(k)}
+    return centre | {-1}, {k for k in varied if region in wrapper.above(k)} | {-1}
 
 
 def host(url: str = "url"):
@@ -456,7 +500,7 @@ def held(read_pages: DataFrame) -> DataFrame:
                     wrapper = hosts.get(told, lambda t: Wrapper(json.loads(t)))
                     own: dict[int, list] = {}
                     for slot, text, linked in wrapper.slots(json.loads(tree)):
-                        if not wrapper.is_apart[slot]:
+                        if slot < 0 or not wrapper.is_apart[slot]:
                             own.setdefault(slot, [[], 0])[0].append(text)
                             own[slot][1] += linked
                     page = hash_of(repr(own))
@@ -492,7 +536,7 @@ def main_text(wrapper: Wrapper, slots: tuple[set[int], set[int]], tree: list) ->
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars. Null or empty html, and pages without content, have an empty text.
 
-    A page that has text in article or main gives that; another its other content slots, see ``content_slots``.
+    A page that has text in article or main gives that, but for slots that the host's pages show to be its template's or mostly links; another its other content slots, see ``content_slots``.
     Elements named by a word of WORDS_APART, as class word or id, are left out with all they hold, but not html, body, article or main.
     Equal rows give equal rows; other columns are ignored.
     """

@@ -253,3 +253,47 @@ def test_screens_and_images_of_hostile_size(spark):
     media = spark.createDataFrame([(1, bytearray(gif(0, 0, 2, 2))), (2, bytearray(gif(0, 0, 65535, 65535))), (3, bytearray(gif(65533, 65533, 2, 2)))], "doc_id long, media binary")
     got = {r.doc_id: sum(r.histogram[:8]) for r in G.frames(media, "doc_id").collect()}
     assert got == {1: 4}
+
+
+def random_page(rng, depth=0):
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        node = ["#", f"t{rng.randrange(99)}", 0] if depth >= 3 or rng.random() < 0.45 else [rng.choice(["div", "section", "div.a", "p", "ul"]), *random_page(rng, depth + 1)]
+        if not (out and out[-1][0] == node[0] == "#"):
+            out.append(node)
+    return out
+
+
+def test_every_block_has_a_slot():
+    """A page is a word of its host's wrapper, also where it was aligned with a later element of a kind."""
+    import random
+
+    from cadenza.llm import html_wrappers as H
+
+    searched = 0
+    for seed in range(600):
+        rng = random.Random(seed)
+        pages = [["", *random_page(rng)] for _ in range(rng.randrange(2, 7))]
+        wrapper = None
+        for page in pages:
+            wrapper = H.fold(page) if wrapper is None else H.align(wrapper, H.fold(page))
+        w = H.Wrapper(wrapper)
+        for page in pages:
+            slots = w.slots(page)
+            assert all(slot >= 0 and w.kind[slot] == "#" for slot, _, _ in slots)
+            searched += any(slot < 0 for slot, _, _ in w._matched(page, w._first))
+    assert searched > 0
+
+
+def test_wrapper_decides_inside_articles(spark):
+    """What the host's pages share, or hold as links, goes from the article too; a page alone on its host keeps it."""
+    from cadenza.llm import html_wrappers as H
+
+    page = lambda k: f"<article><h1>Head {k}</h1><div class='promise'>We check all we print.</div><p>Text of {k} goes on.</p><ul class='more'><li><a href=x>Also of {k}</a></li><li><a href=y>And more {k}</a></li></ul></article>"
+    rows = [(k, f"http://many.example/{k}", page(k)) for k in range(4)] + [(9, "http://one.example/9", page(9).replace("<ul", "<ol").replace("</ul", "</ol").replace("<a href=x>", "").replace("<a href=y>", "").replace("</a>", ""))]
+    got = {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Head {k}\nText of {k} goes on." for k in range(4))
+    assert got[9] == "Head 9\nWe check all we print.\nText of 9 goes on.\nAlso of 9\nAnd more 9"
+    same = [(k, "http://copies.example/a", page(1)) for k in range(5)]
+    got = {r.text for r in H.extracted(spark.createDataFrame(same, "page_id long, url string, html string")).collect()}
+    assert got == {"Head 1\nWe check all we print.\nText of 1 goes on."}
