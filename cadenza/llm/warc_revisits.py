@@ -15,6 +15,7 @@ from __future__ import annotations
 import datetime
 import gzip
 import hashlib
+import math
 import re
 import zlib
 
@@ -22,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm import exchange as X
 from cadenza.llm.kernels import slices
 
+DATES = 10_000_000_000
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 # Fixed values of RFC 9111, section 3.2, and RFC 9110, section 7.6.1: headers that a 304 response must not change.
 UNTOUCHED = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authentication-info", "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade"]
@@ -156,7 +159,7 @@ def weak(tag):
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """WARC files, one for each page: its response, and a revisit of its URL up to 200 seconds before or 1800 after."""
+    """WARC files, one for each page: its response, and a revisit of its URL up to 200 seconds before or 1800 after. Dates come again every DATES ids."""
 
     def run(batches):
         start = datetime.datetime(2024, 1, 1)
@@ -165,7 +168,7 @@ def captures(pages: DataFrame) -> DataFrame:
                 files = []
                 for key, url, html in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
                     key, url, body = key or 0, (url or "").replace("\r", "").replace("\n", ""), (html or "").encode()
-                    first = start + datetime.timedelta(seconds=2 * key)
+                    first = start + datetime.timedelta(seconds=2 * int(math.copysign(abs(key) % DATES, key)))
                     again = first + datetime.timedelta(seconds=2 * (int(hashlib.md5(url.encode()).hexdigest()[:4], 16) % 1000) - 199)
                     tag = f'"{hashlib.md5(body).hexdigest()}"'
                     for kind, date, block in (
@@ -180,7 +183,8 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op9_warc_revisits(spark, sf_dir: str) -> DataFrame:
-    out = resolved(records(captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("payload"))
+    rows = X.written(records(captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))).drop("payload"), "records")  # files are parsed once
+    out = resolved(rows)
     told = F.array_join(F.transform(F.map_entries("headers"), lambda e: F.concat(e.key, F.lit(":"), e.value)), ";")
     return out.select("record_id", "url", "date", "verdict", "source_id", "source_date", "status", told.alias("headers"))
 
@@ -188,7 +192,7 @@ def op9_warc_revisits(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH captured AS (
-  SELECT page_id, md5(html) AS tag, TIMESTAMP '2024-01-01' + to_seconds(2 * page_id) AS seen, octet_length(encode(html)) AS size,
+  SELECT page_id, md5(html) AS tag, TIMESTAMP '2024-01-01' + to_seconds(2 * (page_id % 10000000000)) AS seen, octet_length(encode(html)) AS size,
          2 * (('0x' || substr(md5(url), 1, 4))::INT % 1000) - 199 AS later,
          regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u
   FROM pages),

@@ -297,3 +297,15 @@ def test_wrapper_decides_inside_articles(spark):
     same = [(k, "http://copies.example/a", page(1)) for k in range(5)]
     got = {r.text for r in H.extracted(spark.createDataFrame(same, "page_id long, url string, html string")).collect()}
     assert got == {"Head 1\nWe check all we print.\nText of 1 goes on."}
+
+
+def test_captures_with_any_id(spark, tmp_path):
+    """Ids beyond all dates, below 0 and missing, pages that repeat, and columns of the records' names."""
+    from cadenza.llm import warc_revisits as W
+
+    ids = [3 * 10**11 + 5, (1 << 63) - 1, -(1 << 63), -7, None, 4, 4]
+    rows = [(i, f"http://h.example/{k // 2}", f"<p>{k // 2}</p>", "x", "y") for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, record_id string, headers string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = W.op9_warc_revisits(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.date[:4] >= "1500" for r in got)
+    assert sorted(r.record_id for r in got) == sorted(f"<urn:page:{i or 0}:revisit>" for i in ids)
