@@ -26,24 +26,34 @@ def f1() -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + wrong), F.lit(0.0))
 
 
+def _auc(scores: DataFrame, by: list[str], more: dict[str, Column]) -> DataFrame:
+    """Per group of counted scores (p_eot, pos, n): auc and other sums."""
+    ranked = Q.before(scores, by, "p_eot", "n", Q.thousandths).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
+    total = ranked.groupBy(*by).agg(F.sum(F.col("pos") * F.col("rank")).alias("_r"), F.sum("pos").alias("_p"), F.sum("n").alias("_n"), *(c.alias(name) for name, c in more.items()))
+    value = (F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2.0) / (F.col("_p") * (F.col("_n") - F.col("_p")))
+    return total.select(*by, *more, F.when((F.col("_p") > 0) & (F.col("_p") < F.col("_n")), value).alias("auc"))
+
+
 def auc(predictions: DataFrame, by: list[str]) -> DataFrame:
     """ROC-AUC per group by average ranks over ties; null where a class is missing.
 
     Equal scores are counted before they are ranked, and ranked within ranges of the score.
     """
-    scores = predictions.groupBy(*by, "p_eot").agg(_count(F.col("label") == 1).alias("pos"), F.count("*").alias("n"))
-    ranked = Q.before(scores, by, "p_eot", "n", Q.thousandths).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
-    total = ranked.groupBy(*by).agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
-    value = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * (F.col("n") - F.col("p")))
-    return total.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), value).alias("auc"))
+    return _auc(predictions.groupBy(*by, "p_eot").agg(_count(F.col("label") == 1).alias("pos"), F.count("*").alias("n")), by, {})
 
 
 def report(predictions: DataFrame, group: str = "language", overall: str = "overall") -> DataFrame:
-    """n, accuracy, f1 and auc overall and per group, from one scan expanded to both groupings."""
-    both = predictions.select(F.explode(F.array(F.lit(overall), F.col(group).cast("string"))).alias("grp"), "label", "p_eot")
-    counted = predictions.groupingSets([[], [group]], group).agg(F.grouping(group).alias("g"), F.count("*").alias("n"), accuracy().alias("accuracy"), f1().alias("f1"))
-    named = counted.withColumn("grp", F.when(F.col("g") == 1, F.lit(overall)).otherwise(F.col(group).cast("string"))).select("grp", "n", "accuracy", "f1")
-    return named.join(auc(both, ["grp"]), "grp", "left")
+    """n, accuracy, f1 and auc overall and per group: all from counts of equal scores, which the overall rows share."""
+    counted = predictions.groupBy(F.col(group).cast("string").alias("_g"), "p_eot").agg(_count(F.col("label") == 1).alias("pos"), F.count("label").alias("known"), F.count("*").alias("n"))
+    both = counted.withColumn("grp", F.explode(F.array(F.lit(overall), F.col("_g"))))
+    scores = both.groupBy("grp", "p_eot").agg(*(F.sum(c).alias(c) for c in ("pos", "known", "n")))
+    called = F.col("p_eot") >= 0.5
+    right = F.when(called, F.col("pos")).when(~called, F.col("known") - F.col("pos"))
+    judged = F.sum(F.when(F.col("p_eot").isNotNull(), F.col("known")))
+    tp = F.sum(F.when(called, F.col("pos")))
+    f1 = F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + judged - F.sum(right)), F.lit(0.0))
+    more = {"n": F.sum("n"), "accuracy": F.try_divide(F.sum(right).cast("double"), judged), "f1": f1}
+    return _auc(scores, ["grp"], more).select("grp", "n", "accuracy", "f1", "auc")
 
 
 def bucket(duration: Column, edges=EDGES) -> Column:
