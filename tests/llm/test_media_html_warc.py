@@ -1,5 +1,6 @@
 import gzip
 import os
+import hashlib
 import zlib
 
 import numpy as np
@@ -62,6 +63,11 @@ def test_media_table(spark, documents, nothing, odd):
         payload = b + bytes(-len(b) % 64 if b else 64)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(b), len(payload), zlib.crc32(payload[-64:]))
+        media = G.encode(payload)
+        assert (r.payload_sha256, r.media_bytes, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), len(media), hashlib.sha256(media).hexdigest())
+        told = dict(x.split("=") for x in r.feature.split(";"))
+        counts = [sum(x // 32 == k for x in payload) for k in range(8)]
+        assert told["histogram"] == ",".join(map(str, counts)) and int(told["frames"]) == len(G.parse(media)[2]) and int(told["ms"]) >= 0
     frames = G.frames(stored, "doc_id").collect()
     assert all(len(r.histogram) == 24 for r in frames) and max(r.frame for r in frames) > 0
     assert G.read_back(G.stored(nothing)).count() == 0
