@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cadenza.plans import channel, data, examples, gaps, joins, metrics, packing, replay, serving, turns, waves
+from cadenza.plans import channel, data, examples, gaps, joins, metrics, packing, replay, scans, serving, turns, waves
 
-MODULES = (turns, gaps, examples, joins, packing, waves, channel, metrics, data, serving, replay)
+MODULES = (turns, gaps, examples, joins, packing, waves, channel, metrics, data, scans, serving, replay)
 
 
 def queries() -> dict:
