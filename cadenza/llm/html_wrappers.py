@@ -28,6 +28,7 @@ FAN = 64
 LEAST = 3  # pages that differ elsewhere, for a text that stays the same to be the template's
 DEEP = 100  # elements nested deeper share a node with the one that holds them
 PLAIN = 40_000  # products of lengths up to which streams are aligned with the most pairs
+WIDE = 1 << 20  # products of lengths up to which the fewest blocks without a slot are searched for
 BROADCAST = 32 << 20  # bytes of a table of wrappers that is broadcast; a larger one is joined
 # Fixed values of HTML: elements by how they are parsed and shown.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -353,6 +354,9 @@ class Wrapper:
             return known[id(node), own]
         kinds = self.children[own] if own >= 0 else []
         blocks = lambda x: 1 if x[0] == "#" else sum(map(blocks, x[1:]))
+        if (len(node) - 1) * len(kinds) > WIDE:
+            known[id(node), own] = self._near(node, kinds, known, blocks)
+            return known[id(node), own]
         least, back = [0] * (len(kinds) + 1), []  # the least over places up to k; one more, the first, for none yet
         for child in node[1:]:
             lost = blocks(child)
@@ -373,6 +377,18 @@ class Wrapper:
         known[id(node), own] = least[-1], places[::-1]
         return known[id(node), own]
 
+    def _near(self, node: list, kinds: list[int], known: dict, blocks) -> tuple[int, list[int]]:
+        """The same for long lists, in line: each child takes the best of the next FAN nodes of the list, so that some blocks may stay without a slot (-1 counts as content)."""
+        at, places, total = 0, [], 0
+        for child in node[1:]:
+            found = [k for k in range(at, min(at + FAN, len(kinds))) if self.kind[kinds[k]] == child[0]]
+            costs = [0 if child[0] == "#" else self._best(child, kinds[k], known)[0] for k in found]
+            lost = min(costs, default=blocks(child))
+            total += lost
+            places.append(kinds[found[costs.index(lost)]] if found else -1)
+            at = found[costs.index(lost)] if found else at
+        return total, places
+
     def above(self, slot: int):
         while slot >= 0:
             yield slot

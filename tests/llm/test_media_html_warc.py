@@ -291,6 +291,22 @@ def test_every_block_has_a_slot():
     assert searched > 0
 
 
+def test_long_lists_are_matched_in_line():
+    """A page whose list is long, and whose elements were aligned with later ones of their kind."""
+    import time
+
+    from cadenza.llm import html_wrappers as H
+
+    page = lambda first, n: ["", first, *(["div", ["p", ["#", f"t{k}", 0]]] if k % 2 else ["ul", ["li", ["#", f"t{k}", 0]]] for k in range(n))]
+    one, two = page(["div", ["section", ["#", "a", 0]]], 4000), page(["h1", ["#", "b", 0]], 4000)
+    w = H.Wrapper(H.align(H.fold(one), H.fold(two)))
+    began = time.time()
+    for p in (one, two, page(["h1", ["#", "b", 0]], 3000)):
+        slots = w.slots(p)
+        assert sum(slot < 0 for slot, _, _ in slots) == 0
+    assert time.time() - began < 30
+
+
 def test_wrapper_decides_inside_articles(spark):
     """What the host's pages share, or hold as links, goes from the article too; a page alone on its host keeps it."""
     from cadenza.llm import html_wrappers as H
