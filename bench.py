@@ -21,7 +21,7 @@ HEADLINE = [
     "metrics_by_language", "policy_sweep", "archive_join", "split_50_25_25",
 ]
 # Timed as well, but not in the total, which stays comparable over the rounds.
-MORE = ["asof_range_join", "interval_join", "asof_events", "replay_events", "filter_lowpass", "channel_trace", "exact_shards", "token_budget_packing", "external_scan"]
+MORE = ["asof_events", "filter_lowpass", "channel_trace", "exact_shards", "token_budget_packing", "external_scan"]
 
 
 def main() -> None:

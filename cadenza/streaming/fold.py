@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 FRAME = 0.02
 CHUNK, WINDOW, SPEECH, PAUSE = 15, 1500, 10, 5  # frames: of a chunk, of the buffer, of sustained speech, of a pause that is scored
-STEP = "struct<k:int,silent:int,has_speech:boolean,status:string>"
+# What a step tells, in a letter; a string of steps is cheap to append to, where an array of structs would be copied whole at each.
+STATUS = {"L": "listening", "H": "holding", "E": "end_of_turn", "T": "end_of_turn (timeout)"}
 
 
 def let(value: Column, f) -> Column:
@@ -44,23 +45,28 @@ def steps(frames: Column, threshold: float = 0.5, action_delay: float = 0.2, tim
 
     def status(h: Column) -> Column:
         return (
-            F.when(~h["has_speech"] | (h["silent"] < PAUSE), "listening")
-            .when(h["silent"] >= end, "end_of_turn (timeout)")
-            .when((h["silent"] >= act) & (score(h["silent"]) >= threshold), "end_of_turn")
-            .otherwise("holding")
+            F.when(~h["has_speech"] | (h["silent"] < PAUSE), "L")
+            .when(h["silent"] >= end, "T")
+            .when((h["silent"] >= act) & (score(h["silent"]) >= threshold), "E")
+            .otherwise("H")
         )
 
     def step(a: Column, c: Column) -> Column:
         return let(heard(a, c), lambda h: let(status(h), lambda s: after(a, h, s)))
 
     def after(a: Column, h: Column, s: Column) -> Column:
-        ends = s.startswith("end_of_turn")
-        told = F.struct(F.size(a["out"]).alias("k"), h["silent"].cast("int").alias("silent"), h["has_speech"].alias("has_speech"), s.alias("status"))
+        ends = s.isin("E", "T")
+        told = F.concat(s, F.lpad(h["silent"].cast("string"), 4, "0"), h["has_speech"].cast("int").cast("string"))
         zero = lambda x: F.when(ends, 0).otherwise(x).cast("int")
-        return F.struct(zero(h["silent"]).alias("silent"), zero(h["run"]).alias("run"), (h["has_speech"] & ~ends).alias("has_speech"), F.array_append(a["out"], told).alias("out"))
+        return F.struct(zero(h["silent"]).alias("silent"), zero(h["run"]).alias("run"), (h["has_speech"] & ~ends).alias("has_speech"), F.concat(a["out"], told).alias("out"))
 
-    start = F.struct(F.lit(0).alias("silent"), F.lit(0).alias("run"), F.lit(False).alias("has_speech"), F.array().cast(f"array<{STEP}>").alias("out"))
-    return F.aggregate(chunks, start, step, lambda a: a["out"])
+    def told(x: Column, k: Column) -> Column:
+        names = F.create_map(*(F.lit(v) for pair in STATUS.items() for v in pair))
+        return F.struct(k.alias("k"), F.substring(x, 2, 4).cast("int").alias("silent"), (F.substring(x, 6, 1) == "1").alias("has_speech"), names[F.substring(x, 1, 1)].alias("status"))
+
+    start = F.struct(F.lit(0).alias("silent"), F.lit(0).alias("run"), F.lit(False).alias("has_speech"), F.lit("").alias("out"))
+    out = F.aggregate(chunks, start, step, lambda a: a["out"])
+    return F.transform(F.regexp_extract_all(out, F.lit("[LHET][0-9]{4}[01]"), F.lit(0)), told)
 
 
 def replayed(recordings: DataFrame, **policy: float) -> DataFrame:
