@@ -18,7 +18,9 @@ def recordings(spark, sf_dir):
     words = F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda w: w != "")
     gap = lambda w: F.floor((40 + (37 * F.length(w)) % 200 + F.when(sentence_end(w), 600).otherwise(0)) / 20).cast("int")
     frames = F.array_join(F.transform(words, lambda w: S.frames_of(3 * F.length(w), gap(w))), "")
-    turns = A.table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", frames.alias("frames"))
+    told = A.table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", "text")
+    # texts are dealt, not frames: these are long and shrink to nothing in a shuffle, so that sizes would put all into a few tasks
+    turns = told.repartition(A.partitions(told, 1 << 20), "conv_id").select("conv_id", "turn", frames.alias("frames"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "frames"))), lambda x: x["frames"]), "")
     return turns.groupBy(F.col("conv_id").alias("session")).agg(whole.alias("frames"))
 

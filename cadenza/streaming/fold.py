@@ -1,4 +1,4 @@
-"""The session automaton as a fold in the JVM: frames of a whole recording to events, without Python.
+"""The session automaton in the JVM: frames of a whole recording to events, without Python, by running sums over its chunks.
 
 A recording is a string of whole 20 ms frames, 1 loud and 0 quiet. Chunks of 0.3 s are 15 frames, so what a chunk changes follows from it and four
 numbers: the quiet frames so far at the end, the loud ones, whether speech has been latched, and how many frames the buffer holds at most.
@@ -11,14 +11,9 @@ from pyspark.sql import functions as F
 
 FRAME = 0.02
 CHUNK, WINDOW, SPEECH, PAUSE = 15, 1500, 10, 5  # frames: of a chunk, of the buffer, of sustained speech, of a pause that is scored
-# What a step tells, in a letter; a string of steps is cheap to append to, where an array of structs would be copied whole at each.
 STATUS = {"L": "listening", "H": "holding", "E": "end_of_turn", "T": "end_of_turn (timeout)"}
 
 
-def let(value: Column, f) -> Column:
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def frames_of(loud: Column, quiet: Column) -> Column:
     """Loud frames, then quiet ones."""
     return F.concat(F.repeat(F.lit("1"), loud), F.repeat(F.lit("0"), quiet))
@@ -29,57 +24,58 @@ def score(silent: Column) -> Column:
     return 1 - F.exp(-(silent * FRAME) / 0.6)
 
 
-def steps(frames: Column, threshold: float = 0.5, action_delay: float = 0.2, timeout: float = 3.0) -> Column:
-    """One struct (k, silent, has_speech, status) for each chunk. An end of turn empties the buffer and the latch, which a struct tells as they were before."""
-    chunks = F.regexp_extract_all(frames, F.lit(f"[01]{{1,{CHUNK}}}"), F.lit(0))
+def chunked(recordings: DataFrame) -> DataFrame:
+    """(session, n, k, size, loud, quiet, tail, lead, last, sustained): what each chunk of frames is by itself; n is the recording's length."""
+    chunks = F.regexp_extract_all("frames", F.lit(f"[01]{{1,{CHUNK}}}"), F.lit(0))
+    rows = recordings.select("session", F.length("frames").alias("n"), F.posexplode(chunks).alias("k", "c"))
+    size = F.length("c")
+    return rows.select(
+        "session", "n", "k", size.alias("size"), F.contains("c", F.lit("1")).alias("loud"), F.contains("c", F.lit("0")).alias("quiet"),
+        (size - F.length(F.rtrim("c", F.lit("0")))).alias("tail"), (size - F.length(F.ltrim("c", F.lit("1")))).alias("lead"),
+        (size - F.length(F.rtrim("c", F.lit("1")))).alias("last"), F.contains("c", F.lit("1" * SPEECH)).alias("sustained"),
+    )
+
+
+def steps(recordings: DataFrame, threshold: float = 0.5, action_delay: float = 0.2, timeout: float = 3.0) -> DataFrame:
+    """(session, n, k, silent, has_speech, status), one row a chunk. An end of turn empties the buffer and the latch, which a row tells as they were before.
+
+    A stretch of silence ends a turn once at most, in its first chunk that is long enough, if speech was latched since the last stretch that was;
+    so all that a chunk needs of those before are sums and latest places.
+    """
     act, end = round(action_delay / FRAME), round(timeout / FRAME)
-    matched = lambda c, pattern: F.length(F.regexp_extract(c, pattern, 0))
-
-    def heard(a: Column, c: Column) -> Column:
-        tail, lead, last = matched(c, "0+$"), matched(c, "^1+"), matched(c, "1+$")
-        longest = F.array_max(F.transform(F.split(c, "0+"), F.length))
-        quiet = F.least(F.when(F.contains(c, F.lit("1")), tail).otherwise(a["silent"] + F.length(c)), F.lit(WINDOW))
-        run = F.when(F.contains(c, F.lit("0")), last).otherwise(a["run"] + F.length(c))
-        spoken = a["has_speech"] | (a["run"] + lead >= SPEECH) | (longest >= SPEECH)
-        return F.struct(quiet.alias("silent"), run.alias("run"), spoken.alias("has_speech"))
-
-    def status(h: Column) -> Column:
-        return (
-            F.when(~h["has_speech"] | (h["silent"] < PAUSE), "L")
-            .when(h["silent"] >= end, "T")
-            .when((h["silent"] >= act) & (score(h["silent"]) >= threshold), "E")
-            .otherwise("H")
-        )
-
-    def step(a: Column, c: Column) -> Column:
-        return let(heard(a, c), lambda h: let(status(h), lambda s: after(a, h, s)))
-
-    def after(a: Column, h: Column, s: Column) -> Column:
-        ends = s.isin("E", "T")
-        told = F.concat(s, F.lpad(h["silent"].cast("string"), 4, "0"), h["has_speech"].cast("int").cast("string"))
-        zero = lambda x: F.when(ends, 0).otherwise(x).cast("int")
-        return F.struct(zero(h["silent"]).alias("silent"), zero(h["run"]).alias("run"), (h["has_speech"] & ~ends).alias("has_speech"), F.concat(a["out"], told).alias("out"))
-
-    def told(x: Column, k: Column) -> Column:
-        names = F.create_map(*(F.lit(v) for pair in STATUS.items() for v in pair))
-        return F.struct(k.alias("k"), F.substring(x, 2, 4).cast("int").alias("silent"), (F.substring(x, 6, 1) == "1").alias("has_speech"), names[F.substring(x, 1, 1)].alias("status"))
-
-    start = F.struct(F.lit(0).alias("silent"), F.lit(0).alias("run"), F.lit(False).alias("has_speech"), F.lit("").alias("out"))
-    out = F.aggregate(chunks, start, step, lambda a: a["out"])
-    return F.transform(F.regexp_extract_all(out, F.lit("[LHET][0-9]{4}[01]"), F.lit(0)), told)
+    w = Window.partitionBy("session").orderBy("k")
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    latest = lambda c, of: F.coalesce(F.last(c, ignorenulls=True).over(of), F.lit(0))
+    acts = lambda s: (s >= PAUSE) & ((s >= end) | ((s >= act) & (score(s) >= threshold)))
+    at = F.col("at")
+    rows = chunked(recordings).withColumn("at", F.sum("size").over(so_far))
+    rows = rows.withColumn("pause", at + latest(F.when(F.col("loud"), F.col("tail") - at), so_far)).withColumn("run", at + latest(F.when(F.col("quiet"), F.col("last") - at), so_far))
+    rows = rows.withColumn("pause", F.least(F.col("pause"), F.lit(WINDOW))).withColumn("pause_before", F.lag("pause", 1, 0).over(w)).withColumn("run_before", F.lag("run", 1, 0).over(w))
+    rows = rows.withColumn("long", acts(F.col("pause")) & (F.col("loud") | ~acts(F.col("pause_before"))))
+    rows = rows.withColumn("sustained", F.col("sustained") | (F.col("run_before") + F.col("lead") >= SPEECH))
+    place = lambda c, of: F.coalesce(F.max(F.when(F.col(c), F.col("k"))).over(of), F.lit(-1))
+    rows = rows.withColumn("has_speech", place("sustained", so_far) > place("long", before))
+    emptied = F.when(F.col("long") & F.col("has_speech"), -at).when(F.col("loud"), F.col("tail") - at)
+    silent = F.when(F.col("loud"), F.col("tail")).otherwise(F.least(at + latest(emptied, before), F.lit(WINDOW))).cast("int")
+    rows = rows.withColumn("silent", silent)
+    s = F.col("silent")
+    status = F.when(~F.col("has_speech") | (s < PAUSE), STATUS["L"]).when(s >= end, STATUS["T"]).when(acts(s), STATUS["E"]).otherwise(STATUS["H"])
+    return rows.select("session", "n", "k", "silent", "has_speech", status.alias("status"))
 
 
 def replayed(recordings: DataFrame, **policy: float) -> DataFrame:
     """(session, k, t, silent, has_speech, p_eot, status) of recordings (session, frames), one row a chunk, and one more where a recording stops in a pause after speech.
 
-    t is the chunk's end by its number, also for a short last chunk; the last event's is the recording's length. A null or empty recording has no rows.
+    Sessions differ. t is the chunk's end by its number, also for a short last chunk; the last event's is the recording's length. A null or empty recording has no rows.
     """
-    rows = recordings.select("session", F.length("frames").alias("n"), F.explode(steps(F.col("frames"), **policy)).alias("x")).select("session", "n", "x.*")
-    scored = F.when(F.col("status") == "listening", 0.0).otherwise(score(F.col("silent")))
-    live = rows.select("session", "k", ((F.col("k") + 1) * 0.3).alias("t"), "silent", "has_speech", scored.alias("p_eot"), "status")
+    rows = steps(recordings, **policy)
+    told = lambda k, t, p, status: F.struct(k.alias("k"), t.alias("t"), p.alias("p_eot"), status.alias("status"))
+    scored = F.when(F.col("status") == STATUS["L"], 0.0).otherwise(score(F.col("silent")))
+    live = told(F.col("k"), (F.col("k") + 1) * 0.3, scored, F.col("status"))
+    stops = told(F.col("k") + 1, F.col("n") * FRAME, F.lit(0.0), F.lit("end_of_turn (end of recording)"))
     last = (F.col("k") == F.ceil(F.col("n") / CHUNK) - 1) & F.col("has_speech") & (F.col("silent") > 0) & ~F.col("status").startswith("end_of_turn")
-    ends = rows.where(last).select("session", (F.col("k") + 1).alias("k"), (F.col("n") * FRAME).alias("t"), "silent", "has_speech", F.lit(0.0).alias("p_eot"), F.lit("end_of_turn (end of recording)").alias("status"))
-    return live.unionByName(ends)
+    out = rows.select("session", "silent", "has_speech", F.explode(F.when(last, F.array(live, stops)).otherwise(F.array(live))).alias("x"))
+    return out.select("session", "x.k", "x.t", "silent", "has_speech", "x.p_eot", "x.status")
 
 
 def captions(events: DataFrame) -> DataFrame:

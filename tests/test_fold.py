@@ -36,3 +36,16 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([("a", "1" * 30)], "session string, frames string").select("session", "frames")
     plan = fold.replayed(spark.range(3).selectExpr("cast(id as string) as session", "repeat('10', 40) as frames"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and df.count() == 1
+
+
+def test_long_recordings_are_dealt_and_cost_what_their_length_is(spark):
+    """Frames shrink to nothing in a shuffle, so that their size must not decide how many tasks there are; and no step may copy those before it."""
+    from cadenza.plans import replay
+
+    assert replay.recordings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
+    long_ = spark.range(1).selectExpr("cast(id as string) as session", "repeat(repeat('1', 30) || repeat('0', 45), 2000) as frames")
+    events = fold.replayed(long_)
+    assert "aggregate(" not in events._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in events.orderBy("k").select("k", "silent", "has_speech", "status").collect()]
+    once = [(0, True, "listening"), (0, True, "listening"), (15, True, "holding"), (30, True, "end_of_turn"), (15, False, "listening")]
+    assert got == [(k, *once[k % 5]) for k in range(10_000)]
