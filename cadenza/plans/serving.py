@@ -44,24 +44,23 @@ def long_audio_drop(spark, sf_dir):
 
 
 def query_cut_sample(spark, sf_dir):
-    grid = E.query_times(P.built(spark, sf_dir, P.SENTENCE, "documents").select(F.concat_ws(":", "rec", "turn_index").alias("id"), "spans"), 500, 100)
-    return grid.select("id", "time", E.sample_at(F.col("time") / 1000, X.RATE).alias("end_sample"))
+    grid = E.span_times(X.spans(spark, sf_dir), 500, 100)
+    return grid.select(X.turn_id(), "time", E.sample_at(F.col("time") / 1000, X.RATE).alias("end_sample"))
 
 
 def turn_prediction_record(spark, sf_dir):
     """Records of all turns, an event a row: the score is made of the samples and the words that a query sees."""
-    turns = P.built(spark, sf_dir, P.SENTENCE, "documents").select(F.concat_ws(":", "rec", "turn_index").alias("id"), "spans", "words", F.col("window_end").alias("duration"), F.lit(X.RATE).alias("sr"))
-    records = E.prediction_records(turns, 500, 100, 1000, lambda t, end, prior: (end % 97) / 97.0 + F.size(prior))
-    rows = records.select("id", "audio_sec", F.size("events").cast("long").alias("n_events"), F.posexplode("prediction_rows").alias("i", "r"))
-    return rows.select("id", "audio_sec", "n_events", F.col("i").cast("long").alias("i"), "r.timestamp", F.col("r.label").cast("long").alias("label"), F.round("r.silence", 6).alias("silence"), F.round("r.p_eot", 9).alias("p_eot"))
+    words = O.spoken(P.words_of(spark, sf_dir, "documents"), P.SENTENCE)
+    rows = E.prediction_rows(words, 500, 100, 1000, X.RATE, lambda t, end, prior: (end % 97) / 97.0 + prior)
+    return rows.select(X.turn_id(), "audio_sec", "n_events", "i", "timestamp", F.col("label").cast("long").alias("label"), F.round("silence", 6).alias("silence"), F.round("p_eot", 9).alias("p_eot"))
 
 
 def example_predictions(spark, sf_dir):
-    """Examples and the predictions that are there for them."""
-    examples = E.causal(X.rows(spark, sf_dir).select("id", "spans"), F.lit(X.RATE))
+    """Examples and the predictions that are there for them, paired by numbers: names are made for what is left."""
+    examples = X.points(spark, sf_dir).select("rec", "turn_index", "span_index", "cut_index", "cut_sample", "label")
     predictions = examples.where("cut_index < 2").withColumn("p_eot", (F.col("cut_sample") % 1000) / 1000)
-    out = E.scored(examples, predictions)
-    return out.select("id", F.col("span_index").cast("long").alias("span_index"), F.col("cut_index").cast("long").alias("cut_index"), "label", "p_eot")
+    out = E.scored(examples.drop("cut_sample"), predictions, ("rec", "turn_index", "span_index", "cut_index"))
+    return out.select(X.turn_id(), F.col("span_index").cast("long").alias("span_index"), F.col("cut_index").cast("long").alias("cut_index"), "label", "p_eot")
 
 
 def serving_prompt(spark, sf_dir):

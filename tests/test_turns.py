@@ -154,3 +154,40 @@ def test_vad_end_is_linear(spark):
     seconds(16_000)
     one, ten = min(seconds(16_000) for _ in range(2)), min(seconds(160_000) for _ in range(2))
     assert ten < 12 * one + 3
+
+
+def test_lists_that_are_not_asked_for_are_not_made(spark):
+    for name in ("turn_sentence", "turn_sentence_gap_fallback", "lead_window", "eot_window"):
+        assert "collect_list" not in turns.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+@pytest.mark.parametrize("least", [(1, 0), (2, 1)])
+def test_spans_as_rows_equal_spans_in_turns(spark, least):
+    from cadenza.operators import examples as E
+
+    rng = random.Random(11)
+    cfg = TurnConfig(mode="sentence", min_words=least[0], min_hold_spans=least[1])
+    recs = []
+    for rec in range(40):
+        at = 0
+        for k in range(rng.randrange(1, 15)):
+            at = max(0, at + rng.choice([-150, -50, 0, 60, 100, 300, 700]))
+            recs.append((rec, k, f"w{k}" + rng.choice(["", "", ".."]), at, at + rng.choice([0, 100, 250])))
+            at = recs[-1][4]
+    df = spark.createDataFrame(recs, WORDS)
+    nested = O.turns(df, cfg)
+    got = {tuple(r) for r in O.spans(df, cfg).select("rec", "turn_index", "span_index", "n_spans", "start", "end").collect()}
+    want = {(r.rec, r.turn_index, i, len(r.spans), *s) for r in nested.collect() for i, s in enumerate(r.spans)}
+    assert got == want and len(got) > 40
+    name = F.concat_ws(":", "rec", "turn_index").alias("id")
+    times = sorted(map(tuple, E.query_times(nested.select(name, "spans"), 50, 100).collect()))
+    assert sorted(map(tuple, E.span_times(O.spans(df, cfg), 50, 100).select(name, "time").collect())) == times
+    sec = lambda c, *more: F.transform(c, lambda x: F.struct(*more and (x[m].alias(m) for m in more), (x["start"] / 1000).alias("start"), (x["end"] / 1000).alias("end")))
+    marks = E.markers(nested.select(name, sec("spans").alias("spans"), sec("words", "word").alias("words"), (F.col("window_end") / 1000).alias("duration")))
+    rows = E.marker_rows(O.spoken(df, cfg)).select(name, "k", (F.col("end_time") / 1000).alias("end_sec"), "marker", "transcript")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, marks.collect()))
+    asked = E.prediction_rows(O.spoken(df, cfg), 50, 100, 1000, 16000, lambda t, end, prior: prior).orderBy("rec", "turn_index", "i").collect()
+    turn = {(r.rec, r.turn_index): r for r in nested.collect()}
+    assert len(asked) >= len(times)
+    for r in asked:
+        assert r.p_eot == sum(w.end <= round(r.timestamp * 1000) - 500 for w in turn[r.rec, r.turn_index].words)
