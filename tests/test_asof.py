@@ -66,3 +66,9 @@ def test_same_rows_as_nested(spark):
     flat = plans.queries()["asof_range_join"](spark, DATA).select("id", "span_index", "n_words")
     nested = plans.queries()["asof_prior_words"](spark, DATA).select("id", "span_index", "n_words")
     assert sorted(map(tuple, flat.collect())) == sorted(map(tuple, nested.collect()))
+
+
+def test_turns_are_named_once_at_the_end(spark):
+    for name in ("asof_range_join", "interval_join"):
+        plan = plans.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("concat_ws(") == 1, name
