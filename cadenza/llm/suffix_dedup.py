@@ -80,12 +80,14 @@ class Index:
 
     bits, min_bytes, prefix and key must stay the same for an index's life. Levels are never changed, only replaced, so
     an answer that has been planned stays good. Write ``levels`` elsewhere to keep them beyond the session.
+    What is in ``removals`` removes the index's tables, once no answer that was planned is to be computed any more.
     """
 
     def __init__(self, min_bytes: int = 200, prefix: int | None = None, bits: int = 9, levels: dict[int, DataFrame] | None = None, key: bytes | None = None):
         self.size, self.bits, self.levels = min_bytes, bits, dict(levels or {})
         self.prefix = prefix or min(PREFIX, max(1, min_bytes // 3))
         self.key = key or secret()
+        self.removals = []
 
     def read(self, texts: DataFrame) -> DataFrame:
         """Exchange rows of keyed texts: headers, and what each chunk knows of its suffixes and contexts."""
@@ -94,14 +96,14 @@ class Index:
 
     def enter(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Enter a batch's exchange rows: suffixes that repeat within the batch, and those that older batches hold too."""
-        array = X.written(arrayed(rows.where(F.col("kind") == LEADING)), "level")
+        array = X.written(arrayed(rows.where(F.col("kind") == LEADING)), "level", self.removals)
         within, shared = repeated(array), None
         for level in self.levels.values():
             found = matched(array, level)
             shared = found if shared is None else shared.unionByName(found)
         rank = 0
         while rank in self.levels:
-            array = X.written(arrayed(array.unionByName(self.levels.pop(rank))), "level")
+            array = X.written(arrayed(array.unionByName(self.levels.pop(rank))), "level", self.removals)
             rank += 1
         self.levels[rank] = array
         return within, within.limit(0) if shared is None else shared
@@ -287,7 +289,7 @@ def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | N
     bits = X.bucket_bits(documents)
     texts = X.keyed(documents, whole=whole)
     index = Index(min_bytes, prefix, bits)
-    rows = X.written(index.read(texts), "suffixes")
+    rows = X.written(index.read(texts), "suffixes", index.removals)
     told = rows
     for b in range(batches):
         batch = rows.where(F.pmod(F.xxhash64("chunk"), F.lit(batches)) == b)
@@ -296,6 +298,8 @@ def repeated_windows(documents: DataFrame, min_bytes: int = 200, prefix: int | N
     for level in index.levels.values():
         told = told.unionByName(as_rows(level, LEVEL))
     known = X.written(X.collected(X.answered(told, _decide), lambda a: _conclude(a, min_bytes)), "repeats")
+    for remove in index.removals:  # all that follows needs is in known and the texts
+        remove()
     by_key = texts.repartition(X.partitions(documents), "_id", "_th")
     asked = known.where(F.length("more") > 0).groupBy("_id", "_th").agg(F.first("more").alias("more"))
     compared = by_key.join(asked, ["_id", "_th"]).select("_doc", "_id", "_th", "text", "more").sortWithinPartitions("_id", "_th")

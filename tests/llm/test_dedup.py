@@ -217,3 +217,28 @@ def test_chains_are_independent():
     assert len(set(np.concatenate(made).tolist())) == 4 * len(starts)
     again = K.word_hashes(data, starts, ends, chain=K.chains(b"k" * 16)[0])
     assert (again == made[0]).all()
+
+
+def test_op2_frees_what_is_no_longer_needed(spark, documents):
+    """Before the last exchange only the repeats are kept: no table of the index, no shuffle of a job that is over."""
+    import os
+    import time
+
+    from cadenza.llm.exchange import shared_folder
+
+    def tables():
+        return {x for x in os.listdir(shared_folder(spark).removeprefix("file:")) if x.startswith("cadenza-")}
+
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x for x in (found.apply(k).getName() for k in range(found.size())) if x.startswith("shuffle_")}
+
+    spark.range(1).collect()
+    old_tables, old_shuffles = tables(), shuffles()
+    found = suffix_dedup.repeated_windows(documents, 20)
+    assert [x.split("-")[1] for x in tables() - old_tables] == ["repeats"]
+    late = time.time() + 30
+    while shuffles() - old_shuffles and time.time() < late:  # files go by and by
+        time.sleep(0.2)
+    assert not shuffles() - old_shuffles
+    assert found.count() == documents.count()
