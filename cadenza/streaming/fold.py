@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 FRAME = 0.02
 CHUNK, WINDOW, SPEECH, PAUSE = 15, 1500, 10, 5  # frames: of a chunk, of the buffer, of sustained speech, of a pause that is scored
+SPAN = 4096  # chunks of a recording that are cut at once
 STATUS = {"L": "listening", "H": "holding", "E": "end_of_turn", "T": "end_of_turn (timeout)"}
 
 
@@ -25,14 +26,18 @@ def score(silent: Column) -> Column:
 
 
 def chunked(recordings: DataFrame) -> DataFrame:
-    """(session, n, k, size, loud, quiet, tail, lead, last, sustained): what each chunk of frames is by itself; n is the recording's length."""
-    chunks = F.regexp_extract_all("frames", F.lit(f"[01]{{1,{CHUNK}}}"), F.lit(0))
-    rows = recordings.select("session", F.length("frames").alias("n"), F.posexplode(chunks).alias("k", "c"))
+    """(session, n, k, size, loud, quiet, tail, lead, last, sustained): what each chunk of frames is by itself; n is the recording's length.
+
+    Chunks are cut from spans, so that no row holds all of a long recording's. The length is taken first: beside an explode the frames would be kept with each chunk.
+    """
+    cut = lambda c, n: F.posexplode(F.regexp_extract_all(c, F.lit(f"[01]{{1,{n}}}"), F.lit(0)))
+    spans = recordings.select("session", "frames", F.length("frames").alias("n")).select("session", "n", cut("frames", SPAN * CHUNK).alias("span", "frames"))
+    rows = spans.select("session", "n", "span", cut("frames", CHUNK).alias("place", "c")).withColumn("k", F.col("span") * SPAN + F.col("place"))
     size = F.length("c")
+    before, after = (lambda x: F.length(F.substring_index("c", x, 1))), (lambda x: F.length(F.substring_index("c", x, -1)))  # the first, the last of x; all where there is none
     return rows.select(
         "session", "n", "k", size.alias("size"), F.contains("c", F.lit("1")).alias("loud"), F.contains("c", F.lit("0")).alias("quiet"),
-        (size - F.length(F.rtrim("c", F.lit("0")))).alias("tail"), (size - F.length(F.ltrim("c", F.lit("1")))).alias("lead"),
-        (size - F.length(F.rtrim("c", F.lit("1")))).alias("last"), F.contains("c", F.lit("1" * SPEECH)).alias("sustained"),
+        after("1").alias("tail"), before("0").alias("lead"), after("0").alias("last"), F.contains("c", F.lit("1" * SPEECH)).alias("sustained"),
     )
 
 
@@ -47,10 +52,10 @@ def steps(recordings: DataFrame, threshold: float = 0.5, action_delay: float = 0
     so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     latest = lambda c, of: F.coalesce(F.last(c, ignorenulls=True).over(of), F.lit(0))
     acts = lambda s: (s >= PAUSE) & ((s >= end) | ((s >= act) & (score(s) >= threshold)))
-    at = F.col("at")
-    rows = chunked(recordings).withColumn("at", F.sum("size").over(so_far))
-    rows = rows.withColumn("pause", at + latest(F.when(F.col("loud"), F.col("tail") - at), so_far)).withColumn("run", at + latest(F.when(F.col("quiet"), F.col("last") - at), so_far))
-    rows = rows.withColumn("pause", F.least(F.col("pause"), F.lit(WINDOW))).withColumn("pause_before", F.lag("pause", 1, 0).over(w)).withColumn("run_before", F.lag("run", 1, 0).over(w))
+    at, start = F.least((F.col("k") + 1) * CHUNK, F.col("n")), F.col("k") * CHUNK
+    silence, speech = F.when(F.col("loud"), F.col("tail") - at), F.when(F.col("quiet"), F.col("last") - at)
+    sums = {"pause": at + latest(silence, so_far), "pause_before": start + latest(silence, before), "run_before": start + latest(speech, before)}
+    rows = chunked(recordings).withColumns(sums).withColumns({c: F.least(F.col(c), F.lit(WINDOW)) for c in ("pause", "pause_before")})
     rows = rows.withColumn("long", acts(F.col("pause")) & (F.col("loud") | ~acts(F.col("pause_before"))))
     rows = rows.withColumn("sustained", F.col("sustained") | (F.col("run_before") + F.col("lead") >= SPEECH))
     place = lambda c, of: F.coalesce(F.max(F.when(F.col(c), F.col("k"))).over(of), F.lit(-1))

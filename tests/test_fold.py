@@ -1,5 +1,6 @@
 """The fold in the JVM against the replay of waveforms, sample by sample."""
 
+import math
 import random
 
 import numpy as np
@@ -49,3 +50,36 @@ def test_long_recordings_are_dealt_and_cost_what_their_length_is(spark):
     got = [tuple(r) for r in events.orderBy("k").select("k", "silent", "has_speech", "status").collect()]
     once = [(0, True, "listening"), (0, True, "listening"), (15, True, "holding"), (30, True, "end_of_turn"), (15, False, "listening")]
     assert got == [(k, *once[k % 5]) for k in range(10_000)]
+
+
+def test_chunks_need_few_passes_and_spans_join(spark):
+    """Three windows over the chunks, none of which keeps the frames; and what crosses a border of spans is one run or one pause."""
+    border = fold.SPAN * fold.CHUNK
+    frames = {
+        "run": "0" * (border - 5) + "1" * 12 + "0" * 40,
+        "pause": "1" * 20 + "0" * (border - 24) + "1" * 20 + "0" * 13 + "1" * 40,
+        "late": "0" * (border - 30) + "1" * 20 + "0" * 300,
+        "whole": "1" * (2 * border),
+    }
+    events = fold.replayed(spark.createDataFrame(list(frames.items()), "session string, frames string"))
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 3
+    got = {}
+    for r in events.orderBy("session", "k").collect():
+        got.setdefault(r.session, []).append((r.k, r.silent, r.has_speech, r.status))
+    for name, f in frames.items():
+        silent = run = 0
+        latched, want = False, []
+        chunks = [f[i : i + fold.CHUNK] for i in range(0, len(f), fold.CHUNK)]
+        for k, c in enumerate(chunks):
+            for x in c:
+                silent, run = (0, run + 1) if x == "1" else (min(silent + 1, fold.WINDOW), 0)
+                latched |= run >= fold.SPEECH
+            p = 1 - math.exp(-silent * fold.FRAME / 0.6)
+            status = "listening" if not latched or silent < 5 else "end_of_turn (timeout)" if silent >= 150 else "end_of_turn" if silent >= 10 and p >= 0.5 else "holding"
+            want.append((k, silent, latched, status))
+            if status.startswith("end"):
+                silent, run, latched = 0, 0, False
+        if latched and silent:
+            want.append((len(chunks), silent, True, "end_of_turn (end of recording)"))
+        assert got[name] == want, name
