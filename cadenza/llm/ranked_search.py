@@ -11,6 +11,9 @@ the best documents that the task has found so far, over all its shards, so it ri
 smaller doc_id wins. Only the best of each task leave it, and a window ranks them.
 
 Terms are compared as strings, not as hashes. Items are searched in blocks of ``ITEM_BYTES`` of text, each of which goes to all tasks.
+
+A shard is a row of megabytes, so rows are handed on few at a time: the index has small row groups, and its readers get batches of ``BATCH_BYTES``. What a
+task holds is then a few shards, however many its share of the index has.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 SCALE, FREE, LENGTH = 1_000_000_000, 75, 25  # of a contribution; the length's part and the rest, of 100
 ITEM_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 PARTS = ("ids", "lengths", "terms", "widths", "sizes", "most", "least", "docs", "counts")  # of a shard, a packed array each
 SHARD = ", ".join(f"{x} binary" for x in PARTS)
 ARROW_SHARD = pa.schema([(x, pa.binary()) for x in PARTS])
@@ -94,6 +98,12 @@ def index(documents: DataFrame) -> DataFrame:
     return X.keyed(documents).select("_id", "text").mapInArrow(run, SHARD)
 
 
+def stored(documents: DataFrame) -> DataFrame:
+    """The index as a table."""
+    with X.setting(documents.sparkSession, X.BATCH, str(BATCH_BYTES)):
+        return X.written(index(documents), "shards", **X.LARGE_ROWS)
+
+
 def statistics(shards: DataFrame, asked_words: list[str]) -> tuple[int, int, DataFrame]:
     """Documents with terms, all terms, and (word, df) of the words."""
 
@@ -235,7 +245,8 @@ def search(shards: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         asked = [Counter() for _ in range(rows.num_rows)]
         for w, r in zip(terms.to_pylist(), row.tolist(), strict=True):
             asked[r][w] += 1
-        found = search_block(shards, asked, k)
+        with X.setting(spark, X.BATCH, str(BATCH_BYTES)):
+            found = X.written(search_block(shards, asked, k), "found")
         names = spark.createDataFrame([(i, x) for i, x in enumerate(rows.column("item_id").to_pylist())], f"item int, item_id {kind}")
         order = Window.partitionBy("item").orderBy(F.desc("score"), "id")
         ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -245,7 +256,7 @@ def search(shards: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
 
 
 def op13_ranked_search(spark, sf_dir: str) -> DataFrame:
-    shards = X.written(index(spark.read.parquet(f"{sf_dir}/documents.parquet")), "shards")
+    shards = stored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return search(shards, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
 
 

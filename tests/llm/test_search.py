@@ -77,3 +77,25 @@ def test_non_essential_lists_are_only_probed():
     full, all_scores = S.searched(own, item, 1)
     assert len(full) == 500 and np.array_equal(all_scores[docs], scores)
     assert len(S.searched(own, item, 1 << 60)[0]) == 0
+
+
+def test_the_index_is_held_a_few_shards_at_a_time(spark, tmp_path):
+    """A task's shards are many small row groups without whole values as statistics, and the settings of the session are as before."""
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    settings = dict(spark.conf.getAll)
+    rng = random.Random(3)
+    texts = [(i, " ".join(str(rng.randrange(10**9)) for _ in range(150_000))) for i in range(16)]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, texts[5][1][:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    known = set(folder.glob("cadenza-shards-*"))
+    best = S.op13_ranked_search(spark, str(tmp_path)).orderBy("rank").first()
+    assert best.doc_id == 5 and dict(spark.conf.getAll) == settings
+    (table,) = set(folder.glob("cadenza-shards-*")) - known
+    footers = [pq.ParquetFile(f).metadata for f in table.glob("*.parquet")]
+    groups = [m.row_group(k) for m in footers for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 16 and max(g.num_rows for g in groups) <= 4
+    assert not any(g.column(k).is_stats_set for g in groups for k in range(g.num_columns))
