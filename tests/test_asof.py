@@ -72,3 +72,40 @@ def test_turns_are_named_once_at_the_end(spark):
     for name in ("asof_range_join", "interval_join"):
         plan = plans.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("concat_ws(") == 1, name
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prior_in_one_sequence(spark, seed):
+    """Without a width: bounded keys, no bins, the same rows."""
+    queries, facts = tables(seed)
+    q, f = spark.createDataFrame(queries, "k string, t long, i int"), spark.createDataFrame(facts, "k string, at long, v string")
+    rows = lambda width: sorted(map(repr, asof.prior(q, f, ["k"], "t", "at", ["v"], width).collect()))
+    assert rows(None) == rows(10)
+
+
+def exchanged(df):
+    """What the shuffles of a plan hold."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line]
+
+
+def test_asof_range_join_shuffles_texts_only(spark):
+    found = exchanged(plans.queries()["asof_range_join"](spark, DATA))
+    assert len(found) == 2 and all("REPARTITION_BY_NUM" in x for x in found), found
+
+
+def test_a_task_gets_few_texts(spark):
+    """Partitions follow the size of the file, small ones until they are many."""
+    from cadenza.sources import adapters as A
+
+    class Known:  # a table of so many bytes
+        sparkSession = spark
+
+        def __init__(self, size):
+            stats = type("S", (), {"sizeInBytes": lambda _: size})()
+            plan = type("P", (), {"stats": lambda _: stats})()
+            self._jdf = type("J", (), {"queryExecution": lambda _: type("Q", (), {"optimizedPlan": lambda _: plan})()})()
+
+    size = lambda n, *a: A.partitions(Known(n), *a)
+    assert [size(n, 4 << 20, 64 << 20) for n in (0, 6 << 30, 100 << 30, 1 << 40)] == [4, 1536, 4096, 16384]
+    assert size(6 << 30, 1 << 20) == 6144
