@@ -83,14 +83,28 @@ def test_prior_in_one_sequence(spark, seed):
     assert rows(None) == rows(10)
 
 
+@pytest.mark.parametrize("length", [0, 40])
+def test_recent_counts_what_within_pairs(spark, length):
+    """Intervals of one length, with ties, nulls and keys without a row: counted as they pass, or from the pairs."""
+    from pyspark.sql import functions as F
+
+    queries, facts = tables(length + 5)
+    q, f = spark.createDataFrame(queries, "k string, t long, i int"), spark.createDataFrame(facts, "k string, at long, v string")
+    pairs = asof.within(q.withColumn("s", F.col("t") - length), f, ["k"], "s", "t", "at", length + 1)
+    want = pairs.groupBy("k", "i").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    got = asof.recent(q, f, ["k"], "t", "at", length)
+    assert sorted(map(tuple, got.select("k", "i", "n", "first", "last").collect())) == sorted(map(tuple, want.collect()))
+
+
 def exchanged(df):
     """What the shuffles of a plan hold."""
     plan = df._jdf.queryExecution().executedPlan().toString()
     return [line for line in plan.splitlines() if "Exchange" in line and "Reused" not in line]
 
 
-def test_asof_range_join_shuffles_texts_only(spark):
-    found = exchanged(plans.queries()["asof_range_join"](spark, DATA))
+@pytest.mark.parametrize("name", ["asof_range_join", "interval_join"])
+def test_joins_shuffle_texts_only(spark, name):
+    found = exchanged(plans.queries()[name](spark, DATA))
     assert len(found) == 2 and all("REPARTITION_BY_NUM" in x for x in found), found
 
 
