@@ -50,7 +50,7 @@ def query_cut_sample(spark, sf_dir):
 
 def turn_prediction_record(spark, sf_dir):
     """Records of all turns, an event a row: the score is made of the samples and the words that a query sees."""
-    words = O.spoken(P.words_of(spark, sf_dir, "documents"), P.SENTENCE)
+    words = O.spoken(P.words_of(spark, sf_dir, "documents"), P.SENTENCE, A.TEXT_ORDER)
     rows = E.prediction_rows(words, 500, 100, 1000, X.RATE, lambda t, end, prior: (end % 97) / 97.0 + prior)
     return rows.select(X.turn_id(), "audio_sec", "n_events", "i", "timestamp", F.col("label").cast("long").alias("label"), F.round("silence", 6).alias("silence"), F.round("p_eot", 9).alias("p_eot"))
 

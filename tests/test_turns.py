@@ -191,3 +191,14 @@ def test_spans_as_rows_equal_spans_in_turns(spark, least):
     assert len(asked) >= len(times)
     for r in asked:
         assert r.p_eot == sum(w.end <= round(r.timestamp * 1000) - 500 for w in turn[r.rec, r.turn_index].words)
+
+
+@pytest.mark.parametrize("name", ["marker_expand"])
+def test_words_in_order_are_sorted_twice_and_not_listed(spark, name):
+    """Once by recording, once by turn; texts of a turn are strings, and only turns whose words end out of order have lists."""
+    from cadenza import plans
+
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2 and "ObjectHashAggregate" not in plan and plan.count("Exchange") == 1
+    last, *others = [line for line in plan.splitlines() if "Window [" in line]  # what a window gives is held by those after it, for each word
+    assert "listagg(" in last and not any("listagg(" in x for x in others)
