@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import waves as W
+from cadenza.config import TurnConfig
 from cadenza.functions.text import transcript
-from cadenza.operators.turns import row_id, turns
+from cadenza.operators.turns import ORDER, row_id, spoken, turns
 
 LEAST_EOT = 0.08
 #: Seconds of silence kept after speech, of the tail that is checked, and of a frame and its hop; the tail's loudness against the clip's.
@@ -37,6 +38,27 @@ def assembled(turns: DataFrame, least: float | int = LEAST_EOT) -> DataFrame:
     return rows.withColumn("messages", F.array(F.struct(F.lit("user").alias("role"), transcript(F.col("words")).alias("content"))))
 
 
+def assembled_rows(words: DataFrame, cfg: TurnConfig, least: float | int = LEAST_EOT, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """``assembled`` of the turns of words, without lists of them: rec, turn_index, duration, n_spans, eot_start, first_word, content.
+
+    A span is left if it starts before the window's end; holds and the end of turn are known at its words, and one row a turn leaves.
+    """
+    own = Window.partitionBy("rec", "turn_index").orderBy(*order)
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = cfg.tick
+    rows = spoken(words, cfg, order, ("opens", "prev_end"))
+    first, before = F.min("start").over(whole), F.max(F.when(F.col("opens"), F.col("prev_end"))).over(whole)
+    rows = rows.withColumn("_first", first).withColumn("_before", before).withColumn("_end", F.max(F.when(F.col("closes"), F.col("silence"))).over(whole))
+    left = F.col("silence").isNotNull() & (F.least("silence", "_end") > F.col("end"))
+    rows = rows.withColumn("n_spans", F.count(F.when(left, 1)).over(whole)).withColumn("_hold", F.max(F.when(left & ~F.col("closes"), F.col("end"))).over(whole))
+    word = F.when(F.col("_end").isNotNull(), F.col("word"))  # so that no window comes after that of the text, and holds it for each word
+    rows = rows.withColumn("content", F.trim(F.coalesce(F.listagg(word, F.lit(" ")).over(whole), F.lit("")))).where("closes")
+    lead = F.col("_first") - F.greatest(F.lit(0), F.least(F.lit(t("lead_in")), F.col("_first") - F.col("_before")) - t("eot_guard"))
+    start = F.when(F.col("_before").isNotNull(), lead).otherwise(F.greatest(F.lit(0), F.col("_first") - t("lead_in")))
+    rows = rows.withColumn("_start", start).withColumn("_last", F.when(left, F.col("end")).otherwise(F.col("_hold"))).where((F.col("n_spans") > 0) & (F.col("_end") - F.col("_last") >= least))
+    return rows.select("rec", "turn_index", (F.col("_end") - F.col("_start")).alias("duration"), F.col("n_spans").cast("int").alias("n_spans"), (F.col("_last") - F.col("_start")).alias("eot_start"), (F.col("_first") - F.col("_start")).alias("first_word"), "content")
+
+
 def loud_tail(clip_rms: Column, tail_rms: Column, ratio: float = 0.4) -> Column:
     """Is the end of the clip still speech?"""
     return (clip_rms > 1e-3) & (tail_rms > F.greatest(F.lit(0.04), ratio * clip_rms))

@@ -193,7 +193,26 @@ def test_spans_as_rows_equal_spans_in_turns(spark, least):
         assert r.p_eot == sum(w.end <= round(r.timestamp * 1000) - 500 for w in turn[r.rec, r.turn_index].words)
 
 
-@pytest.mark.parametrize("name", ["marker_expand"])
+@pytest.mark.parametrize("least", [(1, 0), (2, 1)])
+def test_assembled_as_rows_equals_assembled(spark, least):
+    """Also where words overlap, so that spans collapse or the last hold becomes the end of turn."""
+    rng = random.Random(19)
+    cfg = TurnConfig(mode="sentence", min_words=least[0], min_hold_spans=least[1], eot_trailing=0.05)
+    recs = []
+    for rec in range(60):
+        at = 0
+        for k in range(rng.randrange(1, 15)):
+            at = max(0, at + rng.choice([-150, -50, 0, 60, 100, 300, 700]))
+            recs.append((rec, k, rng.choice(["", " ", None, f"w{k}", f"w{k}", f"w{k}.."]), at, at + rng.choice([0, 100, 250])))
+            at = recs[-1][4]
+    df = spark.createDataFrame(recs, WORDS)
+    for bound in (0, 80, 120):
+        nested = R.assembled(O.turns(df, cfg), bound).select("rec", "turn_index", "duration", F.size("spans").alias("n_spans"), F.element_at("spans", -1)["start"].alias("eot_start"), F.element_at("words", 1)["start"].alias("first_word"), F.col("messages")[0]["content"].alias("content"))
+        want = sorted(map(tuple, nested.collect()))
+        assert sorted(map(tuple, R.assembled_rows(df, cfg, bound).select(nested.columns).collect())) == want and want
+
+
+@pytest.mark.parametrize("name", ["row_assembly", "marker_expand"])
 def test_words_in_order_are_sorted_twice_and_not_listed(spark, name):
     """Once by recording, once by turn; texts of a turn are strings, and only turns whose words end out of order have lists."""
     from cadenza import plans
